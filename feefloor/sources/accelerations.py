@@ -17,9 +17,14 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.json$", 1)
 
 
-def read_accelerations(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of every monthly file, with the month its file is named for."""
-    return (spark.read.schema(ACCELERATION_SCHEMA).option("multiLine", True)
+def read_accelerations(spark: SparkSession, folder: str, multi_line: bool = True
+                       ) -> DataFrame:
+    """Every record of every monthly file, with the month its file is named for.
+
+    A file holding one JSON array is one document, so one task reads it. Pass
+    ``multi_line=False`` for JSON lines, which split over many tasks.
+    """
+    return (spark.read.schema(ACCELERATION_SCHEMA).option("multiLine", multi_line)
             .option("pathGlobFilter", "*.json").json(folder)
             .select("*", file_stem(F.col("_metadata.file_name")).alias("month"))
             .where("txid IS NOT NULL OR status IS NOT NULL OR feeDelta IS NOT NULL"))
