@@ -82,7 +82,7 @@ def export_onchain_fee(tables: Stages, out: str) -> bool:
     months = _replace(merge_onchain_fees(stored, onchain_fee_rows(fresh)),
                       f"{out}/tables/onchain_fee")
     write_result_json(months, f"{out}/onchain_monthly_fee.json", ["month"])
-    write_result_json(onchain_fee_payload(fresh, stored and months),
+    write_result_json(onchain_fee_payload(fresh, months),
                       f"{out}/onchain_monthly_fee_totals.json")
     return True
 
