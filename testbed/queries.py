@@ -57,10 +57,11 @@ def outputs(t: ChainTables) -> DataFrame:
 
 
 def per_output(**columns):
-    """A query over every output: its value, script, and the given columns."""
+    """A query over every output: its value, script, and functions of these."""
     def run(t: ChainTables) -> DataFrame:
+        value, script = F.col("value"), F.col("script")
         return outputs(t).select("tx_hash", "value", "script",
-                                 *[c.alias(n) for n, c in columns.items()])
+                                 *[c(value, script).alias(n) for n, c in columns.items()])
     return run
 
 
@@ -292,21 +293,20 @@ def build() -> dict[str, tuple]:
             ("is_witness_program", S.is_witness_program, "witness"),
             ("is_standard_script", S.is_standard_script, "standard"),
             ("dust_threshold", S.dust_threshold, "CAST(threshold AS BIGINT)")):
-        q[name] = (per_output(**{name: column(F.col("script")).cast("bigint")
-                                 if "BIGINT" in sql else column(F.col("script"))}),
+        kind = "bigint" if "BIGINT" in sql else "boolean"
+        q[name] = (per_output(**{name: lambda _v, s, c=column, k=kind: c(s).cast(k)}),
                    out_sql(f"{sql} AS {name}"))
-    script = F.col("script")
     q["multisig_m_n"] = (
-        per_output(m=F.when(S.is_bare_multisig(script), S.multisig_m(script)).cast("int"),
-                   n=F.when(S.is_bare_multisig(script), S.multisig_n(script)).cast("int")),
+        per_output(m=lambda _v, s: F.when(S.is_bare_multisig(s), S.multisig_m(s)).cast("int"),
+                   n=lambda _v, s: F.when(S.is_bare_multisig(s), S.multisig_n(s)).cast("int")),
         out_sql("CASE WHEN multi THEN CAST(m AS INTEGER) END AS m, "
                 "CASE WHEN multi THEN CAST(n AS INTEGER) END AS n"))
     q["witness_version"] = (
-        per_output(witness_version=S.witness_version(script),
-                   witness_program_bytes=S.witness_program_bytes(script)),
+        per_output(witness_version=lambda _v, s: S.witness_version(s),
+                   witness_program_bytes=lambda _v, s: S.witness_program_bytes(s)),
         out_sql("CAST(wver AS INTEGER) AS witness_version, "
                 "CAST(wbytes AS INTEGER) AS witness_program_bytes"))
-    q["is_dust"] = (per_output(is_dust=S.is_dust(F.col("value"), script)),
+    q["is_dust"] = (per_output(is_dust=lambda v, s: S.is_dust(v, s)),
                     out_sql("value < threshold AS is_dust"))
     q["input_hashes"] = (
         lambda t: joined(t.source.transactions.select(
