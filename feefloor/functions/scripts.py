@@ -64,16 +64,27 @@ def multisig_n(script: Column) -> Column:
     return F.coalesce(hex_byte(script, -4) - SMALL_INT_BASE, F.lit(0))
 
 
-def is_witness_program(script: Column) -> Column:
-    size = int_div(F.length(script), 2)
-    version = hex_byte(script, 1)
+def lead_byte(script: Column) -> Column:
+    """First byte as lower-case hex text, which sorts as the byte does."""
+    return F.lower(F.substring(script, 1, 2))
+
+
+def push_length(script: Column) -> Column:
+    """Second byte, read only from scripts short enough to be witness programs."""
+    return F.when(F.length(script).between(8, 85), hex_byte(script, 3))
+
+
+def _witness(size: Column, lead: Column, push: Column) -> Column:
     return F.coalesce(
-        size.between(4, 42)
-        & ((version == 0) | version.between(OP_1, OP_16))
-        & (hex_byte(script, 3) + 2 == size),
+        size.between(4, 42) & (push + 2 == size)
+        & ((lead == "00") | lead.between(f"{OP_1:02x}", f"{OP_16:02x}")),
         F.lit(False))
 
 
+def is_witness_program(script: Column) -> Column:
+    return _witness(int_div(F.length(script), 2), lead_byte(script), push_length(script))
+
+
 def witness_version(script: Column) -> Column:
     return F.greatest(F.coalesce(hex_byte(script, 1) - SMALL_INT_BASE, F.lit(0)), F.lit(0))
 
@@ -82,15 +93,17 @@ def witness_program_bytes(script: Column) -> Column:
     return F.coalesce(hex_byte(script, 3), F.lit(0))
 
 
-def _standard(script: Column, multisig: Column, witness: Column) -> Column:
-    return (is_p2pkh(script) | is_p2sh(script) | is_p2pk(script) | is_op_return(script)
-            | (multisig & (multisig_m(script) <= multisig_n(script)))
-            | (witness & ((witness_version(script) > 0)
-                          | witness_program_bytes(script).isin(20, 32))))
+def _standard(script: Column, op_return: Column, multisig: Column, witness: Column,
+              lead: Column, push: Column) -> Column:
+    """Matches a standard template; the commonest ones are tested first."""
+    return ((witness & ((lead > f"{SMALL_INT_BASE:02x}") | push.isin(20, 32)))
+            | is_p2pkh(script) | is_p2sh(script) | op_return | is_p2pk(script)
+            | (multisig & (multisig_m(script) <= multisig_n(script))))
 
 
 def is_standard_script(script: Column) -> Column:
-    return _standard(script, is_bare_multisig(script), is_witness_program(script))
+    return _standard(script, is_op_return(script), is_bare_multisig(script),
+                     is_witness_program(script), lead_byte(script), push_length(script))
 
 
 def _threshold(size: Column, op_return: Column, witness: Column, policy: Policy) -> Column:
@@ -112,8 +125,8 @@ def is_dust(value: Column, script: Column, policy: Policy = Policy()) -> Column:
 def output_stats(outputs: Column, policy: Policy = Policy()) -> Column:
     """Struct of the seven counts the relay rules read; zeros for no outputs.
 
-    One array pass classifies each output, one folds the classes: no explode,
-    so no shuffle, whatever the number of outputs.
+    Array passes read, classify and fold the outputs in place: no explode, so no
+    shuffle. Bytes are read once per output and shared by the tests.
     """
     facts = F.transform(outputs, lambda o: F.struct(
         o["value"].cast("long").alias("value"),
@@ -121,13 +134,20 @@ def output_stats(outputs: Column, policy: Policy = Policy()) -> Column:
         script_bytes(o["script_hex"]).alias("size"),
         is_op_return(o["script_hex"]).alias("op_return"),
         is_bare_multisig(o["script_hex"]).alias("multisig"),
-        is_witness_program(o["script_hex"]).alias("witness")))
-    classes = F.transform(facts, lambda f: F.struct(
+        lead_byte(o["script_hex"]).alias("lead"),
+        push_length(o["script_hex"]).alias("push")))
+    typed = F.transform(facts, lambda f: F.struct(
+        f["value"].alias("value"), f["script"].alias("script"), f["size"].alias("size"),
+        f["op_return"].alias("op_return"), f["multisig"].alias("multisig"),
+        f["lead"].alias("lead"), f["push"].alias("push"),
+        _witness(f["size"], f["lead"], f["push"]).alias("witness")))
+    classes = F.transform(typed, lambda f: F.struct(
         F.when(f["multisig"], multisig_n(f["script"])).otherwise(0).alias("n"),
         f["multisig"].alias("multisig"),
         F.when(f["op_return"], f["size"]).otherwise(F.lit(0)).alias("carrier"),
         f["op_return"].alias("op_return"),
-        _standard(f["script"], f["multisig"], f["witness"]).alias("standard"),
+        _standard(f["script"], f["op_return"], f["multisig"], f["witness"], f["lead"],
+                  f["push"]).alias("standard"),
         (f["value"] < _threshold(f["size"], f["op_return"], f["witness"], policy)
          ).alias("dust")))
 

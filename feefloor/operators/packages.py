@@ -1,17 +1,19 @@
 """Packages: connected transactions of one block, priced together.
 
-A block of ordinary size is grouped in one Arrow batch by a small numpy
-routine. A block with more linked transactions than ``max_block_rows`` is
-grouped by joins instead, so no task ever has to hold it. Both ways give the
-same packages.
+Blocks of ordinary size are brought together by one shuffle, sorted by block,
+and grouped many at a time by a small numpy routine over Arrow batches. A block
+with more linked transactions than ``max_block_rows`` is grouped by joins
+instead, so no task ever has to hold it. Both ways give the same packages.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from feefloor.functions.measures import ratio
 from feefloor.session import cut_lineage, split_by_group_size
 
-# The grouped function travels with its job, so workers need no copy of this
+# The batch function travels with its job, so workers need no copy of this
 # package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,45 +46,74 @@ def packages(working_set: DataFrame, max_block_rows: int = MAX_BLOCK_ROWS) -> Da
         .alias("virtual_size"),
         F.coalesce("parent_hashes", F.array().cast("array<string>")).alias("parent_hashes"))
     normal, oversized = split_by_group_size(rows, "block_number", max_block_rows)
-    grouped = normal.groupBy("block_number").applyInPandas(_one_block, PACKAGE_SCHEMA)
+    grouped = (normal.repartition("block_number")
+               .sortWithinPartitions("block_number", "tx_hash")
+               .mapInArrow(_whole_blocks, PACKAGE_SCHEMA))
     if oversized is None:
         return grouped
     return grouped.unionByName(packages_by_joins(oversized))
 
 
-# --- one block in one task -------------------------------------------------
-
-def _one_block(block: pd.DataFrame) -> pd.DataFrame:
-    # In hash order a position is also the rank of the hash, so the smallest
-    # position of a component is its smallest hash.
-    block = block.sort_values("tx_hash", ignore_index=True)
-    n = len(block)
-    child = np.repeat(np.arange(n), block["parent_hashes"].str.len().to_numpy())
-    parent = pd.Index(block["tx_hash"]).get_indexer(
-        pd.Index(np.concatenate(block["parent_hashes"].to_numpy()), dtype=object))
-    known = parent >= 0  # a parent outside the working set joins nothing
+# --- whole blocks in one task ----------------------------------------------
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Group complete blocks as they arrive; the last, perhaps unfinished, block
+    of a batch waits for the next one."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        blocks = table["block_number"].to_numpy()
+        start = int(np.searchsorted(blocks, blocks[-1])) if len(blocks) else 0
+        if start:
+            yield _package_rows(table.slice(0, start))
+        held = table.slice(start)
+    if held is not None and held.num_rows:
+        yield _package_rows(held)
+
+
+def _package_rows(table: pa.Table) -> pa.RecordBatch:
+    """Rows sorted by block and hash: a smaller position is a smaller hash, so
+    the first position of a component names its package."""
+    table = table.combine_chunks()
+    n = table.num_rows
+    hashes, lists = (_one_array(table[c]) for c in ("tx_hash", "parent_hashes"))
+    _, block = np.unique(table["block_number"].to_numpy(), return_inverse=True)
+    child = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    named = pa.concat_arrays([hashes, lists.flatten()]).dictionary_encode()
+    code = named.indices.to_numpy(zero_copy_only=False)
+    width = len(named.dictionary)
+    own = block * width + code[:n]
+    wanted = block[child] * width + code[n:]
+    order = np.argsort(own)
+    place = np.searchsorted(own, wanted, sorter=order)
+    parent = order[np.minimum(place, n - 1)]
+    known = own[parent] == wanted  # a parent outside the working set joins nothing
     child, parent = child[known], parent[known]
 
     label = _components(n, child, parent)
-    fee = np.bincount(label, weights=None, minlength=n) * 0
-    vsize = fee.copy()
-    np.add.at(fee, label, block["fee"].to_numpy())
-    np.add.at(vsize, label, block["virtual_size"].to_numpy())
-    size = np.bincount(label, minlength=n)
-    count, ancestor_vsize = _ancestors(block["virtual_size"].to_numpy(), child, parent)
-    total_fee, total_vsize = fee[label], vsize[label]
-    rate = np.divide(total_fee, total_vsize, where=total_vsize != 0,
-                     out=np.full(n, np.nan))
-    return pd.DataFrame({
-        "tx_hash": block["tx_hash"], "block_number": block["block_number"],
-        "package_id": block["tx_hash"].to_numpy()[label],
-        "package_tx_count": size[label],
+    fee, vsize = (table[c].to_numpy() for c in ("fee", "virtual_size"))
+    total_fee, total_vsize = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.add.at(total_fee, label, fee)
+    np.add.at(total_vsize, label, vsize)
+    total_fee, total_vsize = total_fee[label], total_vsize[label]
+    count, ancestor_vsize = _ancestors(vsize, child, parent)
+    empty = total_vsize == 0
+    rate = total_fee / np.where(empty, 1, total_vsize)
+    return pa.RecordBatch.from_pydict({
+        "tx_hash": hashes, "block_number": _one_array(table["block_number"]),
+        "package_id": hashes.take(pa.array(label)),
+        "package_tx_count": np.bincount(label, minlength=n)[label],
         "package_fee": total_fee, "package_vsize": total_vsize,
-        "effective_fee_rate": pd.array(
-            [None if np.isnan(r) else r for r in rate], dtype="Float64"),
+        "effective_fee_rate": pa.array(rate, mask=empty),
         "ancestor_count": count, "ancestor_vsize": ancestor_vsize})
 
 
+def _one_array(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member position per component: hook roots, then halve paths."""
     label = np.arange(n)

@@ -49,12 +49,13 @@ class Stages:
             self._open[name] = read_stage(self.spark, f"{self.folder}/{name}")
         return self._open[name]
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, month: str | None = None) -> DataFrame:
         # Tables of one row per transaction are split by month and sorted by
         # block; one row per block or fewer needs neither.
         path = f"{self.folder}/{name}"
-        if name in PARTITIONED:
-            self._open[name] = write_stage(df, path, "block_month", "block_number")
+        month = month or ("block_month" if name in PARTITIONED else None)
+        if month:
+            self._open[name] = write_stage(df, path, month, "block_number")
         else:
             self._open[name] = write_stage(df, path)
         return self._open[name]

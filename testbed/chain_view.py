@@ -227,7 +227,10 @@ class ChainTables:
 
     def _stage(self, name: str, build) -> DataFrame:
         if name not in self._built:
-            self.stages.write(name, build())
+            if name == "raw_transactions":  # split by month, as public exports are
+                self.stages.write(name, build(), "block_timestamp_month")
+            else:
+                self.stages.write(name, build())
             self._built.add(name)
         return self.stages[name]
 
