@@ -49,19 +49,30 @@ class Stages:
             self._open[name] = read_stage(self.spark, f"{self.folder}/{name}")
         return self._open[name]
 
-    def write(self, name: str, df: DataFrame, month: str | None = None) -> DataFrame:
-        # Tables of one row per transaction are split by month and sorted by
-        # block; one row per block or fewer needs neither.
+    def write(self, name: str, df: DataFrame, layout: Layout | None = None) -> DataFrame:
         path = f"{self.folder}/{name}"
-        month = month or ("block_month" if name in PARTITIONED else None)
-        if month:
-            self._open[name] = write_stage(df, path, month, "block_number")
+        layout = layout or LAYOUTS.get(name)
+        if layout:
+            self._open[name] = write_stage(df, path, layout.month, "block_number",
+                                           layout.rebalance)
         else:
             self._open[name] = write_stage(df, path)
         return self._open[name]
 
 
-PARTITIONED = frozenset({"tx_base", "txs_linked", "tx_in_package", "txs_priced", "txs"})
+@dataclass(frozen=True)
+class Layout:
+    """Split by a month column; rows come by month already unless rebalanced."""
+
+    month: str = "block_month"
+    rebalance: bool = True
+
+
+# The extract keeps the month split its source has, without a shuffle, and the
+# final transaction table is brought back to it once. The tables in between are
+# read whole by the next step, so nothing is spent on their layout; one row per
+# block or fewer needs none.
+LAYOUTS = {"tx_base": Layout(rebalance=False), "txs": Layout()}
 
 Step = Callable[[Source, Stages, Policy], DataFrame]
 

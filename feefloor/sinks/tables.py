@@ -9,16 +9,19 @@ MONTH = "block_month"
 
 
 def write_stage(df: DataFrame, path: str, partition: str | None = None,
-                cluster: str | None = None) -> DataFrame:
+                cluster: str | None = None, rebalance: bool = True) -> DataFrame:
     """Replace a stage table and read it back.
 
-    The rebalance hint lets the engine pick file sizes and split a hot
-    partition value over several tasks; rows are sorted by the cluster column
-    inside each file, so its min/max statistics stay tight.
+    The rebalance hint brings the rows of a partition value together, lets the
+    engine pick file sizes and split a hot value over several tasks. Rows that
+    already arrive by partition value need no such shuffle. Either way rows
+    are sorted by the cluster column inside each file, so its min/max
+    statistics stay tight.
     """
     if partition:
         keys = [k for k in (partition, cluster) if k]
-        df.hint("rebalance", partition).sortWithinPartitions(*keys).write.mode(
+        rows = df.hint("rebalance", partition) if rebalance else df
+        rows.sortWithinPartitions(*keys).write.mode(
             "overwrite").partitionBy(partition).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)

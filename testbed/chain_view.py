@@ -9,11 +9,13 @@ and no relation needs a window or a cross join.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feefloor.operators.floor import apply_block_floor, apply_block_fullness
-from feefloor.plans.pipeline import STEPS, Source, Stages
+from feefloor.plans.pipeline import STEPS, Layout, Source, Stages
 from feefloor.policy import Policy
 from feefloor.session import shared_dir
 
@@ -117,9 +119,9 @@ def flat_relations(dialect: str) -> dict[str, str]:
             CAST(1500000 + b % 1000 AS BIGINT) AS size, txs AS transaction_count,
             CASE WHEN b % 13 = 0 THEN CAST(NULL AS {text})
               WHEN b % 11 = 0 THEN {d['hex']}(concat('/anonymous-', {s('b % 3')}, '/'))
-              ELSE {d['hex']}(concat('/Mined by ', p_brand, '/')) END AS coinbase_param
-          FROM (SELECT b, CAST(count(*) + 1 AS BIGINT) AS txs FROM keyed GROUP BY b) g
-          JOIN part ON p_partkey = b % 200""",
+              ELSE {d['hex']}(concat('/Mined by Brand#', {s('1 + (b * 7 + txs) % 25')}, '/'))
+              END AS coinbase_param
+          FROM (SELECT b, CAST(count(*) + 1 AS BIGINT) AS txs FROM keyed GROUP BY b) g""",
         "brands": """
           SELECT DISTINCT CAST(replace(p_brand, 'Brand#', '') AS BIGINT) AS n FROM part""",
         "pool_ids": f"""
@@ -166,9 +168,6 @@ def flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     names = (*_NEEDS.get(name, ()), name)
     clause = ",\n".join(f"{n} AS ({body[n]})" for n in names)
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    for t in TABLES:
-        clause = clause.replace(f"FROM {t}\n", f"FROM {{{t}}}\n")
-    import re
     clause = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", clause)
     used = {t: df for t, df in frames.items() if f"{{{t}}}" in clause}
     return spark.sql(f"WITH {clause} SELECT * FROM {name}", **used)
@@ -228,7 +227,7 @@ class ChainTables:
     def _stage(self, name: str, build) -> DataFrame:
         if name not in self._built:
             if name == "raw_transactions":  # split by month, as public exports are
-                self.stages.write(name, build(), "block_timestamp_month")
+                self.stages.write(name, build(), Layout("block_timestamp_month"))
             else:
                 self.stages.write(name, build())
             self._built.add(name)
@@ -266,7 +265,6 @@ def chain_tables(spark: SparkSession, sf_dir: str) -> ChainTables:
     """Tables for one folder, shared by the queries of one application."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     if key not in _tables:
-        import uuid
         _tables[key] = ChainTables(
             spark, sf_dir.rstrip("/"), f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}")
     return _tables[key]
