@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feefloor.functions.measures import ratio
@@ -206,13 +206,14 @@ def component_roots(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the component size. Only the
     changed-row test reaches the driver.
     """
-    stars = edges.select("block_number", F.greatest("child", "parent").alias("v"),
-                         F.least("child", "parent").alias("u")).distinct()
+    stars = cut_lineage(edges.select(
+        "block_number", F.greatest("child", "parent").alias("v"),
+        F.least("child", "parent").alias("u")).distinct(), "stars")
     while True:
         moved = cut_lineage(_small_star(_large_star(stars)), "stars")
-        same = ["block_number", "v", "u"]
-        if (moved.join(stars, same, "left_anti").isEmpty()
-                and stars.join(moved, same, "left_anti").isEmpty()):
+        # Both are sets of rows, so equal counts and no missing row mean equal.
+        if (moved.count() == stars.count()
+                and stars.join(moved, ["block_number", "v", "u"], "left_anti").isEmpty()):
             return moved.select("block_number", F.col("v").alias("tx_hash"),
                                 F.col("u").alias("root"))
         stars = moved
@@ -240,28 +241,41 @@ def _small_star(stars: DataFrame) -> DataFrame:
 
 def ancestor_counts(members: DataFrame, edges: DataFrame,
                     cap: int = ANCESTOR_CAP) -> DataFrame:
-    """Ancestors up to ``cap`` by doubling: each round joins every member with
-    what its known ancestors know, so the reach doubles.
+    """Ancestors up to ``cap`` by doubling the distance looked back each round.
 
-    Known lists stay at ``cap`` entries. That is exact below the cap: a short
-    list is complete within its reach, and one full list fills its reader's.
+    A member knows its ancestors within ``reach`` generations. Those exactly
+    that far back pass on what they know, which doubles the reach. Known lists
+    stay at ``cap`` entries, which is exact below the cap: a shorter list is
+    complete within its reach, and one full list fills its reader's.
     """
-    self_row = F.struct("tx_hash", "virtual_size")
-    parent_rows = (edges.join(members.withColumnRenamed("tx_hash", "parent"),
-                              ["block_number", "parent"])
-                   .select("block_number", F.col("child").alias("tx_hash"),
-                           F.struct(F.col("parent").alias("tx_hash"), "virtual_size")
-                           .alias("a")))
-    own = members.select("block_number", "tx_hash", self_row.alias("a"))
-    known = cut_lineage(_keep_cap(own.unionByName(parent_rows), cap), "ancestors")
+    def entry(name, distance):
+        return F.struct(F.col(name).alias("tx_hash"), distance.alias("distance"),
+                        F.col("virtual_size").alias("virtual_size"))
+
+    parents = (edges.join(members.withColumnRenamed("tx_hash", "parent"),
+                          ["block_number", "parent"])
+               .groupBy("block_number", F.col("child").alias("tx_hash"))
+               .agg(F.collect_list(entry("parent", F.lit(1))).alias("found")))
+    known = cut_lineage(members.join(parents, ["block_number", "tx_hash"], "left").select(
+        "block_number", "tx_hash",
+        _extend(F.array(entry("tx_hash", F.lit(0))), cap).alias("known")), "ancestors")
     reach = 1
     while reach < cap - 1:
-        pairs = known.select("block_number", "tx_hash",
-                             F.explode("known.tx_hash").alias("via"))
-        wider = (pairs.join(known.select("block_number", F.col("tx_hash").alias("via"),
-                                         F.col("known")), ["block_number", "via"])
-                 .select("block_number", "tx_hash", F.explode("known").alias("a")))
-        known = cut_lineage(_keep_cap(wider, cap), "ancestors")
+        farthest = F.filter("known", lambda a: a["distance"] == reach)
+        asks = known.where(F.size("known") < cap).select(
+            "block_number", "tx_hash", F.explode(farthest["tx_hash"]).alias("via"))
+        if asks.isEmpty():
+            break
+        theirs = known.select("block_number", F.col("tx_hash").alias("via"), F.transform(
+            F.filter("known", lambda a: a["distance"] > 0), lambda a: F.struct(
+                a["tx_hash"].alias("tx_hash"), (a["distance"] + reach).alias("distance"),
+                a["virtual_size"].alias("virtual_size"))).alias("theirs"))
+        # Fewer than cap askers' lists of at most cap entries each.
+        found = (asks.join(theirs, ["block_number", "via"])
+                 .groupBy("block_number", "tx_hash")
+                 .agg(F.flatten(F.collect_list("theirs")).alias("found")))
+        known = cut_lineage(known.join(found, ["block_number", "tx_hash"], "left").select(
+            "block_number", "tx_hash", _extend(F.col("known"), cap).alias("known")), "ancestors")
         reach *= 2
     return known.select(
         "block_number", "tx_hash", F.size("known").cast("long").alias("ancestor_count"),
@@ -269,9 +283,10 @@ def ancestor_counts(members: DataFrame, edges: DataFrame,
         .alias("ancestor_vsize"))
 
 
-def _keep_cap(rows: DataFrame, cap: int) -> DataFrame:
-    """At most ``cap`` distinct ancestors per member: the ones a rank keeps."""
-    ranked = rows.distinct().withColumn("place", F.row_number().over(
-        Window.partitionBy("block_number", "tx_hash").orderBy("a")))
-    return (ranked.where(f"place <= {cap}").groupBy("block_number", "tx_hash")
-            .agg(F.collect_list("a").alias("known")))
+def _extend(known: Column, cap: int) -> Column:
+    """``known`` and the new ones of ``found``, each once at its nearest."""
+    ordered = F.array_sort("found")  # by hash, then distance
+    nearest = F.filter(ordered, lambda a, i: (i == 0) | (
+        F.get(ordered, i - 1)["tx_hash"] != a["tx_hash"]))
+    fresh = F.filter(nearest, lambda a: ~F.exists(known, lambda k: k["tx_hash"] == a["tx_hash"]))
+    return F.slice(F.coalesce(F.concat(known, fresh), known), 1, cap)

@@ -117,6 +117,17 @@ def test_join_way_equals_brute_force(spark, random_rows):
     assert comparable(run(spark, random_rows, max_block_rows=60)) == brute(random_rows)
 
 
+def test_blocks_that_span_batches(spark, random_rows):
+    """Tiny Arrow batches: a block ends in a later batch than it began in."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert comparable(run(spark, random_rows)) == brute(random_rows)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_same_hash_in_two_blocks(spark):
     rows = [("a", 1, 10, 10, []), ("b", 1, 30, 10, ["a"]), ("a", 2, 50, 10, []),
             ("b", 2, 70, 10, ["a"])]
