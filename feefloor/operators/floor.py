@@ -23,10 +23,11 @@ def block_percentiles(txs: DataFrame, policy: Policy = Policy(),
     relayable = F.when(F.col("relayable"), F.col("rate"))
     low = policy.floor_percentile
     plain = normal.groupBy("block_number").agg(
-        F.percentile(relayable, low).alias("p05_fee_rate"),
+        F.percentile(relayable, [low, 0.5]).alias("r"),
         F.percentile("rate", low).alias("p05_all"),
-        F.percentile(relayable, 0.5).alias("median_fee_rate"),
-        F.count("*").alias("priced_tx_count"))
+        F.count("*").alias("priced_tx_count")).select(
+        "block_number", F.get("r", F.lit(0)).alias("p05_fee_rate"), "p05_all",
+        F.get("r", F.lit(1)).alias("median_fee_rate"), "priced_tx_count")
     if oversized is None:
         return plain
     return plain.unionByName(percentiles_by_rank(oversized, low))

@@ -100,6 +100,12 @@ def in_package_set(txs: DataFrame) -> DataFrame:
                     "parent_hashes"))
 
 
+def block_range(working_set: DataFrame) -> tuple[int, int] | None:
+    """First and last block of the working set; None when it is empty."""
+    row = working_set.agg(F.min("block_number"), F.max("block_number")).first()
+    return None if row[0] is None else (row[0], row[1])
+
+
 def read_in_package(working_set: DataFrame, low: int, high: int) -> DataFrame:
     """Working set of a block range; the range reaches the file scan."""
     return working_set.where(F.col("block_number").between(low, high))

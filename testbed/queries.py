@@ -277,10 +277,11 @@ def build() -> dict[str, tuple]:
         "DATE '2025-03-01', INTERVAL 1 MONTH)) AS m)")
     q["list_months"] = (acc_months, "SELECT month FROM acc_months")
     q["read_in_package"] = (
-        lambda t: relay.read_in_package(t["tx_in_package"], 800_005, 800_025).select(
+        lambda t: relay.read_in_package(
+            t["tx_in_package"], *relay.block_range(t["tx_in_package"])).select(
             "tx_hash", "block_number", "fee", "virtual_size"),
         "SELECT tx_hash, block_number, j.fee, virtual_size FROM judged j WHERE in_package "
-        "AND NOT is_coinbase AND block_number BETWEEN 800005 AND 800025")
+        "AND NOT is_coinbase")
 
     # scalar functions, over every output, input or row
     for name, column, sql in (
@@ -605,13 +606,13 @@ def build() -> dict[str, tuple]:
         "ORDER BY low_fee_vbytes_50 DESC, pool_name LIMIT 12")
     q["pool_fees_by_month"] = (acc_fees, "SELECT * FROM acc_spine")
     q["monthly_pool_shares"] = (
-        lambda t: summary.monthly_pool_shares(t["blocks"], 12, 3),
+        lambda t: summary.monthly_pool_shares(t["blocks"]),
         "SELECT block_month, pool_name, blocks, share FROM (SELECT *, "
         "CAST(blocks AS DOUBLE) / sum(blocks) OVER (PARTITION BY block_month) AS share, "
         "row_number() OVER (PARTITION BY block_month ORDER BY blocks DESC, pool_name) AS place, "
         "dense_rank() OVER (ORDER BY block_month DESC) AS age FROM (SELECT block_month, "
         "pool_name, count(*) AS blocks FROM attributed GROUP BY block_month, pool_name)) "
-        "WHERE place <= 3 AND age <= 12")
+        "WHERE place <= 12 AND age <= 12")
     q["attribution_quality"] = (
         lambda t: summary.attribution_quality(t["blocks"]),
         "SELECT pool_source, count(*) AS blocks, CAST(count(*) AS DOUBLE) "
@@ -644,10 +645,10 @@ def build() -> dict[str, tuple]:
 
     # sort, top-k, sampling
     q["top_low_fee"] = both(
-        lambda t: lowfee.top_low_fee(lowfee.low_fee_txs(t["txs"], t["blocks"]), 50).select(
+        lambda t: lowfee.top_low_fee(lowfee.low_fee_txs(t["txs"], t["blocks"])).select(
             "tx_hash", "block_month", "pool_name", "upper_band_sats"),
         "SELECT tx_hash, block_month, pool_name, upper_band_sats FROM low WHERE low_fee_50 "
-        "ORDER BY upper_band_sats DESC, tx_hash LIMIT 50", {"upper_band_sats": 4})
+        "ORDER BY upper_band_sats DESC, tx_hash LIMIT 5000", {"upper_band_sats": 4})
     q["fixed_sample"] = (
         lambda t: quality.fixed_sample(flagged(t), 10).select("block_number", "low_fee_txs"),
         "SELECT block_number, count(*) AS low_fee_txs FROM low GROUP BY block_number, "
