@@ -8,6 +8,7 @@ import pytest
 from feefloor.operators import packages as pk
 
 SCHEMA = "tx_hash string, block_number long, fee long, virtual_size long, parent_hashes array<string>"
+# Hand-computed packages, one shape per block.
 FIXTURE = [
     ("a", 100, 100, 100, []), ("b", 100, 500, 100, ["a"]), ("c", 100, 600, 100, ["b"]),
     ("p", 101, 20, 100, []), ("c1", 101, 300, 100, ["p"]), ("c2", 101, 400, 100, ["p"]),
