@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from feefloor.functions.measures import block_date, block_month, coinbase_text
 
-# Tags are matched through their first characters; shorter tags match whole.
-ANCHOR = 4
-
 
 def tag_lookup(pools: DataFrame) -> DataFrame:
     """Lower-cased tag -> pool; the first pool by name keeps a shared tag."""
@@ -52,21 +49,24 @@ def coinbase_of_block(base: DataFrame) -> DataFrame:
 def tag_matches(blocks: DataFrame, tags: DataFrame) -> DataFrame:
     """(block_number, pool_name, tag) for every tag inside the coinbase text.
 
-    A substring test alone would pair every block with every tag. Instead each
-    text yields its short pieces, joined by equality with the first characters
-    of the tags, and only those candidates are tested in full.
+    A substring test would pair every block with every tag. Instead each text
+    is cut into its pieces of the lengths tags have, and a piece equal to a tag
+    is a match: an equi-join that yields matches only. The driver learns the
+    distinct tag lengths, a few small numbers.
     """
+    tags = tags.where("tag <> ''").select("pool_name", "tag")
+    lengths = sorted(r[0] for r in tags.select(F.length("tag")).distinct().collect())
     text = F.lower("coinbase_text")
-    pieces = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length(text)),
-        lambda p: F.array(*[F.substring(text, p, F.lit(k)) for k in range(1, ANCHOR + 1)])))
-    anchored = (blocks.where("coinbase_text <> ''")
-                .select("block_number", text.alias("text"),
-                        F.explode(F.array_distinct(pieces)).alias("anchor")))
-    keyed = (tags.where("tag <> ''")
-             .select("pool_name", "tag", F.substring("tag", 1, ANCHOR).alias("anchor")))
-    return (anchored.join(keyed, "anchor").where(F.contains("text", F.col("tag")))
-            .select("block_number", "pool_name", "tag"))
+
+    def pieces(n: int):
+        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+        return F.when(F.length(text) >= n, F.transform(
+            starts, lambda p: F.substring(text, p, F.lit(n))))
+
+    none = F.array().cast("array<string>")
+    cut = F.flatten(F.array(none, *[F.coalesce(pieces(n), none) for n in lengths]))
+    return (blocks.select("block_number", F.explode(F.array_distinct(cut)).alias("tag"))
+            .join(tags, "tag").select("block_number", "pool_name", "tag"))
 
 
 def attribute_by_tag(blocks: DataFrame, tags: DataFrame) -> DataFrame:
