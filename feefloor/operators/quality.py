@@ -99,10 +99,8 @@ def invariants(txs: DataFrame, blocks: DataFrame, percentiles: DataFrame) -> Dat
         F.count_if(c("low_fee_70") & c("is_nonrelayable")).alias("b"),
         F.count_if(c("is_nonrelayable") != reasons).alias("c"),
         F.count_if(c("is_coinbase") & c("is_nonrelayable")).alias("d"))
-    names = ("transactions with no effective fee rate",
-             "low-fee transactions that are non-relayable",
-             "transactions whose verdict disagrees with its reasons",
-             "non-relayable coinbase transactions")
+    names = ("missing_rate", "low_fee_nonrelayable", "verdict_mismatch",
+             "nonrelayable_coinbase")
     simple = one_pass.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("check"), c(k).alias("violations"))
         for n, k in zip(names, "abcd")])))
@@ -111,11 +109,11 @@ def invariants(txs: DataFrame, blocks: DataFrame, percentiles: DataFrame) -> Dat
                 .agg(F.min("effective_fee_rate").alias("lo"),
                      F.max("effective_fee_rate").alias("hi"))
                 .agg(F.count_if(c("lo") < c("hi")).alias("violations"))
-                .select(F.lit("packages whose members disagree on the price").alias("check"),
+                .select(F.lit("package_price_mismatch").alias("check"),
                         "violations"))
     floors = (blocks.where("floor_fee_rate IS NOT NULL")
               .join(percentiles.select("block_number"), "block_number", "left_anti")
               .agg(F.count("*").alias("violations"))
-              .select(F.lit("blocks with a floor but no percentile row").alias("check"),
+              .select(F.lit("floor_without_percentiles").alias("check"),
                       "violations"))
     return simple.unionByName(packages).unionByName(floors)

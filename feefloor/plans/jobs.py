@@ -21,6 +21,7 @@ from feefloor.sinks.tables import merge_months, merge_sample, months_covered
 from feefloor.sources.accelerations import list_months, read_accelerations
 from feefloor.sources.pools import parse_pool_ids, read_pools
 
+# First block public audits cover, and rows kept in the sample.
 MIN_AUDITED_HEIGHT = 790_000
 SAMPLE_SIZE = 5_000
 

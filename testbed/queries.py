@@ -8,6 +8,7 @@ the order of additions is free; plain quotients are compared as they are.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from feefloor.operators import accelerations as acc
 from feefloor.operators import attribution as att
 from feefloor.operators import extract, floor, linkage, lowfee, packages, quality, relay
 from feefloor.operators import summary, updates
-from feefloor.plans import pipeline
+from feefloor.plans import jobs, pipeline
 from feefloor.policy import Policy, policy_as_of
 from feefloor.sinks import report, results, tables
 from feefloor.sources import accelerations as src_acc
@@ -80,6 +81,35 @@ def pool_docs(t: ChainTables) -> DataFrame:
     return t.source.pools.select(F.to_json(F.array(entry)).alias("value"))
 
 
+def refreshed(t: ChainTables) -> DataFrame:
+    """A fresh list of all pools against a table that holds the tagged ones."""
+    entry = F.struct(F.col("pool_id").alias("id"), F.col("pool_name").alias("name"),
+                     "tags", "addresses")
+    listing, table = roundtrip(t, "list"), roundtrip(t, "pools")
+    # One document of at most 25 entries, as the list is published.
+    t.source.pools.agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(listing)
+    t.source.pools.where("size(tags) > 0").write.parquet(table)
+    return jobs.refresh_pools(t.spark, listing, table)
+
+
+def exported(t: ChainTables) -> DataFrame:
+    """Result tables merged, written as JSON, and read back."""
+    for name in (*jobs.RESULTS, "low_fee_txs"):
+        t[name]
+    out = roundtrip(t, "export")
+    jobs.export_results(t.stages, out)
+    schema = results.json_safe(t["low_fee_sensitivity"]).schema
+    return t.spark.read.schema(schema).json(f"{out}/low_fee_sensitivity.json")
+
+
+def exported_onchain(t: ChainTables) -> DataFrame:
+    t["onchain_monthly_fee"]
+    out = roundtrip(t, "onchain")
+    jobs.export_onchain_fee(t.stages, out)
+    return t.spark.read.schema("month string, txs long, blocks long, fee_sats long").json(
+        f"{out}/onchain_monthly_fee.json")
+
+
 def audits(t: ChainTables) -> DataFrame:
     """Audit lists derived from the transactions: blocks with an even number
     have one; it lists some of the block's hashes (a block has 49 at most)."""
@@ -95,8 +125,7 @@ def flagged(t: ChainTables) -> DataFrame:
     return quality.flagged_blocks(t["txs"], t["blocks"], "low_fee_70", 790_000)
 
 
-def roundtrip(t: ChainTables, df: DataFrame, name: str) -> str:
-    import uuid
+def roundtrip(t: ChainTables, name: str) -> str:
     return f"{t.stages.folder}/io-{name}-{uuid.uuid4().hex}"
 
 
@@ -124,13 +153,13 @@ def joined(df: DataFrame, *columns: str) -> DataFrame:
 
 def io_stage(t: ChainTables) -> DataFrame:
     df = t["txs"].select("tx_hash", "block_number", "block_month", "fee")
-    return tables.write_stage(df, roundtrip(t, df, "stage"), "block_month", "block_number")
+    return tables.write_stage(df, roundtrip(t, "stage"), "block_month", "block_number")
 
 
 def io_months(t: ChainTables) -> DataFrame:
     """Two writes to one table; the second replaces one month only."""
     df = t["txs"].select("tx_hash", "block_month", "fee")
-    path = roundtrip(t, df, "months")
+    path = roundtrip(t, "months")
     tables.write_months(df, path)
     tables.write_months(df.where(F.col("block_month") == RERUN)
                         .withColumn("fee", F.col("fee") + 1), path)
@@ -139,7 +168,7 @@ def io_months(t: ChainTables) -> DataFrame:
 
 def io_json(t: ChainTables) -> DataFrame:
     df = t["pool_summary"]
-    path = roundtrip(t, df, "json")
+    path = roundtrip(t, "json")
     results.write_result_json(df, path, ["block_month", "pool_name"])
     return t.spark.read.schema(results.json_safe(df).schema).json(path).select(
         "block_month", "pool_name", "blocks", "vbytes", "low_fee_vbytes_50")
@@ -148,7 +177,7 @@ def io_json(t: ChainTables) -> DataFrame:
 def io_accelerations(t: ChainTables) -> DataFrame:
     """Records written as JSON and read back with the record schema."""
     df = accelerations(t.spark, t.sf_dir)
-    path = roundtrip(t, df, "acc")
+    path = roundtrip(t, "acc")
     df.drop("month").write.json(path)
     return src_acc.read_accelerations(t.spark, path, multi_line=False).select(
         "txid", "status", "feeDelta", "minedByPoolUniqueId")
@@ -236,6 +265,26 @@ def reason_query(name: str):
             f"FROM {relation}")
 
 
+def audit_sql(pick: str) -> str:
+    """Overlap totals of the flagged blocks that ``pick`` keeps."""
+    return (
+        "SELECT count(*) AS blocks, count(a.block_hash) AS audited, "
+        "count(*) - count(a.block_hash) AS without_audit, "
+        "count(*) FILTER (WHERE x.hit_added + x.hit_acc > 0) AS blocks_with_overlap, "
+        "CAST(coalesce(sum(x.mine), 0) AS BIGINT) AS low_fee, "
+        "CAST(coalesce(sum(x.hit_added), 0) AS BIGINT) AS in_added, "
+        "CAST(coalesce(sum(x.hit_acc), 0) AS BIGINT) AS in_accelerated, "
+        "CAST(sum(x.hit_added) AS DOUBLE) / NULLIF(sum(x.mine), 0) AS added_share, "
+        "CAST(sum(x.hit_acc) AS DOUBLE) / NULLIF(sum(x.mine), 0) AS accelerated_share "
+        "FROM (SELECT block_hash, list(tx_hash) AS h FROM low GROUP BY block_hash "
+        f"{pick}) f "
+        f"LEFT JOIN {AUDIT_SQL} a USING (block_hash) LEFT JOIN LATERAL (SELECT "
+        "CASE WHEN a.block_hash IS NOT NULL THEN len(f.h) END AS mine, "
+        "CASE WHEN a.block_hash IS NOT NULL THEN coalesce(len(list_intersect(f.h, a.added)), 0)"
+        " END AS hit_added, CASE WHEN a.block_hash IS NOT NULL THEN "
+        "coalesce(len(list_intersect(f.h, a.accelerated)), 0) END AS hit_acc) x ON TRUE")
+
+
 def build() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
 
@@ -483,21 +532,10 @@ def build() -> dict[str, tuple]:
         "SELECT pool_name FROM pool_addresses) EXCEPT SELECT pool_name FROM attributed "
         "WHERE pool_name <> 'Pool 3')")
     q["audit_overlap"] = (
-        lambda t: quality.audit_overlap(flagged(t), audits(t)),
-        "SELECT count(*) AS blocks, count(a.block_hash) AS audited, "
-        "count(*) - count(a.block_hash) AS without_audit, "
-        "count(*) FILTER (WHERE x.hit_added + x.hit_acc > 0) AS blocks_with_overlap, "
-        "CAST(coalesce(sum(x.mine), 0) AS BIGINT) AS low_fee, "
-        "CAST(coalesce(sum(x.hit_added), 0) AS BIGINT) AS in_added, "
-        "CAST(coalesce(sum(x.hit_acc), 0) AS BIGINT) AS in_accelerated, "
-        "CAST(sum(x.hit_added) AS DOUBLE) / NULLIF(sum(x.mine), 0) AS added_share, "
-        "CAST(sum(x.hit_acc) AS DOUBLE) / NULLIF(sum(x.mine), 0) AS accelerated_share "
-        "FROM (SELECT block_hash, list(tx_hash) AS h FROM low GROUP BY block_hash) f "
-        f"LEFT JOIN {AUDIT_SQL} a USING (block_hash) LEFT JOIN LATERAL (SELECT "
-        "CASE WHEN a.block_hash IS NOT NULL THEN len(f.h) END AS mine, "
-        "CASE WHEN a.block_hash IS NOT NULL THEN coalesce(len(list_intersect(f.h, a.added)), 0)"
-        " END AS hit_added, CASE WHEN a.block_hash IS NOT NULL THEN "
-        "coalesce(len(list_intersect(f.h, a.accelerated)), 0) END AS hit_acc) x ON TRUE")
+        lambda t: quality.audit_overlap(flagged(t), audits(t)), audit_sql(""))
+    q["validate"] = (
+        lambda t: jobs.validate(_with(t, "txs", "blocks"), audits(t), 20, "70"),
+        audit_sql("ORDER BY sha256(concat('feefloor', block_hash)) LIMIT 20"))
     q["packages"] = (
         lambda t: pack(packages.packages(t["tx_in_package"])), "SELECT * FROM packed")
     q["packages_by_joins"] = (
@@ -630,17 +668,17 @@ def build() -> dict[str, tuple]:
         "WHERE block_number >= 790000 GROUP BY block_number, block_hash, pool_name")
     q["invariants"] = (
         lambda t: quality.invariants(t["txs"], t["blocks"], t["block_percentiles"]),
-        "SELECT 'transactions with no effective fee rate' AS \"check\", (SELECT count(*) FROM "
+        "SELECT 'missing_rate' AS \"check\", (SELECT count(*) FROM "
         "verdicts WHERE NOT is_coinbase AND effective_fee_rate IS NULL) AS violations "
-        "UNION ALL SELECT 'low-fee transactions that are non-relayable', (SELECT count(*) FROM "
+        "UNION ALL SELECT 'low_fee_nonrelayable', (SELECT count(*) FROM "
         "flagged WHERE low_fee_70 AND is_nonrelayable) "
-        "UNION ALL SELECT 'transactions whose verdict disagrees with its reasons', 0 "
-        "UNION ALL SELECT 'non-relayable coinbase transactions', (SELECT count(*) FROM verdicts "
+        "UNION ALL SELECT 'verdict_mismatch', 0 "
+        "UNION ALL SELECT 'nonrelayable_coinbase', (SELECT count(*) FROM verdicts "
         "WHERE is_coinbase AND is_nonrelayable) "
-        "UNION ALL SELECT 'packages whose members disagree on the price', (SELECT count(*) FROM "
+        "UNION ALL SELECT 'package_price_mismatch', (SELECT count(*) FROM "
         "(SELECT package_id FROM verdicts WHERE package_id IS NOT NULL GROUP BY package_id, "
         "block_number HAVING count(DISTINCT effective_fee_rate) > 1)) "
-        "UNION ALL SELECT 'blocks with a floor but no percentile row', (SELECT count(*) FROM "
+        "UNION ALL SELECT 'floor_without_percentiles', (SELECT count(*) FROM "
         "blocks ANTI JOIN percentiles USING (block_number) WHERE floor_fee_rate IS NOT NULL)")
 
     # sort, top-k, sampling
@@ -697,6 +735,16 @@ def build() -> dict[str, tuple]:
         "SELECT month, coalesce(string_agg(pool_name || ':' || fee_sats, ',' ORDER BY "
         "fee_sats DESC, pool_name) FILTER (WHERE pool_name IS NOT NULL), '') AS pools, "
         'max(month_sum) AS "sum" FROM acc_spine GROUP BY month')
+    q["refresh_pools"] = (
+        refreshed,
+        "SELECT pool_name, 'new' AS change FROM (SELECT pool_name FROM pool_addresses "
+        "EXCEPT SELECT pool_name FROM pool_tags)")
+    q["export_results"] = both(
+        exported, "SELECT * REPLACE (CAST(block_month AS VARCHAR) AS block_month) "
+        "FROM sensitivity", {"lower_band_sats": 2, "upper_band_sats": 2})
+    q["export_onchain_fee"] = (
+        exported_onchain,
+        "SELECT strftime(block_month, '%Y-%m') AS month, txs, blocks, fee_sats FROM onchain")
     q["run_pipeline"] = (
         lambda t: t["txs"].select("tx_hash", "block_number", "is_nonrelayable",
                                   "effective_fee_rate", *[f"low_fee_{s}" for s, _ in SENS]),
@@ -705,7 +753,7 @@ def build() -> dict[str, tuple]:
     q["check"] = (
         lambda t: pipeline.check(_with(t, "txs", "blocks", "block_percentiles"))
         .where("violations > 0"),
-        "SELECT 'transactions with no effective fee rate' AS \"check\", count(*) AS violations "
+        "SELECT 'missing_rate' AS \"check\", count(*) AS violations "
         "FROM verdicts WHERE NOT is_coinbase AND effective_fee_rate IS NULL "
         "HAVING count(*) > 0")
     return q

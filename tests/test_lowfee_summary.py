@@ -132,16 +132,16 @@ def test_invariants_catch_each_fault(spark, tables):
     pct = blocks.select("block_number").where("block_number <> 20")
     got = {r["check"]: r["violations"]
            for r in quality.invariants(txs, blocks, pct).collect()}
-    assert got["transactions with no effective fee rate"] == 1
-    assert got["blocks with a floor but no percentile row"] == 1
+    assert got["missing_rate"] == 1
+    assert got["floor_without_percentiles"] == 1
     broken = (txs.withColumn("is_nonrelayable", F.lit(True))
               .withColumn("package_id", F.lit("same")).withColumn("low_fee_70", F.lit(True)))
     got = {r["check"]: r["violations"]
            for r in quality.invariants(broken, blocks, pct).collect()}
-    assert got["non-relayable coinbase transactions"] == 1
-    assert got["low-fee transactions that are non-relayable"] == 13
-    assert got["transactions whose verdict disagrees with its reasons"] == 12
-    assert got["packages whose members disagree on the price"] == 1
+    assert got["nonrelayable_coinbase"] == 1
+    assert got["low_fee_nonrelayable"] == 13
+    assert got["verdict_mismatch"] == 12
+    assert got["package_price_mismatch"] == 1
 
 
 def test_flagged_blocks_keep_the_first_hashes(spark, tables):

@@ -93,7 +93,7 @@ def test_checks_can_raise(spark, march, tmp_path):
     for name in ("blocks", "block_percentiles"):
         copy.write(name, march[name])
     copy.write("txs", march["txs"].withColumn("effective_fee_rate", F.lit(None).cast("double")))
-    with pytest.raises(ValueError, match="no effective fee rate: 200"):
+    with pytest.raises(ValueError, match="missing_rate: 200"):
         check(copy, strict=True)
 
 
@@ -220,7 +220,7 @@ def test_report_without_full_blocks(spark, march):
     text, heads = report.summary_report(monthly, march["low_fee_sensitivity"],
                                         march["pool_summary"].limit(0))
     assert "n/a of space" in text and heads["30"]["share_of_full_block_space"] is None
-    assert "## By pool" not in text
+    assert "## Pools" not in text
 
 
 def test_month_folders_are_replaced_alone(spark, tmp_path):
