@@ -214,7 +214,7 @@ def merged_months(t: ChainTables) -> DataFrame:
 
 def merged_sample(t: ChainTables) -> DataFrame:
     low = lowfee.low_fee_txs(t["txs"], t["blocks"]).select(
-        "tx_hash", "block_month", F.round("upper_band_sats", 4).alias("upper_band_sats"))
+        "tx_hash", "block_month", F.round("upper_band_sats", 5).alias("upper_band_sats"))
     fresh = low.where(F.col("block_month") >= RERUN)
     old = low.withColumn("upper_band_sats", F.col("upper_band_sats") + 1)
     return tables.merge_sample(old, fresh, tables.months_covered(fresh), 25)
@@ -421,7 +421,7 @@ def build() -> dict[str, tuple]:
         lambda t: lowfee.tx_with_block(t["txs_priced"], t["blocks"])
         .withColumns(lowfee.bands()).select("tx_hash", "lower_band_sats", "upper_band_sats"),
         "SELECT tx_hash, lower_band_sats, upper_band_sats FROM flagged",
-        {"lower_band_sats": 4, "upper_band_sats": 4})
+        {"lower_band_sats": 5, "upper_band_sats": 5})
     q["tag_lookup"] = (lambda t: att.tag_lookup(t.source.pools), "SELECT * FROM tag_of")
     q["address_lookup"] = (lambda t: att.address_lookup(t.source.pools),
                            "SELECT * FROM address_of")
@@ -686,7 +686,7 @@ def build() -> dict[str, tuple]:
         lambda t: lowfee.top_low_fee(lowfee.low_fee_txs(t["txs"], t["blocks"])).select(
             "tx_hash", "block_month", "pool_name", "upper_band_sats"),
         "SELECT tx_hash, block_month, pool_name, upper_band_sats FROM low WHERE low_fee_50 "
-        "ORDER BY upper_band_sats DESC, tx_hash LIMIT 5000", {"upper_band_sats": 4})
+        "ORDER BY upper_band_sats DESC, tx_hash LIMIT 5000", {"upper_band_sats": 5})
     q["fixed_sample"] = (
         lambda t: quality.fixed_sample(flagged(t), 10).select("block_number", "low_fee_txs"),
         "SELECT block_number, count(*) AS low_fee_txs FROM low GROUP BY block_number, "
@@ -697,8 +697,8 @@ def build() -> dict[str, tuple]:
         "fee, virtual_size, raw_fee_rate, effective_fee_rate, package_id, package_tx_count, "
         f"floor_fee_rate, median_fee_rate, block_weight, {LOW_FLAGS}, lower_band_sats, "
         "upper_band_sats FROM low",
-        {"floor_fee_rate": 9, "median_fee_rate": 9, "lower_band_sats": 4,
-         "upper_band_sats": 4})
+        {"floor_fee_rate": 9, "median_fee_rate": 9, "lower_band_sats": 5,
+         "upper_band_sats": 5})
 
     # sinks
     q["write_stage"] = (io_stage, "SELECT tx_hash, block_number, block_month, fee FROM base")
@@ -711,7 +711,7 @@ def build() -> dict[str, tuple]:
         "ELSE low_fee_vbytes_50 END AS low_fee_vbytes_50 FROM pools")
     q["merge_sample"] = (
         merged_sample,
-        "SELECT tx_hash, block_month, round(upper_band_sats, 4) + CASE WHEN block_month < "
+        "SELECT tx_hash, block_month, round(upper_band_sats, 5) + CASE WHEN block_month < "
         f"DATE '{RERUN}' AND (SELECT max(block_month) FROM low) >= DATE '{RERUN}' "
         "THEN 1 ELSE CASE WHEN block_month NOT IN (SELECT block_month FROM low WHERE "
         f"block_month >= DATE '{RERUN}') THEN 1 ELSE 0 END END AS upper_band_sats FROM low "
