@@ -69,22 +69,16 @@ def lead_byte(script: Column) -> Column:
     return F.lower(F.substring(script, 1, 2))
 
 
-def push_length(script: Column) -> Column:
-    """Second byte, read only from scripts short enough to be witness programs."""
-    return F.when(F.length(script).between(8, 85), hex_byte(script, 3))
-
-
-def _witness(size: Column, lead: Column, push: Column) -> Column:
+def is_witness_program(script: Column) -> Column:
+    size = int_div(F.length(script), 2)
+    lead = lead_byte(script)
     return F.coalesce(
-        size.between(4, 42) & (push + 2 == size)
-        & ((lead == "00") | lead.between(f"{OP_1:02x}", f"{OP_16:02x}")),
+        size.between(4, 42)
+        & ((lead == "00") | lead.between(f"{OP_1:02x}", f"{OP_16:02x}"))
+        & (hex_byte(script, 3) + 2 == size),
         F.lit(False))
 
 
-def is_witness_program(script: Column) -> Column:
-    return _witness(int_div(F.length(script), 2), lead_byte(script), push_length(script))
-
-
 def witness_version(script: Column) -> Column:
     return F.greatest(F.coalesce(hex_byte(script, 1) - SMALL_INT_BASE, F.lit(0)), F.lit(0))
 
@@ -93,17 +87,18 @@ def witness_program_bytes(script: Column) -> Column:
     return F.coalesce(hex_byte(script, 3), F.lit(0))
 
 
-def _standard(script: Column, op_return: Column, multisig: Column, witness: Column,
-              lead: Column, push: Column) -> Column:
+def _standard(script: Column, op_return: Column, multisig: Column, witness: Column) -> Column:
     """Matches a standard template; the commonest ones are tested first."""
-    return ((witness & ((lead > f"{SMALL_INT_BASE:02x}") | push.isin(20, 32)))
+    versioned = lead_byte(script) > f"{SMALL_INT_BASE:02x}"
+    sized = F.substring(script, 3, 2).isin(f"{20:02x}", f"{32:02x}")
+    return ((witness & (versioned | sized))
             | is_p2pkh(script) | is_p2sh(script) | op_return | is_p2pk(script)
             | (multisig & (multisig_m(script) <= multisig_n(script))))
 
 
 def is_standard_script(script: Column) -> Column:
     return _standard(script, is_op_return(script), is_bare_multisig(script),
-                     is_witness_program(script), lead_byte(script), push_length(script))
+                     is_witness_program(script))
 
 
 def _threshold(size: Column, op_return: Column, witness: Column, policy: Policy) -> Column:
@@ -113,20 +108,30 @@ def _threshold(size: Column, op_return: Column, witness: Column, policy: Policy)
     return F.when(op_return | (size > policy.max_script_size), F.lit(0)).otherwise(priced)
 
 
+def _dust(value: Column, size: Column, op_return: Column, witness: Column,
+          policy: Policy) -> Column:
+    # No threshold exceeds that of the longest spendable script, so most values
+    # need one comparison.
+    most = policy.dust_fee_per_kvb * (
+        13 + policy.max_script_size + policy.dust_spend_legacy) // 1000
+    return (value < most) & (value < _threshold(size, op_return, witness, policy))
+
+
 def dust_threshold(script: Column, policy: Policy = Policy()) -> Column:
     return _threshold(script_bytes(script), is_op_return(script),
                       is_witness_program(script), policy)
 
 
 def is_dust(value: Column, script: Column, policy: Policy = Policy()) -> Column:
-    return value < dust_threshold(script, policy)
+    return _dust(value, script_bytes(script), is_op_return(script),
+                 is_witness_program(script), policy)
 
 
 def output_stats(outputs: Column, policy: Policy = Policy()) -> Column:
     """Struct of the seven counts the relay rules read; zeros for no outputs.
 
     Array passes read, classify and fold the outputs in place: no explode, so no
-    shuffle. Bytes are read once per output and shared by the tests.
+    shuffle. What several tests share is read once per output.
     """
     facts = F.transform(outputs, lambda o: F.struct(
         o["value"].cast("long").alias("value"),
@@ -134,22 +139,14 @@ def output_stats(outputs: Column, policy: Policy = Policy()) -> Column:
         script_bytes(o["script_hex"]).alias("size"),
         is_op_return(o["script_hex"]).alias("op_return"),
         is_bare_multisig(o["script_hex"]).alias("multisig"),
-        lead_byte(o["script_hex"]).alias("lead"),
-        push_length(o["script_hex"]).alias("push")))
-    typed = F.transform(facts, lambda f: F.struct(
-        f["value"].alias("value"), f["script"].alias("script"), f["size"].alias("size"),
-        f["op_return"].alias("op_return"), f["multisig"].alias("multisig"),
-        f["lead"].alias("lead"), f["push"].alias("push"),
-        _witness(f["size"], f["lead"], f["push"]).alias("witness")))
-    classes = F.transform(typed, lambda f: F.struct(
+        is_witness_program(o["script_hex"]).alias("witness")))
+    classes = F.transform(facts, lambda f: F.struct(
         F.when(f["multisig"], multisig_n(f["script"])).otherwise(0).alias("n"),
         f["multisig"].alias("multisig"),
         F.when(f["op_return"], f["size"]).otherwise(F.lit(0)).alias("carrier"),
         f["op_return"].alias("op_return"),
-        _standard(f["script"], f["op_return"], f["multisig"], f["witness"], f["lead"],
-                  f["push"]).alias("standard"),
-        (f["value"] < _threshold(f["size"], f["op_return"], f["witness"], policy)
-         ).alias("dust")))
+        _standard(f["script"], f["op_return"], f["multisig"], f["witness"]).alias("standard"),
+        _dust(f["value"], f["size"], f["op_return"], f["witness"], policy).alias("dust")))
 
     def tally(flag: Column) -> Column:
         return F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("long")
