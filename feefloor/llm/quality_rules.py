@@ -156,9 +156,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t,
-        list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws,
+        list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
         list_filter(string_split(t, chr(10)),
-                    x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+                    lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 p AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM w),
 g AS (SELECT doc_id, i, x AS a, lead(x, 1) OVER o AS b, lead(x, 2) OVER o AS c
       FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -172,7 +172,7 @@ m AS (SELECT w.doc_id, len(ws) AS n_words,
         length(t) - length(replace(t, '!', '')) AS n_shouts,
         len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words,
-        len(list_filter(ws, x -> lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))})))
+        len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))})))
           AS n_stop
       FROM w LEFT JOIN k USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

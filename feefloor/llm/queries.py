@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from feefloor.llm.bestfit_packing import op3_bestfit_packing
 from feefloor.llm.quality_rules import OP1_SQL, op1_quality_rules
+from feefloor.llm.token_counts import op5_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_bestfit_packing": op3_bestfit_packing,
+    "op5_token_counts": op5_token_counts,
 }
 
 SQL: dict[str, str] = {
