@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this library to the workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        path = f"{tempfile.mkdtemp()}/{root.name}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for file in root.rglob("*.py"):
+                out.write(file, file.relative_to(root.parent))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this library at hand on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def over_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[dict]],
                  schema: str) -> DataFrame:
     """``run`` maps an Arrow batch to any number of column dicts of ``schema``."""
@@ -27,7 +52,7 @@ def over_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[dict]],
             for columns in run(batch):
                 yield pa.RecordBatch.from_arrays([_array(columns[n]) for n in names], names)
 
-    return df.mapInArrow(mapped, schema)
+    return map_arrow(df, mapped, schema)
 
 
 def _array(values) -> pa.Array:

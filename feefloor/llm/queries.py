@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from feefloor.llm.bestfit_packing import op3_bestfit_packing
 from feefloor.llm.quality_rules import OP1_SQL, op1_quality_rules
+from feefloor.llm.secret_scan import op4_secret_scan
 from feefloor.llm.token_counts import op5_token_counts
 from feefloor.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_bestfit_packing": op3_bestfit_packing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op7_warc": op7_warc,
 }

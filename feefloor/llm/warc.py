@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feefloor.llm.common import over_batches, table
+from feefloor.llm.common import map_arrow, over_batches, table
 from feefloor.session import cut_lineage, shared_dir
 
 MIN_REVISIT = 100
@@ -153,7 +153,7 @@ def build_dictionary(pages: DataFrame) -> bytes:
                        "page_id", "url", "html")))]
         yield pa.RecordBatch.from_arrays([pa.array([train(records)], pa.binary())], ["d"])
 
-    made = sample.coalesce(1).mapInArrow(learn, "d binary").collect()
+    made = map_arrow(sample.coalesce(1), learn, "d binary").collect()
     return bytes(made[0]["d"]) if made else b""
 
 
@@ -213,7 +213,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield finished()
 
-    return cut_lineage(pages.mapInArrow(write, WRITTEN), "warc-files")
+    return cut_lineage(map_arrow(pages, write, WRITTEN), "warc-files")
 
 
 def read_archives(spark: SparkSession, written: DataFrame, folder: str) -> DataFrame:
