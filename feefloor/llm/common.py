@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step holds; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -45,7 +46,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 def over_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[dict]],
                  schema: str) -> DataFrame:
     """``run`` maps an Arrow batch to any number of column dicts of ``schema``."""
-    names = [part.split()[0] for part in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
 
     def mapped(batches):
         for batch in batches:
@@ -131,18 +132,17 @@ def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
     return (sums[end] - sums[begin]) * powers(len(sums))[1][begin]
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE
-                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts in order, A-Z in lower case.
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all texts in order as (starts, ends, first).
 
-    Returns (hashes, starts, ends, first): word k spans bytes starts[k] to
-    ends[k], and text i has words first[i] to first[i + 1]. ``separator`` says
-    which bytes stand between words; by default white space from tab to carriage
-    return and the space.
+    Word k spans bytes starts[k] to ends[k], and text i has words first[i] to
+    first[i + 1]. ``separator`` says which bytes stand between words; by default
+    white space from tab to carriage return and the space.
     """
     if not len(data):
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
     inside = ~separator[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -152,8 +152,19 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray =
     starts[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    hashes = mix(span_hash(prefix_hash(_LOWER[data]), starts, ends))
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def lower_sums(data: np.ndarray) -> np.ndarray:
+    """``prefix_hash`` of the bytes with A-Z in lower case."""
+    return prefix_hash(_LOWER[data])
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z in lower case, and ``word_spans``."""
+    starts, ends, first = word_spans(data, offsets)
+    return mix(span_hash(lower_sums(data), starts, ends)), starts, ends, first
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int = 5

@@ -6,6 +6,7 @@ from feefloor.llm.bestfit_packing import op3_bestfit_packing
 from feefloor.llm.quality_rules import OP1_SQL, op1_quality_rules
 from feefloor.llm.secret_scan import op4_secret_scan
 from feefloor.llm.token_counts import op5_token_counts
+from feefloor.llm.toxicity import op10_toxicity
 from feefloor.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
     "op7_warc": op7_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
