@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from feefloor.llm.bestfit_packing import op3_bestfit_packing
+from feefloor.llm.decontaminate import op9_decontaminate
 from feefloor.llm.jaccard_join import op8_jaccard_join
 from feefloor.llm.quality_rules import OP1_SQL, op1_quality_rules
 from feefloor.llm.secret_scan import op4_secret_scan
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
 }
 
