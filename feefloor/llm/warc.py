@@ -177,9 +177,8 @@ def with_originals(pages: DataFrame) -> DataFrame:
                        & (F.col("digest") == F.col("d")), "left").drop("p", "d"))
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, dictionary: bytes = b"") -> DataFrame:
     """Write all pages (of ``with_originals``) under ``folder``; one row per archive."""
-    dictionary = build_dictionary(pages)
 
     def write(batches):
         system, root = fs.FileSystem.from_uri(folder)
@@ -245,8 +244,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     if folder.startswith("/"):
         folder = f"file://{folder}"
-    pages = with_originals(table(spark, sf_dir, "pages"))
-    return read_archives(spark, write_archives(pages, folder), folder)
+    pages = table(spark, sf_dir, "pages")
+    written = write_archives(with_originals(pages), folder, build_dictionary(pages))
+    return read_archives(spark, written, folder)
 
 
 OP7_SQL = """
