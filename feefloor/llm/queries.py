@@ -7,12 +7,14 @@ from feefloor.llm.decontaminate import op9_decontaminate
 from feefloor.llm.jaccard_join import op8_jaccard_join
 from feefloor.llm.quality_rules import OP1_SQL, op1_quality_rules
 from feefloor.llm.secret_scan import op4_secret_scan
+from feefloor.llm.suffix_dedup import op2_suffix_dedup
 from feefloor.llm.token_counts import op5_token_counts
 from feefloor.llm.toxicity import op10_toxicity
 from feefloor.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_bestfit_packing": op3_bestfit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
