@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from feefloor.llm.bestfit_packing import op3_bestfit_packing
 from feefloor.llm.decontaminate import op9_decontaminate
+from feefloor.llm.html_wrappers import op6_html_text
 from feefloor.llm.jaccard_join import op8_jaccard_join
 from feefloor.llm.quality_rules import OP1_SQL, op1_quality_rules
 from feefloor.llm.secret_scan import op4_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_bestfit_packing": op3_bestfit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_counts": op5_token_counts,
+    "op6_html_text": op6_html_text,
     "op7_warc": op7_warc,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontaminate": op9_decontaminate,
