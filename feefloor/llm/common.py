@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step holds; a longer text is a step of its own.
@@ -21,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """At most ``rows`` rows, chosen evenly by a hash of the columns ``by``.
+
+    All rows if they are no more than that; else a little fewer, so that no
+    task ever gathers more than the sample.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    share = int(2**30 * 0.95 * rows / n)
+    return df.where(F.pmod(F.xxhash64(*by), F.lit(2**30)) < share).limit(rows)
+
+
 _shipped: set[str] = set()
 
 

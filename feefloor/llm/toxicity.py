@@ -13,7 +13,7 @@ expected number of rivals E = K n exp(-lambda S) says how significant it is, and
 document's evidence, the sum of its segments' -log E, is turned into a
 probability by a logistic curve over the same labelled texts.
 
-The classifier is fitted on at most ``LABELLED`` labelled rows, the least by hash of
+The classifier is fitted on at most ``LABELLED`` labelled rows, chosen by a hash of
 the id; every document is scored over its whole text. Words are runs of letters
 and digits in lower case. A null or empty text has no words and takes the score
 of no evidence. Labelled ids without a document, documents without a label, null
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feefloor.llm.common import (
-    lower_sums, mix, over_batches, raw, span_hash, steps, table, word_spans)
+    bounded_sample, lower_sums, mix, over_batches, raw, span_hash, steps, table, word_spans)
 from feefloor.session import cut_lineage
 
 #: Bounds of the fit: labelled rows read, and words kept by weight of evidence.
@@ -40,9 +40,9 @@ LABELLED = 200_000
 MODEL_WORDS = 20_000
 #: Beginnings of words that count as tokens, in bytes.
 STEMS = (3, 4, 5, 6, 8, 10)
-#: A word counts if its log-odds are so many standard deviations from 0.
+#: A word counts if its counts are so many standard deviations from no difference,
 MIN_Z = 4.0
-#: and so far from it: lesser leanings of common words only add up to noise.
+#: and its log-odds so far from 0: lesser leanings of common words only add up to noise.
 MIN_ODDS = 2.0
 #: Prior words for each class, and what a word must make up for by its log-odds.
 PRIOR = 10_000.0
@@ -51,6 +51,7 @@ DRIFT = 0.02
 MAX_E = 0.05
 THRESHOLD = 0.7
 
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS = np.ones(256, bool)
 _LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -93,7 +94,7 @@ def repeats(data, starts, ends, first, among: np.ndarray) -> np.ndarray:
     own = np.flatnonzero(among)
     text = np.searchsorted(first, own, "right").astype(np.uint64)
     hashes = span_hash(lower_sums(data), starts[own], ends[own]) if len(own) else text
-    _, new = np.unique(mix(hashes) + text * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+    _, new = np.unique(mix(hashes) + text * _SALT, return_index=True)
     return np.delete(own, new)
 
 
@@ -156,16 +157,16 @@ def held_out(doc_id: str = "doc_id"):
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
     """(toxic, text) of a bounded set of labelled documents outside the held-out third."""
-    chosen = (labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
-              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    chosen = bounded_sample(
+        labels.where(F.col("toxic").isNotNull() & ~F.coalesce(held_out(), F.lit(True)))
+        .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), rows, "doc_id")
     # At most ``rows`` pairs of numbers.
     return (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .select("toxic", "text"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n_toxic, n_clean, whole) over texts; each batch adds up its own first."""
+    """(word, n_toxic, n_clean, whole): texts of each class that have a token."""
 
     def run(batch):
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
@@ -174,7 +175,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
             data, offsets = raw(column[begin:end])
             starts, ends, first = word_spans(data, offsets, _LETTERS)
             bad = np.repeat(toxic[begin:end] == 1, np.diff(first))
+            text = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
             for kind, (own, hashes) in enumerate(tokens(data, starts, ends)):
+                # Each token once per text, as it is scored.
+                new = np.unique(mix(hashes) + text[own] * _SALT, return_index=True)[1]
+                own, hashes = own[new], hashes[new]
                 words, inverse = np.unique(hashes, return_inverse=True)
                 n_bad = np.bincount(inverse[bad[own]], minlength=len(words))
                 n_all = np.bincount(inverse, minlength=len(words))
@@ -203,13 +208,21 @@ def score_counts(texts: DataFrame, model: Model) -> DataFrame:
             .groupBy("score").agg(F.sum("n").alias("n")))
 
 
-def log_odds(n_toxic, n_clean, all_toxic, all_clean, prior=PRIOR):
-    """(log-odds, standard deviations from 0) of words, columns or arrays alike."""
-    share = (n_toxic + n_clean) / (all_toxic + all_clean) * prior
-    a, b = n_toxic + share, n_clean + share
-    log, root = (np.log, np.sqrt) if isinstance(n_toxic, np.ndarray) else (F.log, F.sqrt)
-    delta = log(a / (all_toxic + prior - a)) - log(b / (all_clean + prior - b))
-    return delta, delta / root(1 / a + 1 / b)
+def log_odds(n_toxic, n_clean, all_toxic: float, all_clean: float, prior: float = PRIOR):
+    """(log-odds under the prior, root of the likelihood ratio of a difference) as Columns.
+
+    The ratio and not the prior's variance tells how sure a difference is, since
+    the latter never trusts a word that clean text lacks.
+    """
+    share = (n_toxic + n_clean) / F.lit(all_toxic + all_clean)
+    a, b = n_toxic + share * prior, n_clean + share * prior
+    delta = F.log(a / (all_toxic + prior - a)) - F.log(b / (all_clean + prior - b))
+
+    def part(n, expected):
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(F.lit(0.0))
+
+    ratio = 2 * (part(n_toxic, share * all_toxic) + part(n_clean, share * all_clean))
+    return delta, F.sqrt(F.greatest(ratio, F.lit(0.0)))
 
 
 def karlin_lambda(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -254,12 +267,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Model:
                      else math.log(share / (1 - share)))
     delta, z = log_odds(F.col("n_toxic"), F.col("n_clean"), all_toxic, all_clean)
     kept = (counts.withColumns({"delta": delta, "z": z})
-            .where((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS))
-            .orderBy(F.abs("z").desc(), "word").limit(MODEL_WORDS).collect())
+            .where((F.col("z") >= MIN_Z) & (F.abs("delta") >= MIN_ODDS))
+            .orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect())
     words = np.array([r["word"] for r in kept], np.int64).view(np.uint64)
     order = np.argsort(words)
     model = Model(words[order], np.array([r["delta"] for r in kept], float)[order],
-                  np.abs(np.array([r["z"] for r in kept], float))[order])
+                  np.array([r["z"] for r in kept], float)[order])
     null = score_counts(texts.where("toxic = 0"), model).collect()
     n = np.array([r["n"] for r in null], float)
     lam = karlin_lambda(np.array([r["score"] for r in null], float), n / max(n.sum(), 1))

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feefloor.llm.common import map_arrow, over_batches, table
+from feefloor.llm.common import bounded_sample, map_arrow, over_batches, table
 from feefloor.session import cut_lineage, shared_dir
 
 MIN_REVISIT = 100
@@ -142,10 +142,10 @@ def read_archive(stream) -> Iterator[bytes]:
 
 
 def build_dictionary(pages: DataFrame) -> bytes:
-    """Trained in one task on a bounded sample of pages, the least by hash."""
-    sample = (pages.where(F.octet_length("html").between(1, SAMPLE_BYTES))
-              .orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE_PAGES)
-              .select("page_id", "url", "html"))
+    """Trained in one task on a bounded sample of pages, chosen by hash."""
+    sample = bounded_sample(
+        pages.where(F.octet_length("html").between(1, SAMPLE_BYTES))
+        .select("page_id", "url", "html"), SAMPLE_PAGES, "page_id", "url")
 
     def learn(batches):
         records = [record(p, u, h.encode(), hashlib.sha256(h.encode()).hexdigest())
