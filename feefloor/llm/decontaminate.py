@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feefloor.llm.common import hashed_shingles, over_batches, steps, table
+from feefloor.llm.common import hashed_shingles, map_arrow, over_batches, steps, table
 
 SHINGLE = 5
 SIMILARITY = (3, 4)
@@ -134,32 +134,42 @@ def _stretches(hits: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
         yield int(hits[a]) - width + 1, int(hits[b]) + width
 
 
+def contained(texts: pa.Array, items: Items) -> Iterator[tuple[int, list[tuple]]]:
+    """(text, [(item id, start, end, similarity, distance)]) of texts that hold an item.
+
+    Start and end are code points of the best window, end exclusive.
+    """
+    for begin, end in steps(texts):
+        chunk = texts[begin:end]
+        hashes, owner, at, starts, ends, _ = hashed_shingles(chunk, SHINGLE)
+        hit = np.flatnonzero(items.known(hashes))
+        for i in np.unique(owner[hit]):
+            low, high = np.searchsorted(owner, [i, i + 1])
+            own = hit[(hit >= low) & (hit < high)] - low
+            best: dict[int, tuple] = {}
+            for k, s, width, value, d in items.matches(hashes[low:high], own):
+                if k not in best or value > best[k][2]:
+                    best[k] = (s, width, value, d)
+            if not best:
+                continue
+            data = chunk[int(i)].as_py().encode()
+            base = int(starts[at[low]]) - _lead(data)
+            found = []
+            for k, (s, width, value, d) in best.items():
+                a = int(starts[at[low + s]]) - base
+                b = int(ends[at[low + s + width - 1] + SHINGLE - 1]) - base
+                found.append((items.ids[k], len(data[:a].decode()), len(data[:b].decode()),
+                              value, d))
+            yield begin + int(i), found
+
+
 def find(docs: DataFrame, items: Items) -> DataFrame:
     """``MATCHES``: one row for each document and item that is contained in it."""
 
     def run(batch):
-        rows = []
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for begin, end in steps(texts):
-            chunk = texts[begin:end]
-            hashes, owner, at, starts, ends, _ = hashed_shingles(chunk, SHINGLE)
-            hit = np.flatnonzero(items.known(hashes))
-            for i in np.unique(owner[hit]):
-                low, high = np.searchsorted(owner, [i, i + 1])
-                own = hit[(hit >= low) & (hit < high)] - low
-                best: dict[int, tuple] = {}
-                for k, s, width, value, d in items.matches(hashes[low:high], own):
-                    if k not in best or value > best[k][2]:
-                        best[k] = (s, width, value, d)
-                if not best:
-                    continue
-                data = chunk[int(i)].as_py().encode()
-                base = int(starts[at[low]]) - _lead(data)
-                for k, (s, width, value, d) in best.items():
-                    a = int(starts[at[low + s]]) - base
-                    b = int(ends[at[low + s + width - 1] + SHINGLE - 1]) - base
-                    rows.append((ids[begin + int(i)], items.ids[k], len(data[:a].decode()),
-                                 len(data[:b].decode()), value, d, True))
+        ids = batch.column("doc_id").to_pylist()
+        rows = [(ids[i], *match, True) for i, found in contained(batch.column("text"), items)
+                for match in found]
         columns = list(zip(*rows)) or [[]] * 7
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(),
                  pa.bool_())
@@ -169,6 +179,19 @@ def find(docs: DataFrame, items: Items) -> DataFrame:
     return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, MATCHES)
 
 
+def without_matches(docs: DataFrame, benchmark: DataFrame, size: int = PORTION) -> DataFrame:
+    """Rows of ``docs`` that hold no item, in one pass for each portion of items."""
+    for items in portions(benchmark, size):
+        def clean(batches, items=items):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[i for i, _ in contained(batch.column("text"), items)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = map_arrow(docs, clean, docs.schema)
+    return docs
+
+
 def _lead(data: bytes) -> int:
     """Bytes before the first word."""
     return len(data) - len(data.lstrip(b" \t\n\x0b\x0c\r"))
