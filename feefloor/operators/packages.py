@@ -2,8 +2,10 @@
 
 Blocks of ordinary size are brought together by one shuffle, sorted by block,
 and grouped many at a time by a small numpy routine over Arrow batches. A block
-with more linked transactions than ``max_block_rows`` is grouped by joins
-instead, so no task ever has to hold it. Both ways give the same packages.
+with more linked transactions than ``max_block_rows`` is first cut into its
+packages by joins, and these go through the same routine; only for a package that
+is itself over the limit are ancestors listed by joins too. All ways give the same
+packages and the same, complete, ancestor figures.
 """
 
 from __future__ import annotations
@@ -25,9 +27,8 @@ from feefloor.session import cut_lineage, split_by_group_size
 # package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Ancestors are counted up to here, the transaction included: the largest
-# limit any rule compares with is 25, so 26 settles every question.
-ANCESTOR_CAP = 26
+# Ancestors whose bits are carried together, per member of their blocks.
+BIT_COLUMNS = 4096
 # Rows of one block a single task may hold. A 4,000,000-unit block has room
 # for about 16,000 transactions.
 MAX_BLOCK_ROWS = 50_000
@@ -46,26 +47,31 @@ def packages(working_set: DataFrame, max_block_rows: int = MAX_BLOCK_ROWS) -> Da
         .alias("virtual_size"),
         F.coalesce("parent_hashes", F.array().cast("array<string>")).alias("parent_hashes"))
     normal, oversized = split_by_group_size(rows, "block_number", max_block_rows)
-    grouped = (normal.repartition("block_number")
-               .sortWithinPartitions("block_number", "tx_hash")
-               .mapInArrow(_whole_blocks, PACKAGE_SCHEMA))
+    grouped = _by_unit(normal.withColumn("unit", F.col("block_number")))
     if oversized is None:
         return grouped
-    return grouped.unionByName(packages_by_joins(oversized))
+    return grouped.unionByName(packages_by_joins(oversized, max_block_rows))
+
+
+def _by_unit(rows: DataFrame) -> DataFrame:
+    """Rows of a ``unit`` come together: a block, or a package of a large block."""
+    return (rows.repartition("unit").sortWithinPartitions("unit", "tx_hash")
+            .select("unit", "tx_hash", "block_number", "fee", "virtual_size", "parent_hashes")
+            .mapInArrow(_whole_blocks, PACKAGE_SCHEMA))
 
 
 # --- whole blocks in one task ----------------------------------------------
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Group complete blocks as they arrive; the last, perhaps unfinished, block
-    of a batch waits for the next one."""
+    """Group complete units as they arrive; the last, perhaps unfinished, one of a
+    batch waits for the next batch."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if held is not None:
             table = pa.concat_tables([held, table])
-        blocks = table["block_number"].to_numpy()
-        start = int(np.searchsorted(blocks, blocks[-1])) if len(blocks) else 0
+        units = table["unit"].to_numpy()
+        start = int(np.searchsorted(units, units[-1])) if len(units) else 0
         if start:
             yield _package_rows(table.slice(0, start))
         held = table.slice(start)
@@ -74,18 +80,18 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _package_rows(table: pa.Table) -> pa.RecordBatch:
-    """Rows sorted by block and hash: a smaller position is a smaller hash, so
+    """Rows sorted by unit and hash: a smaller position is a smaller hash, so
     the first position of a component names its package."""
     table = table.combine_chunks()
     n = table.num_rows
     hashes, lists = (_one_array(table[c]) for c in ("tx_hash", "parent_hashes"))
-    _, block = np.unique(table["block_number"].to_numpy(), return_inverse=True)
+    _, unit = np.unique(table["unit"].to_numpy(), return_inverse=True)
     child = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     named = pa.concat_arrays([hashes, lists.flatten()]).dictionary_encode()
     code = named.indices.to_numpy(zero_copy_only=False)
     width = len(named.dictionary)
-    own = block * width + code[:n]
-    wanted = block[child] * width + code[n:]
+    own = unit * width + code[:n]
+    wanted = unit[child] * width + code[n:]
     order = np.argsort(own)
     place = np.searchsorted(own, wanted, sorter=order)
     parent = order[np.minimum(place, n - 1)]
@@ -98,7 +104,7 @@ def _package_rows(table: pa.Table) -> pa.RecordBatch:
     np.add.at(total_fee, label, fee)
     np.add.at(total_vsize, label, vsize)
     total_fee, total_vsize = total_fee[label], total_vsize[label]
-    count, ancestor_vsize = _ancestors(vsize, child, parent)
+    count, ancestor_vsize = _ancestors(vsize, unit, child, parent)
     empty = total_vsize == 0
     rate = total_fee / np.where(empty, 1, total_vsize)
     return pa.RecordBatch.from_pydict({
@@ -127,51 +133,73 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _ancestors(vsize: np.ndarray, child: np.ndarray, parent: np.ndarray,
-               cap: int = ANCESTOR_CAP) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ancestors, self included, counted up to ``cap``, and their size.
+def _ancestors(vsize: np.ndarray, unit: np.ndarray, child: np.ndarray, parent: np.ndarray
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """Number and size of all distinct ancestors, the member itself included.
 
-    Walks all members one generation at a time. Keeping ``cap - 1`` parents of
-    a member loses nothing: with itself they already reach the cap, for it
-    and for every descendant.
+    A bit for each possible ancestor is handed down from parents to children, a
+    few thousand ancestors at a time and only within the units these belong to.
     """
     n = len(vsize)
-    order = np.lexsort((parent, child))
-    child, parent = child[order], parent[order]
-    first = np.searchsorted(child, np.arange(n))
-    keep = np.arange(len(child)) - first[child] < cap - 1
+    keep = child != parent
     child, parent = child[keep], parent[keep]
-    first = np.searchsorted(child, np.arange(n))
-    width = np.searchsorted(child, np.arange(n), side="right") - first
-
-    count, total = np.ones(n, dtype=np.int64), vsize.astype(np.int64).copy()
-    for start in range(0, n, 4096):  # bounds the pair arrays
-        member = np.arange(start, min(start + 4096, n))
-        seen = member * n + member
-        who, at = member, member
-        while len(who):
-            reps = width[at]
-            step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            pairs = np.unique(np.repeat(who, reps) * n
-                              + parent[np.repeat(first[at], reps) + step])
-            pairs = np.setdiff1d(pairs, seen, assume_unique=True)
-            who, at = pairs // n, pairs % n
-            room = cap - count[who]
-            place = np.arange(len(who)) - np.searchsorted(who, who)
-            fits = place < room
-            who, at, pairs = who[fits], at[fits], pairs[fits]
-            seen = np.union1d(seen, pairs)
-            np.add.at(count, who, 1)
-            np.add.at(total, who, vsize[at])
-            growing = count[who] < cap
-            who, at = who[growing], at[growing]
+    count, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    steps = _generations(n, child, parent)
+    begins = np.searchsorted(unit, np.arange(unit[-1] + 1 if n else 0))
+    ends = np.append(begins[1:], n)
+    for start in range(0, n, BIT_COLUMNS):
+        stop = min(start + BIT_COLUMNS, n)
+        low, high = int(begins[unit[start]]), int(ends[unit[stop - 1]])
+        bits = np.zeros((high - low, -(-(stop - start) // 8)), np.uint8)
+        own = np.arange(start, stop)
+        bits[own - low, (own - start) // 8] |= (128 >> ((own - start) % 8)).astype(np.uint8)
+        for edges, again in steps:
+            inside = edges[(child[edges] >= low) & (child[edges] < high)]
+            while len(inside):
+                before = bits[child[inside] - low].copy() if again else None
+                np.bitwise_or.at(bits, child[inside] - low, bits[parent[inside] - low])
+                if not again or np.array_equal(before, bits[child[inside] - low]):
+                    break
+        for row in range(0, high - low, 1024):
+            part = np.unpackbits(bits[row:row + 1024], axis=1)[:, :stop - start]
+            at = slice(low + row, low + row + len(part))
+            count[at] += part.sum(axis=1, dtype=np.int64)
+            total[at] += part @ vsize[start:stop].astype(np.int64)
     return count, total
 
 
+def _generations(n: int, child: np.ndarray, parent: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    """Edges in the order they can be handed down, a generation at a time.
+
+    Edges of a cycle, which only malformed input has, come last, to be repeated
+    until nothing changes.
+    """
+    order = np.argsort(parent, kind="stable")
+    first = np.searchsorted(parent[order], np.arange(n + 1))
+    waiting = np.bincount(child, minlength=n)
+    ready = np.flatnonzero(waiting == 0)
+    rank = np.full(n, -1)
+    generation = 0
+    while len(ready):
+        rank[ready] = generation
+        generation += 1
+        width = first[ready + 1] - first[ready]
+        step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        reached = child[order[np.repeat(first[ready], width) + step]]
+        np.subtract.at(waiting, reached, 1)
+        ready = np.unique(reached)
+        ready = ready[waiting[ready] == 0]
+    by_rank = np.argsort(rank[child], kind="stable")
+    cuts = np.searchsorted(rank[child][by_rank], np.arange(generation + 1))
+    looped = by_rank[:cuts[0]]
+    steps = [(by_rank[a:b], False) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+    return steps + ([(looped, True)] if len(looped) else [])
+
+
 # --- a block too large for one task ---------------------------------------
 
-def packages_by_joins(rows: DataFrame) -> DataFrame:
-    """The same result from joins and aggregates keyed on block and hash."""
+def packages_by_joins(rows: DataFrame, max_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+    """The same result with no more than ``max_rows`` rows in any task's group."""
     rows = cut_lineage(rows, "oversized-rows")
     members = rows.select("block_number", "tx_hash", "virtual_size")
     edges = (rows.select("block_number", F.col("tx_hash").alias("child"),
@@ -182,111 +210,95 @@ def packages_by_joins(rows: DataFrame) -> DataFrame:
     edges = cut_lineage(edges, "oversized-edges")
 
     roots = component_roots(edges)
-    labelled = (rows.join(roots, ["block_number", "tx_hash"], "left")
-                .select("tx_hash", "block_number", "fee", "virtual_size",
-                        F.coalesce("root", "tx_hash").alias("package_id")))
-    totals = labelled.groupBy("block_number", "package_id").agg(
+    labelled = cut_lineage(
+        rows.join(roots, ["block_number", "tx_hash"], "left")
+        .withColumn("package_id", F.coalesce("root", "tx_hash"))
+        .withColumn("unit", F.xxhash64("block_number", "package_id")), "labelled")
+    normal, oversized = split_by_group_size(labelled, "unit", max_rows)
+    grouped = _by_unit(normal)
+    if oversized is None:
+        return grouped
+    totals = oversized.groupBy("unit", "block_number", "package_id").agg(
         F.count("*").alias("package_tx_count"), F.sum("fee").alias("package_fee"),
         F.sum("virtual_size").alias("package_vsize"))
-    ancestors = ancestor_counts(members, edges)
-    return (labelled.join(totals, ["block_number", "package_id"])
-            .join(ancestors, ["block_number", "tx_hash"])
-            .select("tx_hash", "block_number", "package_id", "package_tx_count",
-                    "package_fee", "package_vsize",
-                    ratio(F.col("package_fee"), F.col("package_vsize"))
-                    .alias("effective_fee_rate"),
-                    "ancestor_count", "ancestor_vsize"))
+    inside = edges.join(oversized.select("block_number", F.col("tx_hash").alias("child")),
+                        ["block_number", "child"], "left_semi")
+    return grouped.unionByName(
+        oversized.join(totals, ["unit", "block_number", "package_id"])
+        .join(ancestor_sums(oversized.select(*members.columns), inside),
+              ["block_number", "tx_hash"])
+        .select("tx_hash", "block_number", "package_id", "package_tx_count",
+                "package_fee", "package_vsize",
+                ratio(F.col("package_fee"), F.col("package_vsize"))
+                .alias("effective_fee_rate"),
+                "ancestor_count", "ancestor_vsize"))
 
 
 def component_roots(edges: DataFrame) -> DataFrame:
-    """(block_number, tx_hash, root) for every hash with a neighbour, but roots.
+    """(block_number, tx_hash, root) for every hash with a neighbour.
 
-    Alternates two star steps until nothing moves: each vertex points its
-    larger, then its smaller, neighbours at the smallest one it knows. The
-    number of rounds grows with the logarithm of the component size. Only the
-    changed-row test reaches the driver.
+    Every hash is dealt to a partition with what it points at. A partition joins
+    what it sees to components and points all of it at the least hash, the least
+    one at itself. When no hash points at two, every component is a star and
+    done. Only whether such a hash is left reaches the driver.
     """
-    stars = cut_lineage(edges.select(
-        "block_number", F.greatest("child", "parent").alias("v"),
-        F.least("child", "parent").alias("u")).distinct(), "stars")
+    stars = edges.select("block_number", F.inline(F.array(
+        F.struct(F.greatest("child", "parent").alias("v"), F.least("child", "parent").alias("u")),
+        F.struct(F.least("child", "parent").alias("v"), F.least("child", "parent").alias("u")))))
     while True:
-        moved = cut_lineage(_small_star(_large_star(stars)), "stars")
-        # Both are sets of rows, so equal counts and no missing row mean equal.
-        if (moved.count() == stars.count()
-                and stars.join(moved, ["block_number", "v", "u"], "left_anti").isEmpty()):
-            return moved.select("block_number", F.col("v").alias("tx_hash"),
-                                F.col("u").alias("root"))
-        stars = moved
-
-
-def _large_star(stars: DataFrame) -> DataFrame:
-    both = stars.select("block_number", F.inline(F.array(
-        F.struct(F.col("v").alias("c"), F.col("u").alias("w")),
-        F.struct(F.col("u").alias("c"), F.col("v").alias("w")))))
-    low = both.groupBy("block_number", "c").agg(
-        F.least(F.min("w"), F.col("c")).alias("low"))
-    return (both.where("w > c").join(low, ["block_number", "c"])
-            .select("block_number", F.col("w").alias("v"), F.col("low").alias("u"))
-            .distinct())
-
-
-def _small_star(stars: DataFrame) -> DataFrame:
-    low = stars.groupBy("block_number", "v").agg(F.min("u").alias("low"))
-    linked = (stars.join(low, ["block_number", "v"])
-              .select("block_number", F.inline(F.array(
-                  F.struct(F.col("u").alias("v"), F.col("low").alias("u")),
-                  F.struct(F.col("v"), F.col("low").alias("u"))))))
-    return linked.where("v <> u").distinct()
-
-
-def ancestor_counts(members: DataFrame, edges: DataFrame,
-                    cap: int = ANCESTOR_CAP) -> DataFrame:
-    """Ancestors up to ``cap`` by doubling the distance looked back each round.
-
-    A member knows its ancestors within ``reach`` generations. Those exactly
-    that far back pass on what they know, which doubles the reach. Known lists
-    stay at ``cap`` entries, which is exact below the cap: a shorter list is
-    complete within its reach, and one full list fills its reader's.
+        stars = cut_lineage(
+            stars.repartition("block_number", "v").mapInArrow(
+                _point_at_least, "block_number long,v string,u string,torn boolean"), "stars")
+        if stars.where("torn").isEmpty():
+            return stars.select("block_number", F.col("v").alias("tx_hash"),
+                                F.col("u").alias("root")).distinct()
+
+
+def _point_at_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    rows = table.num_rows
+    block = np.tile(table["block_number"].to_numpy(), 2)
+    names = pa.concat_arrays([_one_array(table["v"]), _one_array(table["u"])]).dictionary_encode()
+    rank = np.argsort(np.argsort(names.dictionary.to_numpy(zero_copy_only=False)))
+    code = rank[names.indices.to_numpy()]
+    _, unit = np.unique(block, return_inverse=True)
+    ids, at, place = np.unique(unit * len(rank) + code, return_index=True, return_inverse=True)
+    v, u = place[:rows], place[rows:]
+    least = _components(len(ids), v, u)
+    first, last = np.full(len(ids), len(ids)), np.full(len(ids), -1)
+    np.minimum.at(first, v, u)
+    np.maximum.at(last, v, u)
+    torn = (last >= 0) & ((first != last) | (least != last))
+    yield pa.RecordBatch.from_pydict({
+        "block_number": block[at], "v": names.take(pa.array(at)).dictionary_decode(),
+        "u": names.take(pa.array(at[least])).dictionary_decode(), "torn": torn})
+
+
+def ancestor_sums(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Number and size of all ancestors, by listing every distinct pair.
+
+    Each round joins the pairs found last with themselves-so-far, which doubles the
+    distance looked back. Meant for packages over the limit of a task only: the
+    pairs of a chain grow with the square of its length.
     """
-    def entry(name, distance):
-        return F.struct(F.col(name).alias("tx_hash"), distance.alias("distance"),
-                        F.col("virtual_size").alias("virtual_size"))
-
-    parents = (edges.join(members.withColumnRenamed("tx_hash", "parent"),
-                          ["block_number", "parent"])
-               .groupBy("block_number", F.col("child").alias("tx_hash"))
-               .agg(F.collect_list(entry("parent", F.lit(1))).alias("found")))
-    known = cut_lineage(members.join(parents, ["block_number", "tx_hash"], "left").select(
-        "block_number", "tx_hash",
-        _extend(F.array(entry("tx_hash", F.lit(0))), cap).alias("known")), "ancestors")
-    reach = 1
-    while reach < cap - 1:
-        farthest = F.filter("known", lambda a: a["distance"] == reach)
-        asks = known.where(F.size("known") < cap).select(
-            "block_number", "tx_hash", F.explode(farthest["tx_hash"]).alias("via"))
-        if asks.isEmpty():
+    pairs = cut_lineage(edges.select("block_number", F.col("child").alias("tx_hash"),
+                                     F.col("parent").alias("ancestor")).distinct(), "pairs")
+    while True:
+        step = pairs.select("block_number", F.col("tx_hash").alias("ancestor"),
+                            F.col("ancestor").alias("farther"))
+        grown = cut_lineage(pairs.unionByName(
+            pairs.join(step, ["block_number", "ancestor"])
+            .select("block_number", "tx_hash", F.col("farther").alias("ancestor"))).distinct(),
+            "pairs")
+        if grown.count() == pairs.count():
             break
-        theirs = known.select("block_number", F.col("tx_hash").alias("via"), F.transform(
-            F.filter("known", lambda a: a["distance"] > 0), lambda a: F.struct(
-                a["tx_hash"].alias("tx_hash"), (a["distance"] + reach).alias("distance"),
-                a["virtual_size"].alias("virtual_size"))).alias("theirs"))
-        # Fewer than cap askers' lists of at most cap entries each.
-        found = (asks.join(theirs, ["block_number", "via"])
-                 .groupBy("block_number", "tx_hash")
-                 .agg(F.flatten(F.collect_list("theirs")).alias("found")))
-        known = cut_lineage(known.join(found, ["block_number", "tx_hash"], "left").select(
-            "block_number", "tx_hash", _extend(F.col("known"), cap).alias("known")), "ancestors")
-        reach *= 2
-    return known.select(
-        "block_number", "tx_hash", F.size("known").cast("long").alias("ancestor_count"),
-        F.aggregate("known", F.lit(0).cast("long"), lambda t, a: t + a["virtual_size"])
-        .alias("ancestor_vsize"))
-
-
-def _extend(known: Column, cap: int) -> Column:
-    """``known`` and the new ones of ``found``, each once at its nearest."""
-    ordered = F.array_sort("found")  # by hash, then distance
-    nearest = F.filter(ordered, lambda a, i: (i == 0) | (
-        F.get(ordered, i - 1)["tx_hash"] != a["tx_hash"]))
-    fresh = F.filter(nearest, lambda a: ~F.exists(known, lambda k: k["tx_hash"] == a["tx_hash"]))
-    return F.slice(F.coalesce(F.concat(known, fresh), known), 1, cap)
+        pairs = grown
+    own = members.select("block_number", "tx_hash", F.col("tx_hash").alias("ancestor"))
+    sizes = members.withColumnRenamed("tx_hash", "ancestor")
+    return (pairs.unionByName(own).distinct().join(sizes, ["block_number", "ancestor"])
+            .groupBy("block_number", "tx_hash").agg(
+                F.count("*").alias("ancestor_count"),
+                F.sum("virtual_size").alias("ancestor_vsize")))

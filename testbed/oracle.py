@@ -155,8 +155,8 @@ RELATIONS: dict[str, str] = {
         AS package_fee, CAST(sum(m.virtual_size) AS BIGINT) AS package_vsize
       FROM package_of p JOIN members m USING (tx_hash) GROUP BY p.package_id""",
     "forebear_sums": """
-      SELECT f.a AS tx_hash, least(count(*), 26) AS ancestor_count,
-        CASE WHEN count(*) < 26 THEN CAST(sum(m.virtual_size) AS BIGINT) END AS ancestor_vsize
+      SELECT f.a AS tx_hash, count(*) AS ancestor_count,
+        CAST(sum(m.virtual_size) AS BIGINT) AS ancestor_vsize
       FROM forebears f JOIN members m ON m.tx_hash = f.b GROUP BY f.a""",
     "packed": """
       SELECT m.tx_hash, m.block_number, p.package_id, s.package_tx_count, s.package_fee,

@@ -250,12 +250,6 @@ def pct_ranked(t: ChainTables) -> DataFrame:
     return floor.percentiles_by_rank(priced, P.floor_percentile)
 
 
-def pack(df: DataFrame) -> DataFrame:
-    """Ancestor size is not defined at the cap, so it is left out there."""
-    return df.withColumn("ancestor_vsize", F.when(
-        F.col("ancestor_count") < packages.ANCESTOR_CAP, F.col("ancestor_vsize")))
-
-
 def reason_query(name: str):
     column = f"nonrelay_{name}"
     source = "txs_priced" if name == "ancestor_limit" else "txs_linked"
@@ -537,14 +531,18 @@ def build() -> dict[str, tuple]:
         lambda t: jobs.validate(_with(t, "txs", "blocks"), audits(t), 20, "70"),
         audit_sql("ORDER BY sha256(concat('feefloor', block_hash)) LIMIT 20"))
     q["packages"] = (
-        lambda t: pack(packages.packages(t["tx_in_package"])), "SELECT * FROM packed")
+        lambda t: packages.packages(t["tx_in_package"]), "SELECT * FROM packed")
     q["packages_by_joins"] = (
-        lambda t: pack(packages.packages_by_joins(t["tx_in_package"].select(
+        lambda t: packages.packages_by_joins(t["tx_in_package"].select(
+            "tx_hash", "block_number", F.coalesce("fee", F.lit(0)).alias("fee"),
+            "virtual_size", "parent_hashes")), "SELECT * FROM packed")
+    q["packages_by_pairs"] = (
+        lambda t: packages.packages_by_joins(t["tx_in_package"].select(
             "tx_hash", "block_number", F.coalesce("fee", F.lit(0)).alias("fee"),
-            "virtual_size", "parent_hashes"))), "SELECT * FROM packed")
+            "virtual_size", "parent_hashes"), max_rows=2), "SELECT * FROM packed")
     q["ancestor_stats"] = (
-        lambda t: t["tx_packages"].select("tx_hash", "ancestor_count"),
-        "SELECT tx_hash, ancestor_count FROM packed")
+        lambda t: t["tx_packages"].select("tx_hash", "ancestor_count", "ancestor_vsize"),
+        "SELECT tx_hash, ancestor_count, ancestor_vsize FROM packed")
 
     # versioned updates
     q["apply_update"] = (

@@ -56,15 +56,13 @@ def brute(rows):
         fee, size = sum(known[m][0] for m in members), sum(known[m][1] for m in members)
         up = ancestors(key)
         out[key] = (min(h for _b, h in members), len(members), fee, size,
-                    fee / size if size else None, min(len(up), 26),
-                    sum(known[m][1] for m in up) if len(up) < 26 else None)
+                    fee / size if size else None, len(up), sum(known[m][1] for m in up))
     return out
 
 
 def comparable(got):
     return {k: (r["package_id"], r["package_tx_count"], r["package_fee"], r["package_vsize"],
-                r["effective_fee_rate"], r["ancestor_count"],
-                r["ancestor_vsize"] if r["ancestor_count"] < 26 else None)
+                r["effective_fee_rate"], r["ancestor_count"], r["ancestor_vsize"])
             for k, r in got.items()}
 
 
@@ -142,13 +140,51 @@ def test_long_chain_in_one_task():
     n = 5_000
     child, parent = np.arange(1, n), np.arange(n - 1)
     assert set(pk._components(n, child, parent)) == {0}
-    count, size = pk._ancestors(np.full(n, 10), child, parent)
-    assert count.max() == 26 and list(count[:3]) == [1, 2, 3] and size[24] == 250
+    count, size = pk._ancestors(np.full(n, 10), np.zeros(n, int), child, parent)
+    assert count.tolist() == list(range(1, n + 1)) and size[-1] == 10 * n
+
+
+def test_a_malformed_cycle_ends():
+    child, parent = np.array([0, 1, 2, 3]), np.array([1, 0, 1, 2])
+    count, _size = pk._ancestors(np.full(4, 1), np.zeros(4, int), child, parent)
+    assert count.tolist() == [2, 2, 3, 4]
 
 
 def test_wide_family_counts():
     """One parent of 40 children, and one child of 40 parents."""
     child = np.concatenate([np.arange(1, 41), np.full(40, 41)])
     parent = np.concatenate([np.zeros(40, dtype=int), np.arange(1, 41)])
-    count, _size = pk._ancestors(np.full(42, 1), child, parent)
-    assert count[0] == 1 and set(count[1:41]) == {2} and count[41] == 26
+    count, _size = pk._ancestors(np.full(42, 1), np.zeros(42, int), child, parent)
+    assert count[0] == 1 and set(count[1:41]) == {2} and count[41] == 42
+
+
+@pytest.mark.parametrize("limit", [1000, 150, 20])
+def test_large_families_are_counted_in_full(spark, limit):
+    """Two random parents each: families far larger than any relay limit."""
+    rng = random.Random(11)
+    rows = [(f"{i:03d}", 5, 1, 1 + i, rng.sample([f"{j:03d}" for j in range(i)], min(i, 2)))
+            for i in range(200)]
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert max(v[5] for v in want.values()) > 26
+    assert comparable(run(spark, rows, max_block_rows=limit)) == want
+
+
+def test_more_members_than_bit_columns(spark):
+    rng = random.Random(12)
+    rows = [r for b in range(6) for r in random_block(rng, b, 90, "many")]
+    got = pk._ancestors.__globals__["BIT_COLUMNS"]
+    try:
+        pk.BIT_COLUMNS = 64
+        n = 500
+        child = np.array([i for i in range(1, n) for _ in range(2)])
+        parent = np.array([rng.randrange(c) for c in child])
+        unit = np.zeros(n, int)
+        count, total = pk._ancestors(np.ones(n, int), unit, child, parent)
+    finally:
+        pk.BIT_COLUMNS = got
+    known = [{0}]
+    for i in range(1, n):
+        known.append({i}.union(*(known[p] for p in parent[child == i])))
+    assert count.tolist() == total.tolist() == [len(k) for k in known]
+    assert comparable(run(spark, rows)) == brute(rows)
