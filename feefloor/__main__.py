@@ -8,12 +8,13 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from feefloor.plans import jobs, pipeline
 from feefloor.session import build_session
 from feefloor.sources.accelerations import list_months, months_to_load
-from feefloor.sources.chain import month_window
+from feefloor.sinks.report import headline_table
+from feefloor.sources.chain import Window, month_window
 
 
 def source(spark: SparkSession, args) -> pipeline.Source:
@@ -21,13 +22,34 @@ def source(spark: SparkSession, args) -> pipeline.Source:
                            spark.read.parquet(args.blocks), spark.read.parquet(args.pools))
 
 
+def study_window(args) -> Window | None:
+    """One month, or the days from --start up to but not including --end."""
+    if args.month:
+        return month_window(args.month)
+    if args.start or args.end:
+        tomorrow = dt.datetime.now(dt.timezone.utc).date() + dt.timedelta(days=1)
+        return Window(args.start or dt.date(2009, 1, 1), args.end or tomorrow)
+    return None
+
+
+def show_all(df: DataFrame, vertical: bool = False) -> None:
+    """Every row of a result; results are a few rows per month or pool."""
+    rows = df.collect()
+    for row in rows if vertical else ():
+        print("\n".join(f"{name}: {value}" for name, value in row.asDict().items()), "\n")
+    if not vertical:
+        print("\n".join(["\t".join(df.columns), *("\t".join(map(str, r)) for r in rows)]))
+
+
 def run_pipeline(spark, args):
-    window = month_window(args.month) if args.month else None
+    window = study_window(args)
     tables = pipeline.run_pipeline(spark, source(spark, args), args.run, window,
                                    only=args.only, from_step=args.from_step)
     if not args.skip_checks:
-        pipeline.check(tables).show(truncate=False)
-    if args.month and args.out and not args.only:
+        show_all(pipeline.check(tables, strict=args.strict))
+    if not args.only:
+        show_all(headline_table(tables["monthly_summary"]), vertical=True)
+    if window and args.out and not args.only:
         jobs.export_results(tables, args.out)
 
 
@@ -52,12 +74,11 @@ def accelerations(spark, args):
 
 def missing_months(spark, args):
     as_of = dt.datetime.now(dt.timezone.utc).date()
-    months_to_load(list_months(spark, args.data), as_of).orderBy("month").show(1000)
+    show_all(months_to_load(list_months(spark, args.data), as_of).orderBy("month"))
 
 
 def refresh_pools(spark, args):
-    jobs.refresh_pools(spark, args.pool_list, args.pools, args.print_only).show(
-        1000, truncate=False)
+    show_all(jobs.refresh_pools(spark, args.pool_list, args.pools, args.print_only))
 
 
 def sanity_check(spark, args):
@@ -65,19 +86,21 @@ def sanity_check(spark, args):
     for name, df in jobs.sanity_check(spark.read.parquet(args.blocks), tables,
                                       args.months, args.top).items():
         print(name)
-        df.show(1000, truncate=False)
+        show_all(df)
 
 
 def validate(spark, args):
     tables = pipeline.Stages(spark, args.run)
-    jobs.validate(tables, spark.read.parquet(args.audits), args.sample,
-                  args.sensitivity).show(vertical=True)
+    show_all(jobs.validate(tables, spark.read.parquet(args.audits), args.sample,
+                           args.sensitivity, by_block=args.by_block), not args.by_block)
 
 
 # command -> (function, required paths, optional flags)
 COMMANDS = {
     "run-pipeline": (run_pipeline, ("transactions", "blocks", "pools", "run"), (
-        ("--month", {}), ("--from", {"dest": "from_step"}), ("--only", {}), ("--out", {}),
+        ("--month", {}), ("--start", {"type": dt.date.fromisoformat}),
+        ("--end", {"type": dt.date.fromisoformat}),
+        ("--strict", {"action": "store_true"}), ("--from", {"dest": "from_step"}), ("--only", {}), ("--out", {}),
         ("--skip-checks", {"action": "store_true"}))),
     "effective-fee": (effective_fee, ("run",), ()),
     "export-results": (export_results, ("run", "out"),
@@ -91,6 +114,7 @@ COMMANDS = {
         ("--months", {"type": int, "default": 12}), ("--top", {"type": int, "default": 12}))),
     "validate": (validate, ("run", "audits"), (
         ("--sample", {"type": int, "default": 100}),
+        ("--by-block", {"action": "store_true"}),
         ("--sensitivity", {"choices": ("30", "50", "70"), "default": "50"}))),
 }
 

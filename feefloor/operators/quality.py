@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feefloor.functions.measures import any_of, coinbase_text, printable_prefix, ratio
 from feefloor.operators.relay import REASONS
 
-MAX_HASHES = 2_000
 SAMPLE_SEED = "feefloor"
 
 
@@ -23,50 +22,53 @@ def unattributed_texts(headers: DataFrame, blocks: DataFrame, n: int = 15) -> Da
             .orderBy(F.desc("blocks"), "coinbase_text").limit(n))
 
 
-def flagged_blocks(txs: DataFrame, blocks: DataFrame, column: str, min_height: int,
-                   max_hashes: int = MAX_HASHES, slices: int = 64) -> DataFrame:
-    """Per block from ``min_height``: flagged count and its first hashes.
+def flagged_txs(txs: DataFrame, blocks: DataFrame, column: str, min_height: int) -> DataFrame:
+    """(block_number, block_hash, pool_name, tx_hash) of every flagged transaction."""
+    return (txs.where(F.col(column) & (F.col("block_number") >= min_height))
+            .select("block_number", "tx_hash")
+            .join(blocks.select("block_number", "block_hash", "pool_name"), "block_number"))
 
-    The first ``max_hashes`` hashes are picked in two steps, per hash slice and
-    then per block, so no task sorts all flagged rows of one block.
-    """
-    flagged = (txs.where(F.col(column) & (F.col("block_number") >= min_height))
-               .select("block_number", "tx_hash")
-               .withColumn("part", F.pmod(F.xxhash64("tx_hash"), F.lit(slices))))
-    counts = flagged.groupBy("block_number").agg(F.count("*").alias("low_fee_txs"))
-    by_slice = Window.partitionBy("block_number", "part").orderBy("tx_hash")
-    by_block = Window.partitionBy("block_number").orderBy("tx_hash")
-    first = (flagged.withColumn("place", F.row_number().over(by_slice))
-             .where(F.col("place") <= max_hashes)
-             .withColumn("place", F.row_number().over(by_block))
-             .where(F.col("place") <= max_hashes)
-             .groupBy("block_number")
-             .agg(F.array_sort(F.collect_list("tx_hash")).alias("low_fee_hashes")))
-    return (counts.join(first, "block_number")
-            .join(blocks.select("block_number", "block_hash", "pool_name"), "block_number")
-            .select("block_number", "block_hash", "pool_name", "low_fee_txs",
-                    "low_fee_hashes"))
-
-
-def fixed_sample(flagged: DataFrame, n: int, seed: str = SAMPLE_SEED) -> DataFrame:
+
+def flagged_blocks(flagged: DataFrame) -> DataFrame:
+    """Per block: how many flagged transactions it has."""
+    return flagged.groupBy("block_number", "block_hash", "pool_name").agg(
+        F.count("*").alias("low_fee_txs"))
+
+
+def fixed_sample(blocks: DataFrame, n: int, seed: str = SAMPLE_SEED) -> DataFrame:
     """The same at most ``n`` blocks on every run and engine."""
-    return flagged.orderBy(F.sha2(F.concat(F.lit(seed), "block_hash"), 256)).limit(n)
+    return blocks.orderBy(F.sha2(F.concat(F.lit(seed), "block_hash"), 256)).limit(n)
+
+
+def sampled_txs(flagged: DataFrame, n: int, seed: str = SAMPLE_SEED) -> DataFrame:
+    """Flagged transactions of a fixed sample of blocks; others are not gathered."""
+    chosen = fixed_sample(flagged_blocks(flagged), n, seed)
+    return flagged.join(chosen.select("block_number"), "block_number", "left_semi")
 
 
 def audit_overlap_by_block(flagged: DataFrame, audits: DataFrame) -> DataFrame:
     """Per flagged block: hashes also in its audit's added and accelerated
-    lists. Blocks without an audit keep NULL counts."""
-    none = F.array().cast("array<string>")
-    seen = audits.select("block_hash", F.coalesce("added", none).alias("added"),
-                         F.coalesce("accelerated", none).alias("accelerated"),
-                         F.lit(True).alias("audited"))
-    ours = F.array_distinct("low_fee_hashes")
-    return flagged.join(seen, "block_hash", "left").select(
+    lists. Blocks without an audit keep NULL counts.
+
+    Hashes are compared as rows, block and hash together, so neither a block nor
+    an audit is ever held as one list.
+    """
+    key = ["block_hash", "tx_hash"]
+    ours = flagged.select("block_number", "pool_name", *key).distinct()
+    listed = [audits.select("block_hash", F.explode(name).alias("tx_hash"),
+                            F.lit(name).alias("list")) for name in ("added", "accelerated")]
+    seen = listed[0].unionByName(listed[1]).groupBy(*key).agg(
+        F.count_if(F.col("list") == "added").alias("a"),
+        F.count_if(F.col("list") == "accelerated").alias("c"))
+    counts = ours.join(seen, key, "left").groupBy("block_number", "block_hash", "pool_name").agg(
+        F.count("*").alias("low_fee"), F.count_if(F.col("a") > 0).alias("in_added"),
+        F.count_if(F.col("c") > 0).alias("in_accelerated"))
+    audited = audits.select("block_hash", F.lit(True).alias("audited")).distinct()
+    with_audit = counts.join(audited, "block_hash", "left")
+    return with_audit.select(
         "block_number", "pool_name", F.coalesce("audited", F.lit(False)).alias("audited"),
-        F.when(F.col("audited"), F.size(ours)).alias("low_fee"),
-        F.when(F.col("audited"), F.size(F.array_intersect(ours, "added"))).alias("in_added"),
-        F.when(F.col("audited"), F.size(F.array_intersect(ours, "accelerated")))
-        .alias("in_accelerated"))
+        *[F.when(F.col("audited"), F.col(n)).alias(n)
+          for n in ("low_fee", "in_added", "in_accelerated")])
 
 
 def audit_overlap(flagged: DataFrame, audits: DataFrame) -> DataFrame:

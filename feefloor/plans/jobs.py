@@ -8,16 +8,15 @@ from pyspark.errors import AnalysisException
 
 from feefloor.operators.accelerations import fees_by_month_nested, pool_fees_by_month
 from feefloor.operators.attribution import pool_list_diff
-from feefloor.operators.lowfee import top_low_fee
-from feefloor.operators.quality import (audit_overlap, fixed_sample, flagged_blocks,
-                                        unattributed_texts)
+from feefloor.operators.quality import (audit_overlap, audit_overlap_by_block, flagged_txs,
+                                        sampled_txs, unattributed_texts)
 from feefloor.operators.summary import attribution_quality, monthly_pool_shares
 from feefloor.plans.pipeline import Stages
 from feefloor.session import cut_lineage
 from feefloor.sinks.report import write_summary
 from feefloor.sinks.results import (fees_by_month_json, merge_onchain_fees, onchain_fee_payload,
                                     onchain_fee_rows, write_result_json)
-from feefloor.sinks.tables import merge_months, merge_sample, months_covered
+from feefloor.sinks.tables import MONTH, months_covered, top_by_month, top_rows, write_months
 from feefloor.sources.accelerations import list_months, read_accelerations
 from feefloor.sources.pools import parse_pool_ids, read_pools
 
@@ -33,9 +32,16 @@ RESULTS = {
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, or None where nothing was ever stored.
+
+    A folder without a readable table is an error and not an empty table, since
+    what follows would overwrite it.
+    """
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -46,30 +52,47 @@ def _replace(df: DataFrame, path: str) -> DataFrame:
     return settled
 
 
+def _publish_months(fresh: DataFrame, months: DataFrame, path: str, replace: bool) -> DataFrame:
+    """Store months in folders of their own; the stored table, all months.
+
+    A month without a row gets one of NULLs, so that its older rows go too; it is
+    left out when the table is read. ``replace`` drops all other months, after the
+    new ones are made.
+    """
+    spark = fresh.sparkSession
+    if not replace:
+        _existing(spark, path)  # a broken folder stops the export before it writes
+    bare = months.join(fresh.select(MONTH).distinct(), MONTH, "left_anti")
+    settled = cut_lineage(fresh.unionByName(bare, allowMissingColumns=True), "merge")
+    if replace:
+        settled.write.mode("overwrite").partitionBy(MONTH).parquet(path)
+    else:
+        write_months(settled, path)
+    key = next(c for c in fresh.columns if c != MONTH)
+    return (spark.read.schema(settled.schema).parquet(path).select(*fresh.columns)
+            .where(F.col(key).isNotNull()))
+
+
 def export_results(tables: Stages, out: str, replace: bool = False) -> bool:
     """Merge a run's months into the result folder; JSON and report follow.
 
-    Returns False, and changes nothing, when the run holds no month.
+    Returns False, and changes nothing, when the run holds no month. A failed
+    export leaves every stored month in place.
     """
-    spark = tables.spark
     fresh = {name: tables[name] for name in RESULTS}
     months = months_covered(fresh["monthly_summary"])
     if months.isEmpty():
         return False
-
-    def stored(name):
-        return None if replace else _existing(spark, f"{out}/tables/{name}")
-
-    merged = {name: _replace(merge_months(stored(name), fresh[name], months),
-                             f"{out}/tables/{name}") for name in RESULTS}
-    sample = top_low_fee(tables["low_fee_txs"], SAMPLE_SIZE)
+    merged = {name: _publish_months(df, months, f"{out}/tables/{name}", replace)
+              for name, df in fresh.items()}
     name = "low_fee_txs_sample"
-    merged[name] = _replace(merge_sample(stored(name), sample, months, SAMPLE_SIZE),
-                            f"{out}/tables/{name}")
+    sample = top_by_month(tables["low_fee_txs"].where("low_fee_50"), SAMPLE_SIZE)
+    merged[name] = top_rows(_publish_months(sample, months, f"{out}/tables/{name}", replace),
+                            SAMPLE_SIZE)
     for name, df in merged.items():
         order = RESULTS.get(name) or [F.desc("upper_band_sats"), "tx_hash"]
         write_result_json(df, f"{out}/{name}.json", order)
-    write_summary(spark, out, merged["monthly_summary"], merged["low_fee_sensitivity"],
+    write_summary(tables.spark, out, merged["monthly_summary"], merged["low_fee_sensitivity"],
                   merged["pool_summary"])
     return True
 
@@ -94,7 +117,7 @@ def run_accelerations(spark: SparkSession, folder: str, pool_list: str, out: str
     fees = pool_fees_by_month(read_accelerations(spark, folder), ids,
                               list_months(spark, folder))
     nested = fees_by_month_nested(fees)
-    (fees_by_month_json(nested).orderBy("month").coalesce(1)
+    (fees_by_month_json(nested).repartition(1).sortWithinPartitions("month")
      .write.mode("overwrite").json(f"{out}/accelerations_by_month.json"))
     return nested
 
@@ -125,8 +148,11 @@ def sanity_check(headers: DataFrame, tables: Stages, months: int = 12, top: int
 
 
 def validate(tables: Stages, audits: DataFrame, sample: int, sensitivity: str = "50",
-             min_height: int = MIN_AUDITED_HEIGHT) -> DataFrame:
-    """Compare a fixed sample of flagged blocks with public audits."""
-    flagged = flagged_blocks(tables["txs"], tables["blocks"],
-                             f"low_fee_{sensitivity}", min_height)
-    return audit_overlap(fixed_sample(flagged, sample), audits)
+             min_height: int = MIN_AUDITED_HEIGHT, by_block: bool = False) -> DataFrame:
+    """Compare a fixed sample of flagged blocks with public audits.
+
+    Totals in one row, or with ``by_block`` a row for each block.
+    """
+    flagged = sampled_txs(flagged_txs(tables["txs"], tables["blocks"],
+                                      f"low_fee_{sensitivity}", min_height), sample)
+    return (audit_overlap_by_block if by_block else audit_overlap)(flagged, audits)

@@ -1,15 +1,21 @@
-"""The written summary. Figures come from Spark aggregates of a few rows each;
-only their formatting happens here."""
+"""The written summary: sections of a title and a small table, one formatter for all.
+
+Every table is a Spark aggregate of a few rows; only its formatting happens here.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feefloor.operators.summary import headline, sensitivity_totals, top_pools
 
+#: Column of a table -> heading and how its values are shown.
+Columns = dict[str, tuple[str, Callable[[object], str]]]
+
 
 def headline_table(monthly: DataFrame) -> DataFrame:
     """Three rows: the headline at 0.3, 0.5 and 0.7."""
@@ -17,50 +23,61 @@ def headline_table(monthly: DataFrame) -> DataFrame:
     return low.unionByName(mid).unionByName(high)
 
 
-def _percent(share: float | None, digits: int = 2) -> str:
-    return "n/a" if share is None else f"{share * 100:.{digits}f}%"
+def number(digits: int = 0, unit: float = 1) -> Callable[[object], str]:
+    return lambda x: "-" if x is None else f"{x / unit:,.{digits}f}"
+
+
+def share(digits: int) -> Callable[[object], str]:
+    return lambda x: "-" if x is None else f"{x:.{digits}%}"
+
+
+HEADLINE: Columns = {
+    "sensitivity": ("price bound", str),
+    "low_fee_txs": ("sales", number()),
+    "low_fee_gvb": ("GvB", number(2)),
+    "share_of_full_block_space": ("of full blocks", share(2)),
+    "lower_band_btc": ("BTC, at least", number(2)),
+    "upper_band_btc": ("BTC, at most", number(2)),
+}
+GRID: Columns = {
+    "sensitivity": ("price bound", str),
+    "full_weight": ("full from weight", number()),
+    "low_fee_vbytes": ("GvB", number(2, 1e9)),
+    "low_fee_share": ("of full blocks", share(2)),
+    "lower_band_sats": ("BTC, at least", number(2, 1e8)),
+    "upper_band_sats": ("BTC, at most", number(2, 1e8)),
+}
+POOLS: Columns = {
+    "pool_name": ("pool", str),
+    "low_fee_vbytes_50": ("GvB at 0.5", number(2, 1e9)),
+    "share_of_own_space": ("of its own space", share(3)),
+}
 
 
-def _table(header: list[str], rows: list[list[str]]) -> list[str]:
-    return ["| " + " | ".join(header) + " |", "|" + "---|" * len(header),
-            *("| " + " | ".join(r) + " |" for r in rows)]
+def section(title: str, columns: Columns, rows: list) -> list[str]:
+    """A heading and the rows as a table; nothing for no rows."""
+    if not rows:
+        return []
+    cells = [[head for head, _ in columns.values()], ["---"] * len(columns),
+             *([show(row[name]) for name, (_, show) in columns.items()] for row in rows)]
+    return ["", f"## {title}", "", *(f"| {' | '.join(line)} |" for line in cells)]
 
 
 def summary_report(monthly: DataFrame, grid: DataFrame, pools: DataFrame) -> tuple[str, dict]:
     """(markdown, headline per sensitivity)."""
-    heads = {r["sensitivity"][2:]: r.asDict()
-             for r in headline_table(monthly).limit(3).collect()}
-    mid = heads["50"]
-    lines = [
-        f"# Low-fee block space, {mid['window_start']} to {mid['window_end']}", "",
-        f"{mid['months']} month(s). Space in full blocks that sold below the public price; "
-        "traffic that default nodes would not relay is left out.", "",
-        "## Below half the floor", "",
-        f"- transactions: {mid['low_fee_txs']:,}",
-        f"- space: {mid['low_fee_gvb']:,.2f} GvB, "
-        f"{_percent(mid['share_of_full_block_space'])} of space in full blocks",
-        f"- value: {mid['lower_band_btc']:,.2f} to {mid['upper_band_btc']:,.2f} BTC", "",
-        "## At each threshold", ""]
-    lines += _table(
-        ["sensitivity", "txs", "GvB", "share", "lower BTC", "upper BTC"],
-        [[h["sensitivity"], f"{h['low_fee_txs']:,}", f"{h['low_fee_gvb']:,.2f}",
-          _percent(h["share_of_full_block_space"]), f"{h['lower_band_btc']:,.2f}",
-          f"{h['upper_band_btc']:,.2f}"] for h in (heads[s] for s in ("30", "50", "70"))])
-    cells = sensitivity_totals(grid).orderBy("sensitivity", "full_weight").collect()
-    lines += ["", "## Thresholds and fullness", ""] + _table(
-        ["sensitivity", "full weight", "GvB", "share", "lower BTC", "upper BTC"],
-        [[str(c["sensitivity"]), f"{c['full_weight']:,}", f"{c['low_fee_vbytes'] / 1e9:,.2f}",
-          _percent(c["low_fee_share"]), f"{c['lower_band_sats'] / 1e8:,.2f}",
-          f"{c['upper_band_sats'] / 1e8:,.2f}"] for c in cells])
-    top = top_pools(pools).collect()
-    if top:
-        lines += ["", "## Pools", ""] + _table(
-            ["pool", "GvB", "share of own space"],
-            [[p["pool_name"], f"{p['low_fee_vbytes_50'] / 1e9:,.2f}",
-              _percent(p["share_of_own_space"], 3)] for p in top])
-    lines += ["", "Lower value: the gap to the floor. Upper value: the block's median price. "
-              "Pool rows are as good as the coinbase attribution."]
-    return "\n".join(lines) + "\n", heads
+    heads = headline_table(monthly).orderBy("sensitivity").collect()
+    first = heads[0]
+    lines = [f"# Block space sold under its floor: {first['window_start']} - "
+             f"{first['window_end']}", "",
+             f"Months counted: {first['months']}. A sale counts if its price is under the "
+             "given part of the block's floor and default nodes would have relayed it."]
+    lines += section("Sales under the floor", HEADLINE, heads)
+    lines += section("If blocks counted as full earlier or later", GRID,
+                     sensitivity_totals(grid).orderBy("full_weight", "sensitivity").collect())
+    lines += section("Pools with most of it", POOLS, top_pools(pools).collect())
+    lines += ["", "At least: what is missing to the floor. At most: the space at the block's "
+              "median price. Pools are named after coinbase texts and payout addresses."]
+    return "\n".join(lines) + "\n", {h["sensitivity"][2:]: h.asDict() for h in heads}
 
 
 def write_summary(spark: SparkSession, folder: str, monthly: DataFrame, grid: DataFrame,

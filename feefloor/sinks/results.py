@@ -28,10 +28,10 @@ def json_safe(df: DataFrame) -> DataFrame:
 def write_result_json(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One JSON-lines file. For result tables only, which are a few rows per
     month; NULLs are written, so every row has every field."""
-    rows = json_safe(df)
+    rows = json_safe(df).repartition(1)
     if order:
-        rows = rows.orderBy(*order)
-    (rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path))
+        rows = rows.sortWithinPartitions(*order)
+    (rows.write.mode("overwrite").option("ignoreNullFields", False).json(path))
 
 
 def onchain_fee_rows(monthly_fee: DataFrame) -> DataFrame:

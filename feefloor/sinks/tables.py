@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MONTH = "block_month"
@@ -48,14 +48,37 @@ def merge_months(existing: DataFrame | None, fresh: DataFrame, months: DataFrame
         *existing.columns).unionByName(fresh)
 
 
+def top_rows(sample: DataFrame, k: int = 5_000) -> DataFrame:
+    """The k most valuable rows over all months."""
+    return sample.orderBy(F.desc("upper_band_sats"), "tx_hash").limit(k)
+
+
+def top_by_month(rows: DataFrame, k: int = 5_000, column: str = MONTH) -> DataFrame:
+    """The k most valuable rows of each month: the top k of any set of months is among
+    them, whichever months are replaced later.
+
+    Rows are ranked in slices first, so no task sorts a whole month.
+    """
+    order = (F.desc("upper_band_sats"), "tx_hash")
+    part = F.pmod(F.xxhash64("tx_hash"), F.lit(64))
+    by_slice = Window.partitionBy(column, part).orderBy(*order)
+    by_month = Window.partitionBy(column).orderBy(*order)
+    return (rows.withColumn("place", F.row_number().over(by_slice)).where(F.col("place") <= k)
+            .withColumn("place", F.row_number().over(by_month)).where(F.col("place") <= k)
+            .drop("place"))
+
+
 def merge_sample(existing: DataFrame | None, fresh: DataFrame, months: DataFrame,
                  k: int = 5_000) -> DataFrame:
-    """As above, then the k most valuable rows over all months."""
-    return (merge_months(existing, fresh, months)
-            .orderBy(F.desc("upper_band_sats"), "tx_hash").limit(k))
+    """Months merged, each with its own top k; ``top_rows`` of it is the sample."""
+    return top_by_month(merge_months(existing, fresh, months), k)
 
 
 def write_months(df: DataFrame, path: str, column: str = MONTH) -> None:
-    """The same merge on disk: replace only the month folders ``df`` holds."""
+    """The same merge on disk: replace only the month folders ``df`` holds.
+
+    Folders are exchanged when all their files are written, so a failed job
+    leaves what was there.
+    """
     (df.hint("rebalance", column).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))

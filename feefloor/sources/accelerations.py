@@ -22,12 +22,17 @@ def read_accelerations(spark: SparkSession, folder: str, multi_line: bool = True
     """Every record of every monthly file, with the month its file is named for.
 
     A file holding one JSON array is one document, so one task reads it. Pass
-    ``multi_line=False`` for JSON lines, which split over many tasks.
+    ``multi_line=False`` for JSON lines, which split over many tasks. A file, or
+    a line, that is no whole JSON stops the read with its name.
     """
-    return (spark.read.schema(ACCELERATION_SCHEMA).option("multiLine", multi_line)
+    rows = (spark.read.schema(f"{ACCELERATION_SCHEMA}, broken string")
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "broken")
             .option("pathGlobFilter", "*.json").json(folder)
-            .select("*", file_stem(F.col("_metadata.file_name")).alias("month"))
-            .where("txid IS NOT NULL OR status IS NOT NULL OR feeDelta IS NOT NULL"))
+            .select("*", F.col("_metadata.file_name").alias("file")))
+    stop = F.raise_error(F.concat(F.lit("broken acceleration file "), "file")).cast("boolean")
+    return (rows.where(F.when(F.col("broken").isNotNull(), stop).otherwise(F.lit(True)))
+            .withColumn("month", file_stem(F.col("file"))).drop("broken", "file"))
 
 
 def list_months(spark: SparkSession, folder: str) -> DataFrame:

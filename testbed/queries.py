@@ -122,7 +122,7 @@ def audits(t: ChainTables) -> DataFrame:
 
 
 def flagged(t: ChainTables) -> DataFrame:
-    return quality.flagged_blocks(t["txs"], t["blocks"], "low_fee_70", 790_000)
+    return quality.flagged_txs(t["txs"], t["blocks"], "low_fee_70", 790_000)
 
 
 def roundtrip(t: ChainTables, name: str) -> str:
@@ -217,7 +217,7 @@ def merged_sample(t: ChainTables) -> DataFrame:
         "tx_hash", "block_month", F.round("upper_band_sats", 5).alias("upper_band_sats"))
     fresh = low.where(F.col("block_month") >= RERUN)
     old = low.withColumn("upper_band_sats", F.col("upper_band_sats") + 1)
-    return tables.merge_sample(old, fresh, tables.months_covered(fresh), 25)
+    return tables.top_rows(tables.merge_sample(old, fresh, tables.months_covered(fresh), 25), 25)
 
 
 def onchain(t: ChainTables) -> DataFrame:
@@ -527,6 +527,15 @@ def build() -> dict[str, tuple]:
         "WHERE pool_name <> 'Pool 3')")
     q["audit_overlap"] = (
         lambda t: quality.audit_overlap(flagged(t), audits(t)), audit_sql(""))
+    q["audit_overlap_by_block"] = (
+        lambda t: jobs.validate(_with(t, "txs", "blocks"), audits(t), 10**6, "70", by_block=True),
+        "SELECT f.block_number, f.pool_name, a.block_hash IS NOT NULL AS audited, "
+        "CASE WHEN a.block_hash IS NOT NULL THEN len(f.h) END AS low_fee, "
+        "CASE WHEN a.block_hash IS NOT NULL THEN coalesce(len(list_intersect(f.h, a.added)), 0)"
+        " END AS in_added, CASE WHEN a.block_hash IS NOT NULL THEN "
+        "coalesce(len(list_intersect(f.h, a.accelerated)), 0) END AS in_accelerated "
+        "FROM (SELECT block_number, block_hash, pool_name, list(tx_hash) AS h FROM low "
+        f"WHERE block_number >= 790000 GROUP BY ALL) f LEFT JOIN {AUDIT_SQL} a USING (block_hash)")
     q["validate"] = (
         lambda t: jobs.validate(_with(t, "txs", "blocks"), audits(t), 20, "70"),
         audit_sql("ORDER BY sha256(concat('feefloor', block_hash)) LIMIT 20"))
@@ -660,9 +669,8 @@ def build() -> dict[str, tuple]:
         "WHERE pool_name = 'Unknown' GROUP BY 1 ORDER BY blocks DESC, coinbase_text NULLS FIRST "
         "LIMIT 15")
     q["flagged_blocks"] = (
-        lambda t: joined(flagged(t), "low_fee_hashes"),
-        "SELECT block_number, block_hash, pool_name, count(*) AS low_fee_txs, "
-        "string_agg(tx_hash, ',' ORDER BY tx_hash) AS low_fee_hashes FROM low "
+        lambda t: quality.flagged_blocks(flagged(t)),
+        "SELECT block_number, block_hash, pool_name, count(*) AS low_fee_txs FROM low "
         "WHERE block_number >= 790000 GROUP BY block_number, block_hash, pool_name")
     q["invariants"] = (
         lambda t: quality.invariants(t["txs"], t["blocks"], t["block_percentiles"]),
@@ -670,7 +678,9 @@ def build() -> dict[str, tuple]:
         "verdicts WHERE NOT is_coinbase AND effective_fee_rate IS NULL) AS violations "
         "UNION ALL SELECT 'low_fee_nonrelayable', (SELECT count(*) FROM "
         "flagged WHERE low_fee_70 AND is_nonrelayable) "
-        "UNION ALL SELECT 'verdict_mismatch', 0 "
+        "UNION ALL SELECT 'verdict_mismatch', (SELECT count(*) FROM verdicts WHERE "
+        f"is_nonrelayable <> coalesce({' OR '.join('nonrelay_' + r for r in (*REASONS, 'ancestor_limit'))}, "
+        "FALSE)) "
         "UNION ALL SELECT 'nonrelayable_coinbase', (SELECT count(*) FROM verdicts "
         "WHERE is_coinbase AND is_nonrelayable) "
         "UNION ALL SELECT 'package_price_mismatch', (SELECT count(*) FROM "
@@ -686,7 +696,8 @@ def build() -> dict[str, tuple]:
         "SELECT tx_hash, block_month, pool_name, upper_band_sats FROM low WHERE low_fee_50 "
         "ORDER BY upper_band_sats DESC, tx_hash LIMIT 5000", {"upper_band_sats": 5})
     q["fixed_sample"] = (
-        lambda t: quality.fixed_sample(flagged(t), 10).select("block_number", "low_fee_txs"),
+        lambda t: quality.fixed_sample(quality.flagged_blocks(flagged(t)), 10).select(
+            "block_number", "low_fee_txs"),
         "SELECT block_number, count(*) AS low_fee_txs FROM low GROUP BY block_number, "
         "block_hash ORDER BY sha256(concat('feefloor', block_hash)) LIMIT 10")
     q["low_fee_txs"] = both(

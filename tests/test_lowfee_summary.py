@@ -144,27 +144,38 @@ def test_invariants_catch_each_fault(spark, tables):
     assert got["package_price_mismatch"] == 1
 
 
-def test_flagged_blocks_keep_the_first_hashes(spark, tables):
-    rows = [tx(f"{i:04d}", 10, 1.0) for i in range(300)]
+def test_every_flagged_transaction_counts(spark, tables):
+    """3,000 in one block, all of them in its audit."""
+    rows = [tx(f"{i:04d}", 10, 1.0) for i in range(3000)]
     txs = lowfee.apply_low_fee(spark.createDataFrame(rows, TX), tables[1])
-    row = quality.flagged_blocks(txs, tables[1], "low_fee_50", 5, max_hashes=7).first()
-    assert row["low_fee_txs"] == 300
-    assert row["low_fee_hashes"] == [f"{i:04d}" for i in range(7)]
-    assert quality.flagged_blocks(txs, tables[1], "low_fee_50", 11).isEmpty()
+    flagged = quality.flagged_txs(txs, tables[1], "low_fee_50", 5)
+    block = quality.flagged_blocks(flagged).first()
+    assert block["low_fee_txs"] == 3000
+    audits = spark.createDataFrame([(block["block_hash"], [r[0] for r in flagged.select(
+        "tx_hash").collect()], [])], "block_hash string, added array<string>, "
+        "accelerated array<string>")
+    got = quality.audit_overlap(flagged, audits).first()
+    assert (got["low_fee"], got["in_added"], got["in_accelerated"]) == (3000, 3000, 0)
+    assert quality.flagged_txs(txs, tables[1], "low_fee_50", 11).isEmpty()
 
 
 def test_audit_overlap(spark):
     flagged = spark.createDataFrame(
-        [(1, "h1", "A", 3, ["a", "b", "c"]), (2, "h2", "A", 1, ["d"]), (3, "h3", "B", 1, ["e"])],
-        "block_number long, block_hash string, pool_name string, low_fee_txs long, "
-        "low_fee_hashes array<string>")
+        [(7, "x7", "Elm", h) for h in ("p", "q", "r", "s")] + [(8, "x8", "Elm", "t")]
+        + [(9, "x9", "Oak", h) for h in ("u", "v")],
+        "block_number long, block_hash string, pool_name string, tx_hash string")
     audits = spark.createDataFrame(
-        [("h1", ["a", "b", "z"], ["c"]), ("h2", None, []), ("h9", ["e"], ["e"])],
+        [("x7", ["q", "other"], ["p", "q", "r"]), ("x9", None, None), ("far", ["t"], ["u"])],
         "block_hash string, added array<string>, accelerated array<string>")
+    by_block = {r["block_number"]: tuple(r)[2:] for r in
+                quality.audit_overlap_by_block(flagged, audits).collect()}
+    assert by_block == {7: (True, 4, 1, 3), 8: (False, None, None, None), 9: (True, 2, 0, 0)}
     got = quality.audit_overlap(flagged, audits).first()
     assert (got["blocks"], got["audited"], got["without_audit"], got["blocks_with_overlap"],
-            got["low_fee"], got["in_added"], got["in_accelerated"]) == (3, 2, 1, 1, 4, 2, 1)
-    assert got["added_share"] == 0.5
-    sample = [r["block_hash"] for r in quality.fixed_sample(flagged, 2).collect()]
-    assert sample == [r["block_hash"] for r in quality.fixed_sample(flagged, 2).collect()]
+            got["low_fee"], got["in_added"], got["in_accelerated"]) == (3, 2, 1, 1, 6, 1, 3)
+    assert got["accelerated_share"] == 0.5
+    for n in (1, 2):
+        picks = [{r["block_hash"] for r in quality.sampled_txs(flagged, n).collect()}
+                 for _ in range(2)]
+        assert picks[0] == picks[1] and len(picks[0]) == n
     assert quality.audit_overlap(flagged.limit(0), audits).first()["added_share"] is None

@@ -203,8 +203,32 @@ def test_the_sample_keeps_the_largest(spark):
     old = spark.createDataFrame([("big", "1", 900.0), ("small", "1", 1.0), ("gone", "2", 999.0)],
                                 schema)
     fresh = spark.createDataFrame([("mid", "2", 500.0)], schema)
-    got = tables.merge_sample(old, fresh, tables.months_covered(fresh), 2).collect()
-    assert [r["tx_hash"] for r in got] == ["big", "mid"]
+    kept = tables.merge_sample(old, fresh, tables.months_covered(fresh), 2)
+    assert [r["tx_hash"] for r in tables.top_rows(kept, 2).collect()] == ["big", "mid"]
+
+
+def test_a_replaced_month_brings_rows_back(spark):
+    """Rows that a rich month kept out of the sample return when it is replaced."""
+    schema = "tx_hash string, block_month string, upper_band_sats double"
+    first = spark.createDataFrame([(f"r{i}", "1", 900.0 + i) for i in range(3)]
+                                  + [("x", "2", 5.0), ("y", "2", 4.0)], schema)
+    stored = tables.merge_sample(None, first, tables.months_covered(first), 3)
+    assert {r[0] for r in tables.top_rows(stored, 3).collect()} == {"r0", "r1", "r2"}
+    poor = spark.createDataFrame([("z", "1", 1.0)], schema)
+    again = tables.merge_sample(stored, poor, tables.months_covered(poor), 3)
+    assert [r[0] for r in tables.top_rows(again, 3).collect()] == ["x", "y", "z"]
+
+
+def test_a_broken_folder_stops_the_export(spark, march, tmp_path):
+    out = tmp_path / "out"
+    assert jobs.export_results(march, str(out))
+    broken = out / "tables" / "pool_summary"
+    kept = sorted(p.name for p in (out / "tables" / "monthly_summary").iterdir())
+    for part in broken.rglob("*.parquet"):
+        part.write_bytes(b"no table")
+    with pytest.raises(Exception):
+        jobs.export_results(march, str(out))
+    assert sorted(p.name for p in (out / "tables" / "monthly_summary").iterdir()) == kept
 
 
 def test_json_values(spark, tmp_path):
@@ -219,7 +243,7 @@ def test_report_without_full_blocks(spark, march):
     monthly = march["monthly_summary"].withColumn("full_block_vbytes", F.lit(0).cast("long"))
     text, heads = report.summary_report(monthly, march["low_fee_sensitivity"],
                                         march["pool_summary"].limit(0))
-    assert "n/a of space" in text and heads["30"]["share_of_full_block_space"] is None
+    assert "| - |" in text and heads["30"]["share_of_full_block_space"] is None
     assert "## Pools" not in text
 
 
