@@ -173,7 +173,7 @@ def _stretches(entry: np.ndarray) -> np.ndarray:
 
 # --- 2: buckets -------------------------------------------------------------------
 
-def meet(posted: DataFrame, keep_first: bool) -> DataFrame:
+def meet(posted: DataFrame, keep_first: bool, most: int = WIDE) -> DataFrame:
     """Stretches that are repeats, and surroundings that are still to be sorted.
 
     A row with ``at`` is an anchor to be sorted; for others begin to end is a repeat.
@@ -196,7 +196,7 @@ def meet(posted: DataFrame, keep_first: bool) -> DataFrame:
         differ = np.bincount(own)[own]
         open_ = np.bincount(own, weights=~many | keep_first)[own] > 0
         sort = first[(differ > 1) & open_]
-        wide = (differ > WIDE)[(differ > 1) & open_]
+        wide = (differ > most)[(differ > 1) & open_]
         done = _rows(entry[repeat], low[repeat], high[repeat])
         left = _rows(entry[sort], low[sort], high[sort], entry["at"][sort],
                      entry["gram"][sort].astype(np.int64), wide)
@@ -286,18 +286,23 @@ def to_smaller(places: np.ndarray, common: np.ndarray) -> np.ndarray:
     return low
 
 
-def longest_factors(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_factors(data: np.ndarray, span: int, places: np.ndarray | None = None
+                    ) -> tuple[np.ndarray, np.ndarray]:
     """(previous, next): longest match, up to span, of the suffix at each place with
-    one that starts earlier, and with one that starts later."""
+    one that starts earlier, and with one that starts later. Of suffixes not in
+    ``places``, which rise, none is matched, and they keep 0."""
     levels = truncated_ranks(data, span)
-    order = np.argsort(levels[-1][1], kind="stable")
+    own = np.arange(len(data)) if places is None else places
+    order = own[np.argsort(levels[-1][1][own], kind="stable")]
     common = common_lengths(order, levels, data, span)
+    if not len(order):
+        return np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
     backward = np.concatenate([[0], common[:0:-1]])
     out = []
-    for places in (order, -order):
-        before = to_smaller(places, common)
-        after = to_smaller(places[::-1], backward)[::-1]
-        factor = np.empty(len(data), np.int64)
+    for at in (order, -order):
+        before = to_smaller(at, common)
+        after = to_smaller(at[::-1], backward)[::-1]
+        factor = np.zeros(len(data), np.int64)
         factor[order] = np.maximum(before, after)
         out.append(factor)
     return out[0], out[1]
@@ -308,7 +313,9 @@ def repeated_windows(parts: list[bytes], span: int, keep_first: bool) -> list[np
     lengths = np.array([len(p) for p in parts])
     starts = np.concatenate([[0], np.cumsum(lengths)])
     data = np.frombuffer(b"".join(parts), np.uint8)
-    previous, following = longest_factors(data, span)
+    # Windows that would run from one part into the next are no windows.
+    inside = [np.arange(a, max(b - span + 1, a)) for a, b in zip(starts[:-1], starts[1:])]
+    previous, following = longest_factors(data, span, np.concatenate(inside))
     hit = previous >= span
     if not keep_first:
         hit |= following >= span
@@ -425,16 +432,18 @@ def _remove(data: bytes, stretches: list[tuple[int, int]]) -> tuple[int, int, by
 _RESULT = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string,kept binary"
 
 
-def suffix_dedup(docs: DataFrame, keep_first: bool = True, with_text: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, keep_first: bool = True, with_text: bool = True,
+                 most: int = WIDE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of ``docs``.
 
-    ``kept`` are the remaining bytes; cuts may fall inside a character.
+    ``kept`` are the remaining bytes; cuts may fall inside a character. ``most`` is the
+    number of surroundings of one gram that a task sorts.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"),
                        F.hash("text").alias("key"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = 1 + int(size * 2 / (SPAN - GRAM + 1)) // BUCKET_ENTRIES
-    found = cut_lineage(meet(entries(docs, buckets, keep_first), keep_first), "repeats")
+    found = cut_lineage(meet(entries(docs, buckets, keep_first), keep_first, most), "repeats")
 
     stretch = F.struct("begin", "end")
     per_text = found.groupBy("doc_id", "key").agg(
