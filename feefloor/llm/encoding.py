@@ -13,9 +13,11 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-#: Entries kept before a worker starts its memory afresh.
-REMEMBERED = 600_000
+#: Most pieces a worker remembers. When they are reached the later half is dropped:
+#: frequent pieces are met early, so what stays is what is asked for most.
+REMEMBERED = 1_000_000
 #: Characters of one text that are cut into pieces at a time.
 BLOCK_CHARS = 1 << 20
 
@@ -81,9 +83,9 @@ class Encoder:
                 new = list({p for p, v in zip(pieces, found) if v is None})
                 made = dict(zip(new, self.of_all(new)))
                 found = [made[p] if v is None else v for p, v in zip(pieces, found)]
-                if len(self.known) + len(made) > REMEMBERED:
-                    self.known.clear()
                 self.known.update(made)
+                if len(self.known) > REMEMBERED:
+                    self.known = dict(islice(self.known.items(), REMEMBERED // 2))
             yield found
 
 
