@@ -119,7 +119,7 @@ _tables: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base modulo 2^64, and of its inverse."""
-    if len(_tables.get("up", ())) < n:
+    if len(_tables.get("up", ())) < max(n, 1):
         size = max(n, STEP_BYTES + 1)
         _tables["up"] = _powers(_BASE, size)
         _tables["down"] = _powers(pow(_BASE, -1, 2**64), size)

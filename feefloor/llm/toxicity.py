@@ -44,8 +44,9 @@ STEMS = (3, 4, 5, 6, 8, 10)
 MIN_Z = 4.0
 #: and its log-odds so far from 0: lesser leanings of common words only add up to noise.
 MIN_ODDS = 2.0
-#: Prior words for each class, and what a word must make up for by its log-odds.
-PRIOR = 10_000.0
+#: Prior words for each class, as a share of all labelled ones, and what a word must
+#: make up for by its log-odds.
+PRIOR = 0.01
 DRIFT = 0.02
 #: A passage is significant if chance makes so few of its score in such a text.
 MAX_E = 0.05
@@ -208,12 +209,14 @@ def score_counts(texts: DataFrame, model: Model) -> DataFrame:
             .groupBy("score").agg(F.sum("n").alias("n")))
 
 
-def log_odds(n_toxic, n_clean, all_toxic: float, all_clean: float, prior: float = PRIOR):
+def log_odds(n_toxic, n_clean, all_toxic: float, all_clean: float,
+             prior_share: float = PRIOR):
     """(log-odds under the prior, root of the likelihood ratio of a difference) as Columns.
 
     The ratio and not the prior's variance tells how sure a difference is, since
     the latter never trusts a word that clean text lacks.
     """
+    prior = prior_share * (all_toxic + all_clean)
     share = (n_toxic + n_clean) / F.lit(all_toxic + all_clean)
     a, b = n_toxic + share * prior, n_clean + share * prior
     delta = F.log(a / (all_toxic + prior - a)) - F.log(b / (all_clean + prior - b))
