@@ -157,7 +157,7 @@ def test_months_merge_and_rerun_replaces(spark, march, tmp_path):
     sample = read_json(spark, f"{out}/low_fee_txs_sample.json")
     assert len(sample) == 28 and not any("x2" in r["tx_hash"] for r in sample)
     text = "\n".join(r[0] for r in spark.read.text(f"{out}/summary").collect())
-    assert "2024-03-01 to 2024-04-01" in text and "| Ant |" in text
+    assert "2024-03-01 - 2024-04-01" in text and "| Ant |" in text
     heads = json.loads("\n".join(r[0] for r in spark.read.text(f"{out}/headline", wholetext=True)
                                  .collect()))
     assert heads["50"]["low_fee_vbytes"] == 5600 and heads["50"]["months"] == 2
