@@ -4,7 +4,9 @@ Only lengths matter to a packing, and there are at most ``capacity`` of them, so
 the search runs over a histogram: at most 4,096 rows however many documents
 there are. Bin completion builds one sequence at a time around the largest piece
 left, enumerating the undominated fillings of the room beside it, and uses each
-chosen filling as often as the histogram allows. Documents are then dealt to
+chosen filling as often as the histogram allows. Where neither that nor best fit
+meets the lower bound, branch and bound goes back over the choices. Documents are
+then dealt to
 the places of the plan by their rank among pieces of the same length: a join, no
 single task, and no place left over.
 
@@ -35,10 +37,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Ranks within one length are counted in so many slices, whatever the length's share.
 SLICES = 256
-#: Search nodes spent on one filling, and on the exact search of a small remainder.
-FILL_NODES = 4000
-EXACT_NODES = 200_000
-EXACT_ITEMS = 60
+#: Nodes of the branch and bound, after which the best plan so far stands without proof.
+NODES = 20_000
+#: First companions of a piece that one of the incumbents chooses from.
+NEAR = 24
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -68,40 +70,45 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 # --- the search over lengths ----------------------------------------------
 
-def fillings(sizes: list[int], counts: Counter, room: int, allowed: int,
-             nodes: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of ``room`` as (waste, sizes), larger sizes first.
+def fillings(sizes: list[int], counts: Counter, room: int, allowed: int
+             ) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Undominated fillings of ``room`` as (waste, sizes), least waste and larger sizes first.
 
-    ``sizes`` is in falling order. A filling whose waste another piece could
-    still reduce is dominated by the one with that piece, and one where a piece
-    could be swapped for a larger piece that fits in its place and the waste is
-    dominated by that. Fillings that waste more than ``allowed`` are pruned.
+    ``sizes`` is in falling order. A table of the sums that the smaller sizes reach
+    leads the walk, so it takes no step that ends in no filling and leaves none
+    out. A filling is dominated if another piece fits into its waste, or a larger
+    one in place of one of its pieces. Fillings that waste more than ``allowed`` are
+    pruned.
     """
-    spent = 0
-    least = next((s for s in reversed(sizes) if counts[s]), 0)
-    stack = [(0, room, ())]
-    while stack:
-        begin, left, chosen = stack.pop()
-        spent += 1
-        if spent > nodes:
-            return
-        used = Counter(chosen)
-        begin = _first_fitting(sizes, left, begin)
-        options = []
-        for k in range(begin, len(sizes)):
-            if counts[sizes[k]] > used[sizes[k]]:
-                options.append(k)
-                if len(options) == 24 or sizes[k] == left:
-                    break
-        if not options:
-            fits = any(counts[s] > used[s] for s in sizes[_first_fitting(sizes, left, 0):])
-            if not fits and left <= allowed and not _dominated(chosen, used, counts, sizes, left):
-                yield left, chosen
+    fit = [s for s in sizes[_first_fitting(sizes, room, 0):] if counts[s]]
+    most = [min(counts[s], room // s) for s in fit]
+    reach = [1] * (len(fit) + 1)
+    inside = (1 << (room + 1)) - 1
+    for k in range(len(fit) - 1, -1, -1):
+        sums, left, step = reach[k + 1], most[k], 1
+        while left:
+            step = min(step, left)
+            sums |= sums << (step * fit[k])
+            left -= step
+            step *= 2
+        reach[k] = sums & inside
+    for waste in range(min(allowed, room) + 1):
+        if not reach[0] >> (room - waste) & 1:
             continue
-        for k in reversed(options):
-            stack.append((k, left - sizes[k], (*chosen, sizes[k])))
-        if least == 0:
-            return
+        stack = [(0, room - waste, ())]
+        while stack:
+            k, left, chosen = stack.pop()
+            if left:
+                # Smaller sizes only, once neither more of this one nor a choice is left.
+                k = max(k, _first_fitting(fit, left, k))
+                options = [n for n in range(min(most[k], left // fit[k]) + 1)
+                           if reach[k + 1] >> (left - n * fit[k]) & 1]
+                stack += [(k + 1, left - n * fit[k], chosen + (fit[k],) * n) for n in options]
+                continue
+            used = Counter(chosen)
+            fits = any(counts[s] > used[s] for s in fit[_first_fitting(fit, waste, 0):])
+            if not fits and not _dominated(chosen, used, counts, fit, waste):
+                yield waste, chosen
 
 
 def _first_fitting(sizes: list[int], room: int, begin: int) -> int:
@@ -124,28 +131,38 @@ def _dominated(chosen, used, counts, sizes, waste) -> bool:
     return False
 
 
-def best_fit(histogram: Counter, capacity: int) -> list[list[int]]:
-    """Best fit, largest first: the incumbent. Bins as lists of sizes."""
-    bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+def best_fit(histogram: Counter, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Best fit, largest first: the incumbent. Bins as (how often, sizes).
+
+    Equal pieces go into equal bins together, so the work follows the number of
+    lengths and not of pieces: the tightest bin that fits stays the tightest until
+    it is full.
+    """
+    by_room: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
     open_rooms = 0
+
+    def put(often: int, sizes: tuple[int, ...], room: int) -> None:
+        nonlocal open_rooms
+        by_room[room].append((often, sizes))
+        open_rooms |= 1 << room
+
     for size in sorted(histogram, reverse=True):
-        for _ in range(histogram[size]):
+        left = histogram[size]
+        while left:
             fitting = open_rooms >> size
+            room, have, sizes = capacity, left, ()
             if fitting:
                 room = size + (fitting & -fitting).bit_length() - 1
-                at = by_room[room].pop()
+                have, sizes = by_room[room].pop()
                 if not by_room[room]:
                     open_rooms &= ~(1 << room)
-                bins[at].append(size)
-                room -= size
-            else:
-                at, room = len(bins), capacity - size
-                bins.append([size])
-            if room:
-                by_room[room].append(at)
-                open_rooms |= 1 << room
-    return bins
+            each = min(room // size, left)
+            often = min(have, left // each)
+            put(often, sizes + (size,) * each, room - each * size)
+            if sizes and have > often:
+                put(have - often, sizes, room)
+            left -= often * each
+    return [b for bins in by_room for b in bins]
 
 
 def lower_bound(histogram: Counter, capacity: int) -> int:
@@ -158,96 +175,125 @@ def lower_bound(histogram: Counter, capacity: int) -> int:
     n = np.zeros(capacity + 1, np.int64)
     for size, count in histogram.items():
         n[size] = count
-    sizes = np.arange(capacity + 1)
-    amount = np.cumsum(n * sizes)
+    amount = np.cumsum(n * np.arange(capacity + 1))
     count = np.cumsum(n)
     half = capacity // 2
-    best = -(-int(amount[-1]) // capacity)
-    for t in range(0, half + 1):
-        big = int(count[-1] - count[capacity - t])
-        mid = int(count[capacity - t] - count[half])
-        room = mid * capacity - int(amount[capacity - t] - amount[half])
-        small = int(amount[half] - (amount[t - 1] if t else 0))
-        best = max(best, big + mid + max(0, -(-(small - room) // capacity)))
-    return best
+    t = np.arange(half + 1)
+    big = count[-1] - count[capacity - t]
+    mid = count[capacity - t] - count[half]
+    room = mid * capacity - (amount[capacity - t] - amount[half])
+    small = amount[half] - np.where(t > 0, amount[t - 1], 0)
+    needed = big + mid + np.maximum(0, -(-(small - room) // capacity))
+    return max(-(-int(amount[-1]) // capacity), int(needed.max()))
 
 
-def exact_small(histogram: Counter, capacity: int, incumbent: list[list[int]],
-                nodes: int = EXACT_NODES) -> list[list[int]]:
-    """Branch and bound over completions of the largest piece; never worse than given."""
-    best, spent = incumbent, 0
-
-    def search(left: Counter, done: list[list[int]], waste: int) -> None:
-        nonlocal best, spent
-        spent += 1
-        if spent > nodes or len(best) == bound:
-            return
-        total = sum(s * c for s, c in left.items())
-        if not total:
-            if len(done) < len(best):
-                best = list(done)
-            return
-        if len(done) + lower_bound(left, capacity) >= len(best):
-            return
-        sizes = sorted((s for s in left if left[s]), reverse=True)
+def completed(left: Counter, capacity: int, near: int = 0) -> list[tuple[int, tuple[int, ...]]]:
+    """The largest size left is completed with least waste, as often as the counts allow.
+
+    With ``near``, its first companion is one of the so many largest that fit, which
+    spares small pieces for later; the plan is one more incumbent.
+    """
+    left, bins = Counter(left), []
+    sizes = sorted(left, reverse=True)
+    while sizes:
         top = sizes[0]
         left[top] -= 1
-        allowed = (len(best) - 1) * capacity - everything - waste
-        for lost, filling in sorted(fillings(sizes, left, capacity - top, allowed, 200)):
-            for s in filling:
-                left[s] -= 1
-            search(left, [*done, [top, *filling]], waste + lost)
-            for s in filling:
-                left[s] += 1
+        room = capacity - top
+        fit = [s for s in sizes[_first_fitting(sizes, room, 0):] if left[s]]
+        best = None
+        for s in fit[:near]:
+            left[s] -= 1
+            smaller = sizes[_first_fitting(sizes, s, 0):]
+            found = next(fillings(smaller, left, room - s, room - s), None)
+            left[s] += 1
+            if found and (best is None or found[0] < best[0]):
+                best = found[0], (s, *found[1])
+                if not best[0]:
+                    break
+        if best is None:
+            best = next(fillings(sizes, left, room, room))
         left[top] += 1
+        often = _take(left, (top, *best[1]))
+        bins.append((often, (top, *best[1])))
+        sizes = [s for s in sizes if left[s]]
+    return bins
+
+
+def _take(left: Counter, sizes: tuple[int, ...], often: int = 0) -> int:
+    """Take ``sizes`` from the counts so often, or as often as there are enough."""
+    uses = Counter(sizes)
+    often = often or min(left[s] // k for s, k in uses.items())
+    for s, k in uses.items():
+        left[s] -= often * k
+    return often
 
+
+def branch(histogram: Counter, capacity: int, best: list[tuple[int, tuple[int, ...]]],
+           nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
+    """Branch and bound over (filling of the largest piece left, how often).
+
+    Never worse than ``best``. Fillings are pruned by the waste that one bin fewer
+    than the best would have to spare. It ends with a plan that meets the bound,
+    with the proof that none is better, or after so many nodes without a proof.
+    """
+    fewest, bound = sum(k for k, _ in best), lower_bound(histogram, capacity)
     everything = sum(s * c for s, c in histogram.items())
-    bound = lower_bound(histogram, capacity)
-    if len(best) > bound:
-        search(Counter(histogram), [], 0)
+    left, done, n_done, wasted = Counter(histogram), [], 0, 0
+
+    def choices() -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        sizes = sorted((s for s in left if left[s]), reverse=True)
+        top = sizes[0]
+        rest = Counter(left)
+        rest[top] -= 1
+        allowed = (fewest - 1) * capacity - everything - wasted
+        for waste, filling in fillings(sizes, rest, capacity - top, allowed):
+            uses = Counter((top, *filling))
+            often = min(left[s] // k for s, k in uses.items())
+            if waste:
+                often = min(often, allowed // waste)
+            for n in range(often, 0, -1):
+                yield n, waste, (top, *filling)
+
+    stack = [choices()] if fewest > bound else []
+    while stack and nodes:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if done:
+                often, waste, sizes = done.pop()
+                _take(left, sizes, -often)
+                n_done, wasted = n_done - often, wasted - often * waste
+            continue
+        nodes -= 1
+        often, waste, sizes = step
+        _take(left, sizes, often)
+        done.append(step)
+        n_done, wasted = n_done + often, wasted + often * waste
+        if not any(left.values()) and n_done < fewest:
+            best, fewest = [(k, b) for k, _, b in done], n_done
+            if fewest == bound:
+                break
+        if n_done + lower_bound(left, capacity) < fewest:
+            stack.append(choices())
+        else:
+            done.pop()
+            _take(left, sizes, -often)
+            n_done, wasted = n_done - often, wasted - often * waste
     return best
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """Bins as (how often, sizes). Their number is the bound's wherever it is met.
+    """Bins as (how often, sizes), at every size of the table by the same steps.
 
-    The largest size left is completed by the filling with least waste, used as
-    often as the counts allow; when few pieces are left they are packed by best
-    fit, and exactly by branch and bound if that misses the bound. If the whole
-    misses the bound, plain best fit over everything is the rival incumbent.
+    Best fit and the completion of the largest piece with least waste are the
+    incumbents; if both miss the bound, the branch and bound starts from the better.
     """
-    left = Counter({int(s): int(c) for s, c in histogram.items() if c})
-    whole = Counter(left)
-    bins: list[tuple[int, tuple[int, ...]]] = []
-    sizes = sorted(left, reverse=True)
-    bound = lower_bound(whole, capacity)
-    spare = bound * capacity - sum(s * c for s, c in whole.items())
-    while sizes and left.total() > EXACT_ITEMS:
-        top = sizes[0]
-        left[top] -= 1
-        best: tuple[int, tuple[int, ...]] | None = None
-        for waste, filling in fillings(sizes, left, capacity - top, capacity, FILL_NODES):
-            if best is None or waste < best[0]:
-                best = (waste, filling)
-                if waste == 0:
-                    break
-        filling = best[1] if best else ()
-        left[top] += 1
-        uses = Counter((top, *filling))
-        often = min(left[s] // k for s, k in uses.items())
-        for s, k in uses.items():
-            left[s] -= often * k
-        spare -= often * (best[0] if best else capacity - top)
-        bins.append((often, (top, *filling)))
-        sizes = [s for s in sizes if left[s]]
-    rest = Counter({s: c for s, c in left.items() if c})
-    tail = exact_small(rest, capacity, best_fit(rest, capacity)) if rest else []
-    bins += [(1, tuple(b)) for b in tail]
-    if sum(k for k, _ in bins) > bound and whole.total() <= 200_000:
-        rival = Counter(tuple(b) for b in best_fit(whole, capacity))
-        if rival.total() < sum(k for k, _ in bins):
-            bins = [(k, b) for b, k in rival.items()]
-    return bins
+    whole = Counter({int(s): int(c) for s, c in histogram.items() if c})
+    best = best_fit(whole, capacity)
+    if sum(k for k, _ in best) > lower_bound(whole, capacity):
+        best = min(best, completed(whole, capacity), completed(whole, capacity, NEAR),
+                   key=lambda bins: sum(k for k, _ in bins))
+    return branch(whole, capacity, best)
 
 
 # --- dealing pieces to places ----------------------------------------------

@@ -221,6 +221,29 @@ def test_large_plans_meet_the_bound():
     assert taken == histogram
 
 
+def test_a_large_table_is_packed_no_worse_than_by_best_fit():
+    """Over 200,000 pieces, for which best fit was once left out: 65,834 bins."""
+    histogram = collections.Counter({17: 54_000, 26: 42_000, 6: 38_000, 13: 50_000, 7: 20_000})
+    bins = pack.plan(histogram, 50)
+    assert sum(k for k, _ in bins) <= 62_834
+    assert _taken(bins) == histogram
+
+
+def test_branches_where_more_pieces_than_a_tail_miss_the_bound():
+    histogram = collections.Counter({3: 33, 8: 42, 4: 7})
+    bins = pack.plan(histogram, 20)
+    assert sum(k for k, _ in bins) == pack.lower_bound(histogram, 20) == 24
+    assert _taken(bins) == histogram
+
+
+def _taken(bins):
+    taken = collections.Counter()
+    for often, sizes in bins:
+        for s in sizes:
+            taken[s] += often
+    return taken
+
+
 def test_hashed_words_follow_the_definition():
     import pyarrow as pa
 
