@@ -236,6 +236,16 @@ def test_branches_where_more_pieces_than_a_tail_miss_the_bound():
     assert _taken(bins) == histogram
 
 
+def test_every_size_is_an_option_of_a_filling():
+    """Hundreds of lengths just under half hide none of the smaller ones."""
+    histogram = collections.Counter({s: 10 for s in range(1700, 2000)})
+    histogram |= collections.Counter({1150: 4000, 900: 4000})
+    bins = pack.plan(histogram)
+    assert _taken(bins) == histogram
+    assert any(1150 in b and 900 in b and max(b) >= 1700 for _, b in bins)
+    assert sum(k for k, _ in bins) <= 3500
+
+
 def _taken(bins):
     taken = collections.Counter()
     for often, sizes in bins:
