@@ -17,6 +17,8 @@ against every other, so suffixes are first brought together by content:
    match (and, with the order of positions reversed, its longest later one).
    A window is a repeat if that reaches ``SPAN``. Grams with very many different
    surroundings are not gathered in a task: their windows are counted one by one.
+   Grams that a batch holds with several surroundings are added up beforehand, so
+   that those of a common gram are met by gram and surroundings and not by gram.
 
 With ``keep_first`` the first copy of everything stays (in order of doc_id, then
 position) and later ones go; without it every copy goes.
@@ -100,8 +102,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return grams[at], at, np.searchsorted(offsets, at, "right") - 1, sums
 
 
-def entries(docs: DataFrame, buckets: int, keep_first: bool) -> DataFrame:
-    """(bucket, entries); bucket -1 holds finished stretches: begin in at, end in gram."""
+_POSTED = "bucket int,entries binary,finished binary,grams binary"
+
+
+def entries(docs: DataFrame, buckets: int, keep_first: bool, most: int = WIDE) -> DataFrame:
+    """(bucket, entries), and for each batch its finished stretches and frequent grams.
+
+    Finished stretches have their begin in at and their end in gram. Of a gram that
+    no batch calls frequent, a bucket takes at most ``most`` / 256 entries a batch.
+    """
 
     def run(batch):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -126,16 +135,60 @@ def entries(docs: DataFrame, buckets: int, keep_first: bool) -> DataFrame:
         finished = _stretches(entry[(count[group] > 1)
                                     & (_later(entry, first[group]) | (not keep_first))])
         entry = entry[first]
+        grams, n = np.unique(entry["gram"], return_counts=True)
+        common = np.stack([grams[n > most // 256].view(np.int64), n[n > most // 256]], axis=1)
         to = (entry["gram"] >> np.uint64(20)).astype(np.int64) % buckets
         entry, to = entry[np.argsort(to, kind="stable")], np.sort(to)
         found, begins = np.unique(to, return_index=True)
         ends = np.append(begins[1:], len(to))
         blobs = [entry[a:b].tobytes() for a, b in zip(begins, ends)]
-        if len(finished):
-            found, blobs = np.append(found, -1), [*blobs, finished.tobytes()]
-        yield {"bucket": pa.array(found, pa.int32()), "entries": pa.array(blobs, pa.binary())}
+        none = [None] * len(blobs)
+        yield {"bucket": pa.array([*found.tolist(), None], pa.int32()),
+               "entries": pa.array([*blobs, None], pa.binary()),
+               "finished": pa.array([*none, finished.tobytes()], pa.binary()),
+               "grams": pa.array([*none, common.tobytes()], pa.binary())}
+
+    return over_batches(docs, run, _POSTED)
+
+
+def common_grams(posted: DataFrame, most: int) -> np.ndarray:
+    """Grams whose surroundings, added up over the batches, are more than ``most``.
+
+    Copies in several batches count several times, so some grams with fewer are among
+    them; that only decides by which way they go. There is at most one of them for
+    ``most`` entries.
+    """
+
+    def run(batch):
+        for blob in batch.column("grams").to_pylist():
+            pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
+            yield {"gram": pa.array(pairs[:, 0]), "n": pa.array(pairs[:, 1])}
+
+    rows = (over_batches(posted.select("grams").where("grams IS NOT NULL"), run,
+                         "gram long,n long")
+            .groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect())
+    return np.sort(np.array([r["gram"] for r in rows], np.int64).view(np.uint64))
 
-    return over_batches(docs, run, "bucket int,entries binary")
+
+def routed(posted: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, entries): entries of common grams by their surroundings, to buckets below 0."""
+    filed = posted.select("bucket", "entries").where("entries IS NOT NULL")
+    if not len(common):
+        return filed
+
+    def run(batch):
+        for bucket, blob in zip(batch.column("bucket").to_pylist(),
+                                batch.column("entries").to_pylist()):
+            entry = np.frombuffer(blob, _ENTRY)
+            apart = np.isin(entry["gram"], common)
+            to = np.full(len(entry), bucket, np.int64)
+            to[apart] = -1 - (mix(entry["gram"][apart] * _K1 + entry["around"][apart])
+                              >> np.uint64(20)).astype(np.int64) % buckets
+            found = np.unique(to)
+            yield {"bucket": pa.array(found, pa.int32()),
+                   "entries": pa.array([entry[to == k].tobytes() for k in found], pa.binary())}
+
+    return over_batches(filed, run, "bucket int,entries binary")
 
 
 def _groups(entry: np.ndarray):
@@ -173,7 +226,7 @@ def _stretches(entry: np.ndarray) -> np.ndarray:
 
 # --- 2: buckets -------------------------------------------------------------------
 
-def meet(posted: DataFrame, keep_first: bool, most: int = WIDE) -> DataFrame:
+def meet(posted: DataFrame, buckets: int, keep_first: bool, most: int = WIDE) -> DataFrame:
     """Stretches that are repeats, and surroundings that are still to be sorted.
 
     A row with ``at`` is an anchor to be sorted; for others begin to end is a repeat.
@@ -182,8 +235,7 @@ def meet(posted: DataFrame, keep_first: bool, most: int = WIDE) -> DataFrame:
 
     def bucket(rows: pa.Table) -> pa.Table:
         entry = np.frombuffer(b"".join(rows.column("entries").to_pylist()), _ENTRY)
-        if rows.column("bucket")[0].as_py() < 0:
-            return _rows(entry, entry["at"], entry["gram"].astype(np.int64))
+        common = rows.column("bucket")[0].as_py() < 0
         first, _, group = _groups(entry)
         many = np.bincount(group, weights=entry["seen"], minlength=len(first)) > 1
         repeat = many[group] & (_later(entry, first[group]) | (not keep_first))
@@ -195,15 +247,27 @@ def meet(posted: DataFrame, keep_first: bool, most: int = WIDE) -> DataFrame:
         own = np.cumsum(new) - 1
         differ = np.bincount(own)[own]
         open_ = np.bincount(own, weights=~many | keep_first)[own] > 0
-        sort = first[(differ > 1) & open_]
-        wide = (differ > most)[(differ > 1) & open_]
+        # The other surroundings of a common gram are in other buckets.
+        waits = (differ > 1) & open_ | common
+        sort = first[waits]
+        wide = ((differ > most) | common)[waits]
         done = _rows(entry[repeat], low[repeat], high[repeat])
         left = _rows(entry[sort], low[sort], high[sort], entry["at"][sort],
                      entry["gram"][sort].astype(np.int64), wide)
         return pa.concat_tables([done, left])
 
+    def finished(batches):
+        for batch in batches:
+            for blob in batch.column("finished").to_pylist():
+                entry = np.frombuffer(blob, _ENTRY)
+                yield from _rows(entry, entry["at"], entry["gram"].astype(np.int64)).to_batches()
+
     ship(posted.sparkSession)
-    return posted.groupBy("bucket").applyInArrow(bucket, _FOUND)
+    met = routed(posted, common_grams(posted, most), buckets).groupBy("bucket").applyInArrow(
+        bucket, _FOUND)
+    # Finished stretches meet nothing, so they are in no group.
+    return met.unionByName(map_arrow(
+        posted.select("finished").where("finished IS NOT NULL"), finished, _FOUND))
 
 
 def _rows(entry, begin, end, at=None, gram=None, wide=None) -> pa.Table:
@@ -443,7 +507,8 @@ def suffix_dedup(docs: DataFrame, keep_first: bool = True, with_text: bool = Tru
                        F.hash("text").alias("key"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = 1 + int(size * 2 / (SPAN - GRAM + 1)) // BUCKET_ENTRIES
-    found = cut_lineage(meet(entries(docs, buckets, keep_first), keep_first, most), "repeats")
+    posted = cut_lineage(entries(docs, buckets, keep_first, most), "entries")
+    found = cut_lineage(meet(posted, buckets, keep_first, most), "repeats")
 
     stretch = F.struct("begin", "end")
     per_text = found.groupBy("doc_id", "key").agg(

@@ -201,3 +201,26 @@ def test_blocks_miss_no_fingerprint_within_the_radius():
             row[bit // 8] ^= 1 << (bit % 8)
     near = decontaminate._NEAR[a, b]
     assert near.any(axis=1).all()
+
+
+def test_no_group_takes_all_stretches_or_a_common_gram(spark):
+    """Copies within a batch are in no group; a common gram is met in many buckets."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    middle = " ".join(rng.choices(words, k=40))
+    texts = [" ".join([*rng.choices(words, k=40), middle, *rng.choices(words, k=40)])
+             for _ in range(300)]
+    texts += [" ".join(rng.choices(words, k=90))] * 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr(
+        "doc_id", "text", "hash(text) AS key").coalesce(1)
+    posted = suffix_dedup.entries(df, 8, False, 100).cache()
+    assert posted.where("bucket < 0").count() == 0
+    common = suffix_dedup.common_grams(posted, 100)
+    assert len(common)
+    filed = suffix_dedup.routed(posted, common, 8).collect()
+    shares = [sum(np.isin(np.frombuffer(r["entries"], suffix_dedup._ENTRY)["gram"], common))
+              for r in filed]
+    assert sum(shares) >= 300 and max(shares) < sum(shares) / 3
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"])
+           for r in suffix_dedup.suffix_dedup(df, False, most=100).collect()}
+    assert got == brute.repeats(list(enumerate(texts)), keep_first=False)
