@@ -225,25 +225,37 @@ def match(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: nodes matched, and the pairs of slots (of a, of b)."""
     if a.label != b.label:
         return 0, []
-    rows, columns = len(a.kids), len(b.kids)
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    inner = {}
-    for i in range(rows):
-        for j in range(columns):
-            if a.kids[i].label == b.kids[j].label:
-                inner[i, j] = match(a.kids[i], b.kids[j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j],
-                                     best[i][j] + inner.get((i, j), (0,))[0])
-    pairs, i, j = [(a.slot, b.slot)], rows, columns
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += inner[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-    return best[rows][columns] + 1, pairs
+    size: dict[tuple[int, int], int] = {}
+    chosen: dict[tuple[int, int], list[tuple[Tree, Tree]]] = {}
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        if not ready:
+            todo.append((x, y, True))
+            todo.extend((k, m, False) for k in x.kids for m in y.kids if k.label == m.label)
+            continue
+        rows, columns = len(x.kids), len(y.kids)
+        best = [[0] * (columns + 1) for _ in range(rows + 1)]
+        for i, k in enumerate(x.kids):
+            for j, m in enumerate(y.kids):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j],
+                                         best[i][j] + size.get((k.slot, m.slot), 0))
+        own, i, j = [], rows, columns
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                own.append((x.kids[i], y.kids[j]))
+        size[x.slot, y.slot], chosen[x.slot, y.slot] = best[rows][columns] + 1, own
+    pairs, walk = [], [(a, b)]
+    while walk:
+        x, y = walk.pop()
+        pairs.append((x.slot, y.slot))
+        walk.extend(chosen[x.slot, y.slot])
+    return size[a.slot, b.slot], pairs
 
 
 def excluded(label: str) -> bool:
@@ -255,28 +267,33 @@ def excluded(label: str) -> bool:
 def content_slots(tree: Tree, chars: dict[int, float], constant: set[int]) -> list[int]:
     """Slots of the main text: see the module."""
     def below(node, stop):
-        if stop(node.label):
-            return
-        yield node
-        for kid in node.kids:
-            yield from below(kid, stop)
-
-    def mass(node):
-        return sum(chars.get(n.slot, 0) for n in below(node, excluded)
-                   if n.slot not in constant)
-
-    def main_nodes(node):
-        if node.label.split(".")[0] in MAIN and not excluded(node.label):
-            # A main element around articles: the articles are the text.
-            return [x for k in node.kids for x in main_nodes(k)] or [node]
-        return [] if excluded(node.label) else [x for k in node.kids for x in main_nodes(k)]
-
-    tops = [n for n in main_nodes(tree) if sum(chars.get(x.slot, 0) for x in below(n, excluded))]
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            if not stop(node.label):
+                yield node
+                todo.extend(reversed(node.kids))
+
+    # From the leaves up: what lies in an element outside of excluded ones, and the
+    # main elements in it. Of a main element around articles the articles are the text.
+    mass, held, mains = {}, {}, {}
+    for node in reversed(list(below(tree, lambda label: False))):
+        if excluded(node.label):
+            mass[node.slot], held[node.slot], mains[node.slot] = 0, 0, []
+            continue
+        own = chars.get(node.slot, 0)
+        mass[node.slot] = ((0 if node.slot in constant else own)
+                           + sum(mass[k.slot] for k in node.kids))
+        held[node.slot] = own + sum(held[k.slot] for k in node.kids)
+        found = [x for k in node.kids for x in mains[k.slot]]
+        mains[node.slot] = found or ([node] if node.label.split(".")[0] in MAIN else [])
+
+    tops = [n for n in mains[tree.slot] if held[n.slot]]
     if not tops:
-        top, whole = tree, mass(tree)
+        top, whole = tree, mass[tree.slot]
         while True:
             heavy = [k for k in top.kids if not excluded(k.label) and whole
-                     and mass(k) >= MOST * whole]
+                     and mass[k.slot] >= MOST * whole]
             if not heavy:
                 break
             top = heavy[0]

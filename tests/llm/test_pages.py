@@ -147,3 +147,16 @@ def test_a_frame_per_record_after_the_dictionary():
     with pytest.raises(ValueError, match="differ"):
         warc.parse(records[0].replace(b"payload 0", b"payload 1"))
     assert warc.train([b"few"]) == b""
+
+
+def test_a_deep_page_does_not_end_the_query(spark):
+    """A few thousand unclosed elements on one page, and the other pages of its host."""
+    deep = "<html><body>" + "<div>" * 3000 + "the only words"
+    rows = [(1, "https://deep.example/1", deep)]
+    rows += [(k, f"https://deep.example/{k}", f"<html><body><div><p>words of page {k}</p></div>")
+             for k in range(2, 7)]
+    got = {r["page_id"]: r["text"] for r in hw.html_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "the only words", **{k: f"words of page {k}" for k in range(2, 7)}}
+    tree = hw.read_tree(hw.fold(hw.parse(deep)[0])[0])
+    assert hw.match(tree, tree)[0] == 3003
