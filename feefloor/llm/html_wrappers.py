@@ -31,15 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feefloor.llm.common import over_batches, ship, table
+from feefloor.llm.common import over_batches, table
 from feefloor.session import cut_lineage
 
 #: Pages that must share a slot's text before it is template.
 MIN_PAGES = 3
 #: Share of varying text that an element must hold to be the content.
 MOST = 0.7
-#: Trees of one host that one task aligns.
-TREES = 2000
 
 # Elements of HTML and the names sites give to what is not their text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -350,41 +348,53 @@ def wrappers(seen: DataFrame) -> DataFrame:
     trees = cut_lineage(trees, "trees")
     most = trees.groupBy("host").agg(
         F.max(F.struct("n", "tree", "shape")).alias("m"), F.count("*").alias("n_trees")).select(
-        "host", F.col("m.tree").alias("template"), F.col("m.shape").alias("template_shape"),
-        F.ceil(F.col("n_trees") / TREES).alias("parts"))
-    asked = trees.join(most, "host").withColumn("part", F.pmod("tree", "parts"))
-
-    def induce(rows: pa.Table) -> pa.Table:
-        records = rows.to_pylist()
-        template = read_tree(records[0]["template_shape"])
-        chars: dict[int, float] = defaultdict(float)
-        ranges: dict[int, list] = {}
-        aligned = {}
-        for r in records:
-            pairs = dict(match(read_tree(r["shape"]), template)[1])
-            aligned[r["tree"]] = pairs
-            for s in r["slots"]:
-                if s["slot"] in pairs:
-                    own = pairs[s["slot"]]
-                    chars[own] += s["chars"]
-                    low, high, n = ranges.get(own, (s["low"], s["high"], 0))
-                    ranges[own] = (min(low, s["low"]), max(high, s["high"]), n + s["n"])
-        fixed = {s for s, (low, high, n) in ranges.items() if low == high and n >= MIN_PAGES}
-        out = {"host": [], "tree": [], "slots": []}
-        for r in records:
-            pairs = aligned[r["tree"]]
+        "host", F.col("m.shape").alias("template_shape"))
+    # Every tree is aligned by itself, so the trees of one host spread over all tasks.
+    asked = trees.join(most, "host").repartition("host", "tree")
+
+    def align(batch):
+        templates: dict[str, Tree] = {}
+        matched, parts = [], []
+        for r in batch.select(["shape", "template_shape", "slots"]).to_pylist():
+            template = r["template_shape"]
+            if template not in templates:
+                templates[template] = read_tree(template)
+            pairs = dict(match(read_tree(r["shape"]), templates[template])[1])
+            matched.append([{"own": a, "slot": b} for a, b in pairs.items()])
+            parts.append([{"slot": pairs[s["slot"]], "low": s["low"], "high": s["high"],
+                           "n": s["n"]} for s in r["slots"] if s["slot"] in pairs])
+        yield {**{c: batch.column(c) for c in ("host", "tree", "shape", "slots")},
+               "pairs": pa.array(matched, pa.list_(pa.struct(
+                   [("own", pa.int32()), ("slot", pa.int32())]))),
+               "parts": pa.array(parts, pa.list_(pa.struct(
+                   [("slot", pa.int32()), ("low", pa.int64()), ("high", pa.int64()),
+                    ("n", pa.int64())])))}
+
+    aligned = cut_lineage(over_batches(
+        asked, align, "host string,tree long,shape string,"
+        "slots array<struct<slot:int,low:bigint,high:bigint,chars:bigint,n:bigint>>,"
+        "pairs array<struct<own:int,slot:int>>,"
+        "parts array<struct<slot:int,low:bigint,high:bigint,n:bigint>>"), "aligned")
+    # One row a template slot, over all trees of the host; then one row a host.
+    fixed = (aligned.select("host", F.explode("parts").alias("s"))
+             .groupBy("host", F.col("s.slot").alias("slot"))
+             .agg(F.min("s.low").alias("low"), F.max("s.high").alias("high"),
+                  F.sum("s.n").alias("n"))
+             .where((F.col("low") == F.col("high")) & (F.col("n") >= MIN_PAGES))
+             .groupBy("host").agg(F.collect_list("slot").alias("fixed")))
+
+    def induce(batch):
+        out = []
+        for r in batch.select(["shape", "slots", "pairs", "fixed"]).to_pylist():
+            fixed_, pairs = set(r["fixed"] or ()), {p["own"]: p["slot"] for p in r["pairs"]}
             own = {s["slot"]: s["chars"] / s["n"] for s in r["slots"]}
-            constant = {s for s in own if pairs.get(s) in fixed}
-            out["host"].append(r["host"])
-            out["tree"].append(r["tree"])
-            out["slots"].append(content_slots(read_tree(r["shape"]), own, constant))
-        return pa.table({"host": pa.array(out["host"], pa.string()),
-                         "tree": pa.array(out["tree"], pa.int64()),
-                         "slots": pa.array(out["slots"], pa.list_(pa.int32()))})
-
-    ship(seen.sparkSession)
-    return asked.groupBy("host", "part").applyInArrow(
-        induce, "host string,tree long,slots array<int>")
+            constant = {s for s in own if pairs.get(s) in fixed_}
+            out.append(content_slots(read_tree(r["shape"]), own, constant))
+        yield {"host": batch.column("host"), "tree": batch.column("tree"),
+               "slots": pa.array(out, pa.list_(pa.int32()))}
+
+    return over_batches(aligned.drop("parts").join(fixed, "host", "left"), induce,
+                        "host string,tree long,slots array<int>")
 
 
 def keyed(pages: DataFrame) -> DataFrame:

@@ -160,3 +160,24 @@ def test_a_deep_page_does_not_end_the_query(spark):
     assert got == {1: "the only words", **{k: f"words of page {k}" for k in range(2, 7)}}
     tree = hw.read_tree(hw.fold(hw.parse(deep)[0])[0])
     assert hw.match(tree, tree)[0] == 3003
+
+
+def test_a_host_of_many_trees_is_judged_as_a_whole(spark):
+    """2,500 trees of a host: a motto on too few pages of any part to show there that it is
+    fixed, and an article slot of exact copies that varies only on other pages."""
+    def html(name, k, motto):
+        return (f"<html><body>{'<section>Our motto</section>' if motto else ''}"
+                f"<div class={name}>part {k} of the text</div>"
+                f"<blockquote>story {k} of the text</blockquote>")
+
+    rows = [(k, f"https://many.example/{k}",
+             html("x" + "".join(chr(97 + k // 26 ** i % 26) for i in range(3)), k, k < 4))
+            for k in range(2500)]
+    rows += [(9000 + i, "https://many.example/c", html("copies", "same", True)) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert hw.read(pages).select("tree").distinct().count() == 2501
+    got = {r["page_id"]: r["text"] for r in hw.html_text(pages).collect()}
+    assert len(got) == len(rows)
+    for k in range(2500):
+        assert got[k] == f"part {k} of the text\nstory {k} of the text"
+    assert {got[9000 + i] for i in range(3)} == {"story same of the text"}
