@@ -4,7 +4,7 @@ Blocks of ordinary size are brought together by one shuffle, sorted by block,
 and grouped many at a time by a small numpy routine over Arrow batches. A block
 with more linked transactions than ``max_block_rows`` is first cut into its
 packages by joins, and these go through the same routine; only for a package that
-is itself over the limit are ancestors listed by joins too. All ways give the same
+is itself over the limit are ancestors counted by joins too, as bits. All ways give the same
 packages and the same, complete, ancestor figures.
 """
 
@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feefloor.functions.measures import ratio
-from feefloor.session import cut_lineage, split_by_group_size
+from feefloor.operators.components import SLICE_LINKS, least_members, one_array, roots_in
+from feefloor.session import WorkTables, split_by_group_size
 
 # The batch function travels with its job, so workers need no copy of this
 # package on their path.
@@ -84,7 +85,7 @@ def _package_rows(table: pa.Table) -> pa.RecordBatch:
     the first position of a component names its package."""
     table = table.combine_chunks()
     n = table.num_rows
-    hashes, lists = (_one_array(table[c]) for c in ("tx_hash", "parent_hashes"))
+    hashes, lists = (one_array(table[c]) for c in ("tx_hash", "parent_hashes"))
     _, unit = np.unique(table["unit"].to_numpy(), return_inverse=True)
     child = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     named = pa.concat_arrays([hashes, lists.flatten()]).dictionary_encode()
@@ -98,7 +99,7 @@ def _package_rows(table: pa.Table) -> pa.RecordBatch:
     known = own[parent] == wanted  # a parent outside the working set joins nothing
     child, parent = child[known], parent[known]
 
-    label = _components(n, child, parent)
+    label = least_members(n, child, parent)
     fee, vsize = (table[c].to_numpy() for c in ("fee", "virtual_size"))
     total_fee, total_vsize = np.zeros(n, np.int64), np.zeros(n, np.int64)
     np.add.at(total_fee, label, fee)
@@ -108,7 +109,7 @@ def _package_rows(table: pa.Table) -> pa.RecordBatch:
     empty = total_vsize == 0
     rate = total_fee / np.where(empty, 1, total_vsize)
     return pa.RecordBatch.from_pydict({
-        "tx_hash": hashes, "block_number": _one_array(table["block_number"]),
+        "tx_hash": hashes, "block_number": one_array(table["block_number"]),
         "package_id": hashes.take(pa.array(label)),
         "package_tx_count": np.bincount(label, minlength=n)[label],
         "package_fee": total_fee, "package_vsize": total_vsize,
@@ -116,23 +117,6 @@ def _package_rows(table: pa.Table) -> pa.RecordBatch:
         "ancestor_count": count, "ancestor_vsize": ancestor_vsize})
 
 
-def _one_array(column: pa.ChunkedArray) -> pa.Array:
-    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
-
-
-def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member position per component: hook roots, then halve paths."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, before[a], low)
-        np.minimum.at(label, before[b], low)
-        label = label[label]
-        if np.array_equal(label, before):
-            return label
-
-
 def _ancestors(vsize: np.ndarray, unit: np.ndarray, child: np.ndarray, parent: np.ndarray
                ) -> tuple[np.ndarray, np.ndarray]:
     """Number and size of all distinct ancestors, the member itself included.
@@ -198,35 +182,44 @@ def _generations(n: int, child: np.ndarray, parent: np.ndarray) -> list[tuple[np
 
 # --- a block too large for one task ---------------------------------------
 
-def packages_by_joins(rows: DataFrame, max_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
-    """The same result with no more than ``max_rows`` rows in any task's group."""
-    rows = cut_lineage(rows, "oversized-rows")
-    members = rows.select("block_number", "tx_hash", "virtual_size")
-    edges = (rows.select("block_number", F.col("tx_hash").alias("child"),
-                         F.explode("parent_hashes").alias("parent"))
-             .join(members.select("block_number", F.col("tx_hash").alias("parent")),
-                   ["block_number", "parent"])
-             .where("child <> parent").distinct())
-    edges = cut_lineage(edges, "oversized-edges")
-
-    roots = component_roots(edges)
-    labelled = cut_lineage(
-        rows.join(roots, ["block_number", "tx_hash"], "left")
-        .withColumn("package_id", F.coalesce("root", "tx_hash"))
-        .withColumn("unit", F.xxhash64("block_number", "package_id")), "labelled")
-    normal, oversized = split_by_group_size(labelled, "unit", max_rows)
-    grouped = _by_unit(normal)
-    if oversized is None:
-        return grouped
-    totals = oversized.groupBy("unit", "block_number", "package_id").agg(
-        F.count("*").alias("package_tx_count"), F.sum("fee").alias("package_fee"),
-        F.sum("virtual_size").alias("package_vsize"))
-    inside = edges.join(oversized.select("block_number", F.col("tx_hash").alias("child")),
-                        ["block_number", "child"], "left_semi")
+def packages_by_joins(rows: DataFrame, max_rows: int = MAX_BLOCK_ROWS,
+                      slice_links: int = SLICE_LINKS) -> DataFrame:
+    """The same result with no more than ``max_rows`` rows in any task's group.
+
+    Packages come from the links alone, ``slice_links`` of them to a task at most.
+    """
+    with WorkTables(rows.sparkSession) as work:
+        rows = work.cut(rows, "oversized-rows")
+        members = rows.select("block_number", "tx_hash", "virtual_size")
+        edges = work.cut(
+            rows.select("block_number", F.col("tx_hash").alias("child"),
+                        F.explode("parent_hashes").alias("parent"))
+            .join(members.select("block_number", F.col("tx_hash").alias("parent")),
+                  ["block_number", "parent"])
+            .where("child <> parent").distinct(), "oversized-edges")
+        roots = roots_in(work, edges.select(
+            F.col("block_number").alias("unit"), F.col("child").alias("a"),
+            F.col("parent").alias("b")), slice_links)
+        labelled = work.keep(work.cut(
+            rows.join(roots.select(F.col("unit").alias("block_number"),
+                                   F.col("v").alias("tx_hash"), "root"),
+                      ["block_number", "tx_hash"], "left")
+            .withColumn("package_id", F.coalesce("root", "tx_hash"))
+            .withColumn("unit", F.xxhash64("block_number", "package_id")), "labelled"))
+        normal, oversized = split_by_group_size(labelled, "unit", max_rows)
+        grouped = _by_unit(normal)
+        if oversized is None:
+            return grouped
+        totals = oversized.groupBy("unit", "block_number", "package_id").agg(
+            F.count("*").alias("package_tx_count"), F.sum("fee").alias("package_fee"),
+            F.sum("virtual_size").alias("package_vsize"))
+        inside = work.cut(edges.join(
+            oversized.select("block_number", F.col("tx_hash").alias("child")),
+            ["block_number", "child"], "left_semi"), "oversized-edges")
+        above = ancestor_sums(oversized.select(*members.columns), inside)
     return grouped.unionByName(
         oversized.join(totals, ["unit", "block_number", "package_id"])
-        .join(ancestor_sums(oversized.select(*members.columns), inside),
-              ["block_number", "tx_hash"])
+        .join(above, ["block_number", "tx_hash"])
         .select("tx_hash", "block_number", "package_id", "package_tx_count",
                 "package_fee", "package_vsize",
                 ratio(F.col("package_fee"), F.col("package_vsize"))
@@ -234,71 +227,123 @@ def packages_by_joins(rows: DataFrame, max_rows: int = MAX_BLOCK_ROWS) -> DataFr
                 "ancestor_count", "ancestor_vsize"))
 
 
-def component_roots(edges: DataFrame) -> DataFrame:
-    """(block_number, tx_hash, root) for every hash with a neighbour.
-
-    Every hash is dealt to a partition with what it points at. A partition joins
-    what it sees to components and points all of it at the least hash, the least
-    one at itself. When no hash points at two, every component is a star and
-    done. Only whether such a hash is left reaches the driver.
-    """
-    stars = edges.select("block_number", F.inline(F.array(
-        F.struct(F.greatest("child", "parent").alias("v"), F.least("child", "parent").alias("u")),
-        F.struct(F.least("child", "parent").alias("v"), F.least("child", "parent").alias("u")))))
-    while True:
-        stars = cut_lineage(
-            stars.repartition("block_number", "v").mapInArrow(
-                _point_at_least, "block_number long,v string,u string,torn boolean"), "stars")
-        if stars.where("torn").isEmpty():
-            return stars.select("block_number", F.col("v").alias("tx_hash"),
-                                F.col("u").alias("root")).distinct()
-
-
-def _point_at_least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    table = pa.Table.from_batches(batches).combine_chunks()
-    rows = table.num_rows
-    block = np.tile(table["block_number"].to_numpy(), 2)
-    names = pa.concat_arrays([_one_array(table["v"]), _one_array(table["u"])]).dictionary_encode()
-    rank = np.argsort(np.argsort(names.dictionary.to_numpy(zero_copy_only=False)))
-    code = rank[names.indices.to_numpy()]
-    _, unit = np.unique(block, return_inverse=True)
-    ids, at, place = np.unique(unit * len(rank) + code, return_index=True, return_inverse=True)
-    v, u = place[:rows], place[rows:]
-    least = _components(len(ids), v, u)
-    first, last = np.full(len(ids), len(ids)), np.full(len(ids), -1)
-    np.minimum.at(first, v, u)
-    np.maximum.at(last, v, u)
-    torn = (last >= 0) & ((first != last) | (least != last))
-    yield pa.RecordBatch.from_pydict({
-        "block_number": block[at], "v": names.take(pa.array(at)).dictionary_decode(),
-        "u": names.take(pa.array(at[least])).dictionary_decode(), "torn": torn})
-
-
 def ancestor_sums(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Number and size of all ancestors, by listing every distinct pair.
-
-    Each round joins the pairs found last with themselves-so-far, which doubles the
-    distance looked back. Meant for packages over the limit of a task only: the
-    pairs of a chain grow with the square of its length.
+    """Number and size of all ancestors, the member itself included.
+
+    Members in a row, each the only child of its only parent, are one chain. Chains
+    are nodes of a smaller graph: links between them leave from a last member and
+    enter a first one. A node's ancestors are bits, 64 nodes to a row, and each
+    round hands the bits found last on to the children, so no pair has a row of its
+    own. Rounds go by the longest way between nodes, and by the logarithm of the
+    longest chain. A cycle, which only malformed input has, ends like all else.
     """
-    pairs = cut_lineage(edges.select("block_number", F.col("child").alias("tx_hash"),
-                                     F.col("parent").alias("ancestor")).distinct(), "pairs")
-    while True:
-        step = pairs.select("block_number", F.col("tx_hash").alias("ancestor"),
-                            F.col("ancestor").alias("farther"))
-        grown = cut_lineage(pairs.unionByName(
-            pairs.join(step, ["block_number", "ancestor"])
-            .select("block_number", "tx_hash", F.col("farther").alias("ancestor"))).distinct(),
-            "pairs")
-        if grown.count() == pairs.count():
+    spark = members.sparkSession
+    with WorkTables(spark) as work:
+        places = _chain_places(members, edges, work)
+        nodes, links = _chain_graph(places, edges, work)
+        found = _ancestor_bits(nodes, links, work)
+        sums = _sums_of_bits(found, nodes)
+        own = F.col("position") + 1
+        return work.keep(work.cut(
+            places.join(nodes.select("block_number", F.col("tx_hash").alias("head"), "node"),
+                        ["block_number", "head"])
+            .join(sums, "node", "left")
+            .select("block_number", "tx_hash",
+                    (F.coalesce("above", F.lit(0))
+                     + F.when(F.coalesce("looped", F.lit(False)), 0).otherwise(own))
+                    .alias("ancestor_count"),
+                    (F.coalesce("above_vsize", F.lit(0)) + F.when(
+                        F.coalesce("looped", F.lit(False)), 0).otherwise(F.col("upto")))
+                    .alias("ancestor_vsize")), "ancestor-sums"))
+
+
+def _chain_places(members: DataFrame, edges: DataFrame, work: WorkTables) -> DataFrame:
+    """(block_number, tx_hash, virtual_size, head, position, upto) of every member.
+
+    ``upto`` is the size of the chain from its head to the member. Pointers to the
+    member before double their reach each round.
+    """
+    block = "block_number"
+    lone = edges.groupBy(block, F.col("child").alias("tx_hash")).agg(
+        F.count("*").alias("n"), F.min("parent").alias("up")).where("n = 1").drop("n")
+    single = edges.groupBy(block, F.col("parent").alias("up")).agg(
+        F.count("*").alias("n")).where("n = 1").drop("n")
+    sizes = members.select(block, F.col("tx_hash").alias("up"),
+                           F.col("virtual_size").alias("size"))
+    jumps = work.cut(lone.join(single, [block, "up"]).join(sizes, [block, "up"])
+                     .select(block, "tx_hash", "up", F.lit(1).cast("long").alias("steps"), "size"),
+                     "chains")
+    for _ in range(jumps.count().bit_length() + 1):
+        farther = jumps.select(block, F.col("tx_hash").alias("up"), F.col("up").alias("next"),
+                               F.col("steps").alias("more"), F.col("size").alias("more_size"))
+        jumped = work.cut(jumps.join(farther, [block, "up"], "left").select(
+            block, "tx_hash", F.coalesce("next", "up").alias("up"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            (F.col("size") + F.coalesce("more_size", F.lit(0))).alias("size"),
+            F.col("next").isNotNull().alias("moved")), "chains")
+        jumps = jumped.drop("moved")
+        if jumped.where("moved").isEmpty():
             break
-        pairs = grown
-    own = members.select("block_number", "tx_hash", F.col("tx_hash").alias("ancestor"))
-    sizes = members.withColumnRenamed("tx_hash", "ancestor")
-    return (pairs.unionByName(own).distinct().join(sizes, ["block_number", "ancestor"])
-            .groupBy("block_number", "tx_hash").agg(
-                F.count("*").alias("ancestor_count"),
-                F.sum("virtual_size").alias("ancestor_vsize")))
+    # What still points inside a chain goes round in a circle: nodes of their own.
+    heads = jumps.join(jumps.select(block, F.col("tx_hash").alias("up")), [block, "up"],
+                       "left_anti")
+    return work.cut(members.join(heads, [block, "tx_hash"], "left").select(
+        block, "tx_hash", "virtual_size", F.coalesce("up", "tx_hash").alias("head"),
+        F.coalesce("steps", F.lit(0)).alias("position"),
+        (F.coalesce("size", F.lit(0)) + F.col("virtual_size")).alias("upto")), "places")
+
+
+def _chain_graph(places: DataFrame, edges: DataFrame, work: WorkTables
+                 ) -> tuple[DataFrame, DataFrame]:
+    """Chains as numbered nodes with their length and size, and (node, child) links."""
+    block = "block_number"
+    nodes = work.cut(
+        places.groupBy(block, F.col("head").alias("tx_hash")).agg(
+            F.count("*").alias("length"), F.sum("virtual_size").alias("size"))
+        .repartitionByRange(block, "tx_hash").sortWithinPartitions(block, "tx_hash")
+        .withColumn("node", F.monotonically_increasing_id()), "nodes")
+    numbered = places.join(nodes.select(block, F.col("tx_hash").alias("head"), "node"),
+                           [block, "head"])
+    ends = edges.join(numbered.select(block, F.col("tx_hash").alias("parent"), "node"),
+                      [block, "parent"])
+    links = ends.join(nodes.select(block, F.col("tx_hash").alias("child"),
+                                   F.col("node").alias("child_node")), [block, "child"])
+    # A link along a chain has no head at its lower end, so it found no node above.
+    return nodes, work.cut(links.select("node", "child_node").distinct(), "node-links")
+
+
+def _ancestor_bits(nodes: DataFrame, links: DataFrame, work: WorkTables) -> DataFrame:
+    """(node, part, bits): the nodes above each, those numbered 64 part + bit."""
+    part, bit = F.shiftright("node", 6), F.col("node").bitwiseAND(F.lit(63)).cast("int")
+    fresh = nodes.select("node", part.alias("part"),
+                         F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits"))
+    found = None
+    while True:
+        handed = (fresh.join(links, "node").groupBy(F.col("child_node").alias("node"), "part")
+                  .agg(F.bit_or("bits").alias("bits")))
+        if found is not None:
+            before = found.withColumnRenamed("bits", "had")
+            handed = (handed.join(before, ["node", "part"], "left")
+                      .withColumn("bits", F.col("bits").bitwiseAND(
+                          F.bitwise_not(F.coalesce("had", F.lit(0)))))
+                      .where("bits <> 0").drop("had"))
+        fresh = work.cut(handed, "new-bits")
+        if fresh.isEmpty():
+            return fresh if found is None else found
+        found = fresh if found is None else work.cut(
+            found.unionByName(fresh).groupBy("node", "part").agg(F.bit_or("bits").alias("bits")),
+            "bits")
+
+
+def _sums_of_bits(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, above, above_vsize, looped): totals of the nodes whose bits are set."""
+    packed = nodes.groupBy(F.shiftright("node", 6).alias("part")).agg(F.collect_list(F.struct(
+        F.col("node").bitwiseAND(F.lit(63)).cast("int").alias("bit"), "length", "size"))
+        .alias("packed"))  # 64 at most
+    total = F.expr("""aggregate(packed, struct(0L AS n, 0L AS size), (t, x) ->
+        IF(getbit(bits, x.bit) = 1, struct(t.n + x.length AS n, t.size + x.size AS size), t))""")
+    itself = (F.col("part") == F.shiftright("node", 6)) & (
+        F.expr("getbit(bits, CAST(node & 63 AS INT))") == 1)
+    return (found.join(packed, "part").select("node", total.alias("t"), itself.alias("itself"))
+            .groupBy("node").agg(F.sum("t.n").alias("above"), F.sum("t.size").alias("above_vsize"),
+                                 F.bool_or("itself").alias("looped")))

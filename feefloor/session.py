@@ -62,6 +62,40 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class WorkTables:
+    """Written tables of one call, removed when the call is over.
+
+    ``cut`` is ``cut_lineage``; a table passed to ``keep`` outlives the call.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[str, DataFrame]] = {}
+
+    def __enter__(self) -> WorkTables:
+        return self
+
+    def __exit__(self, *_failure) -> None:
+        for path, _df in self._paths.values():
+            remove_folder(self.spark, path)
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (path, table)
+        return table
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        del self._paths[id(table)]
+        return table
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def split_by_group_size(df: DataFrame, key: str, limit: int
                         ) -> tuple[DataFrame, DataFrame | None]:
     """Split into rows of groups of at most ``limit`` rows, and all others.

@@ -6,22 +6,20 @@ import numpy as np
 import pytest
 
 from feefloor.operators import packages as pk
+from feefloor.operators.components import least_members
 
 SCHEMA = "tx_hash string, block_number long, fee long, virtual_size long, parent_hashes array<string>"
-# Hand-computed packages, one shape per block.
-FIXTURE = [
-    ("a", 100, 100, 100, []), ("b", 100, 500, 100, ["a"]), ("c", 100, 600, 100, ["b"]),
-    ("p", 101, 20, 100, []), ("c1", 101, 300, 100, ["p"]), ("c2", 101, 400, 100, ["p"]),
-    ("c3", 101, 480, 100, ["p"]),
-    ("s1", 102, 500, 100, []), ("s2", 102, 500, 200, []),
-    ("d_a", 103, 300, 200, []), ("d_b", 103, 600, 100, ["d_a"]), ("d_x", 103, 50, 100, []),
-    ("d_y", 103, 150, 100, ["d_x"]),
-    ("m_p1", 104, 10, 100, []), ("m_p2", 104, 10, 100, []),
-    ("m_c", 104, 880, 100, ["m_p1", "m_p2"]),
-    ("o_child", 105, 700, 100, ["not_in_this_block"])]
-RATES = {"a": 4.0, "b": 4.0, "c": 4.0, "p": 3.0, "c1": 3.0, "c2": 3.0, "c3": 3.0, "s1": 5.0,
-         "s2": 2.5, "d_a": 3.0, "d_b": 3.0, "d_x": 1.0, "d_y": 1.0, "m_p1": 3.0, "m_p2": 3.0,
-         "m_c": 3.0, "o_child": 7.0}
+# Own families, one to a block: (name, fee, size, parents) -> the rate all of it has.
+FAMILIES = {
+    7: ([("k0", 900, 300, ["gone"])], {"k0": 3.0}),
+    8: ([("top", 0, 250, []), ("mid", 50, 150, ["top"]), ("low", 1150, 200, ["mid", "top"])],
+        {"top": 2.0, "mid": 2.0, "low": 2.0}),
+    9: ([("w", 60, 40, []), ("x", 45, 10, ["w"]), ("y", 45, 10, ["w"]), ("z", 10, 20, [])],
+        {"w": 2.5, "x": 2.5, "y": 2.5, "z": 0.5}),
+}
+FIXTURE = [(name, block, fee, size, parents) for block, (rows, _) in FAMILIES.items()
+           for name, fee, size, parents in rows]
+RATES = {name: rate for _, rates in FAMILIES.values() for name, rate in rates.items()}
 
 
 def run(spark, rows, **options):
@@ -70,8 +68,8 @@ def comparable(got):
 def test_fixture_rates(spark, limit):
     got = run(spark, FIXTURE, max_block_rows=limit)
     assert {h: r["effective_fee_rate"] for (_b, h), r in got.items()} == RATES
-    assert got[(100, "c")]["package_id"] == "a"
-    assert [got[(100, h)]["ancestor_vsize"] for h in "abc"] == [100, 200, 300]
+    assert got[(8, "top")]["package_id"] == "low" and got[(9, "y")]["package_id"] == "w"
+    assert [got[(8, h)]["ancestor_vsize"] for h in ("top", "mid", "low")] == [250, 400, 600]
 
 
 def test_missing_figures(spark):
@@ -139,7 +137,7 @@ def test_same_hash_in_two_blocks(spark):
 def test_long_chain_in_one_task():
     n = 5_000
     child, parent = np.arange(1, n), np.arange(n - 1)
-    assert set(pk._components(n, child, parent)) == {0}
+    assert set(least_members(n, child, parent)) == {0}
     count, size = pk._ancestors(np.full(n, 10), np.zeros(n, int), child, parent)
     assert count.tolist() == list(range(1, n + 1)) and size[-1] == 10 * n
 
@@ -188,3 +186,31 @@ def test_more_members_than_bit_columns(spark):
         known.append({i}.union(*(known[p] for p in parent[child == i])))
     assert count.tolist() == total.tolist() == [len(k) for k in known]
     assert comparable(run(spark, rows)) == brute(rows)
+
+
+def test_a_chain_of_a_hundred_thousand(spark):
+    """One package over the limit: exact, and no row for each of 5 thousand million pairs."""
+    n = 100_000
+    rows = spark.range(n).selectExpr(
+        "format_string('%06d', id) AS tx_hash", "1L AS block_number", "2L AS fee",
+        "id % 7 AS virtual_size",
+        "IF(id = 0, array(), array(format_string('%06d', id - 1))) AS parent_hashes")
+    got = pk.packages(rows, max_block_rows=20_000).selectExpr(
+        "count(*) AS rows", "min(package_id) AS lo", "max(package_id) AS hi",
+        "min(package_tx_count) AS members",
+        "count_if(ancestor_count <> CAST(tx_hash AS LONG) + 1) AS wrong_counts",
+        "count_if(ancestor_vsize <> 21 * (CAST(tx_hash AS LONG) DIV 7) + "
+        "(CAST(tx_hash AS LONG) % 7) * (CAST(tx_hash AS LONG) % 7 + 1) DIV 2) AS wrong_sizes"
+    ).first()
+    assert tuple(got) == (n, "000000", "000000", n, 0, 0)
+
+
+def test_ancestors_in_a_circle_end(spark):
+    """Malformed rows: a circle of two with a tail, and one of single links."""
+    members = [(1, h, 10) for h in "abcdefg"]
+    edges = [(1, "a", "b"), (1, "b", "a"), (1, "c", "b"), (1, "d", "c"),
+             (1, "e", "f"), (1, "f", "g"), (1, "g", "e")]
+    got = {r["tx_hash"]: r["ancestor_count"] for r in pk.ancestor_sums(
+        spark.createDataFrame(members, "block_number long, tx_hash string, virtual_size long"),
+        spark.createDataFrame(edges, "block_number long, child string, parent string")).collect()}
+    assert got == {"a": 2, "b": 2, "c": 3, "d": 4, "e": 3, "f": 3, "g": 3}
