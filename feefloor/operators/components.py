@@ -38,10 +38,10 @@ KEY = ["unit", "v"]
 
 def component_roots(links: DataFrame, slice_links: int = SLICE_LINKS,
                     max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(unit, v, root) of every member that ``links`` (unit long, a, b) join to another.
+    """(unit, v, root) of every member of ``links`` (unit long, a, b).
 
-    Members of different units are different; they are of any one ordered type. Links
-    with a null end or of a member with itself join nothing.
+    Members of different units are different; they are of any one ordered type. A link
+    of a member with itself names it and joins nothing; one with a null end is none.
     """
     with WorkTables(links.sparkSession) as work:
         return work.keep(roots_in(work, links, slice_links, max_rounds))
@@ -51,13 +51,18 @@ def roots_in(work: WorkTables, links: DataFrame, slice_links: int = SLICE_LINKS,
              max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``component_roots`` as a table of ``work``."""
     rows = links.select("unit", F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"),
-                        (F.col("a") != F.col("b")).alias("two")).where("two").drop("two")
-    done = []
+                        (F.col("a") != F.col("b")).alias("two")).where("two IS NOT NULL")
+    lone = rows.where("NOT two").select("unit", "v", F.col("u").alias("root"))
+    rows, done = rows.drop("two"), []
     for _ in range(max_rounds):
         stars, torn = _sliced(rows, slice_links, work)
         done.append(stars.where("whole").drop("whole"))
         if not torn:
-            return work.cut(_all(done), "roots")
+            if len(done) == 1:
+                return work.cut(done[0], "roots")
+            found = work.cut(_all(done), "roots")
+            return work.cut(found.unionByName(lone.join(
+                found, KEY, "left_anti").distinct()), "roots")
         settled, rows = _round(stars.where("NOT whole").select(
             "unit", "v", F.col("root").alias("u")), work)
         done.append(settled)

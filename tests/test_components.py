@@ -20,7 +20,7 @@ def brute(links):
         return x
 
     for unit, a, b in links:
-        if a is not None and b is not None and a != b:
+        if a is not None and b is not None:
             a, b = find((unit, a)), find((unit, b))
             parent[max(a, b)] = min(a, b)
     return {x: find(x)[1] for x in list(parent)}
@@ -35,7 +35,7 @@ def some_links(seed=5):
     rng = random.Random(seed)
     links = chain(1, 60, rng) + [(2, 7, i) for i in range(50)] + [(3, 50, i) for i in range(50)]
     links += [(4, rng.randrange(90), rng.randrange(90)) for _ in range(70)]
-    links += [(5, 1, 2), (5, 2, 1), (5, 3, 3), (5, None, 4), (6, 9, 8)]
+    links += [(5, 1, 2), (5, 2, 1), (5, 3, 3), (2, 7, 7), (2, 99, 99), (2, 99, 99), (5, None, 4), (6, 9, 8)]
     links += [(7, i, i + 1) for i in range(40)] + [(7, 100 + i, 99 + i) for i in range(40, 1, -1)]
     return links
 
