@@ -70,6 +70,28 @@ def over_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[dict]],
     return map_arrow(df, mapped, schema)
 
 
+def blocks_met(rows: DataFrame, asked: DataFrame, blocks: int, sets: int, run: Callable,
+               schema: str) -> DataFrame:
+    """``run`` (rows, asked) of every block of ``rows`` with every set of ``asked``.
+
+    A stated query set meets all rows, in blocks: both are dealt evenly by a hash of
+    their column ``at``, which is different in each row, so no task holds more than
+    one block and one set whatever else repeats.
+    """
+    ship(rows.sparkSession)
+
+    def all_of(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(n):
+        return F.pmod(F.xxhash64("at"), F.lit(n)).cast("int")
+
+    left = rows.withColumn("block", dealt(blocks)).withColumn("asked_set", all_of(sets))
+    right = asked.withColumn("asked_set", dealt(sets)).withColumn("block", all_of(blocks))
+    return left.groupBy("block", "asked_set").cogroup(
+        right.groupBy("block", "asked_set")).applyInArrow(run, schema)
+
+
 def _array(values) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feefloor.llm.common import map_arrow, ship, table
+from feefloor.llm.common import blocks_met, map_arrow, table
 from feefloor.session import cut_lineage
 
 SCALE = 256
@@ -158,19 +158,6 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def blocks_met(rows: DataFrame, anchors: DataFrame, n_rows: int, n_anchors: int, count,
-               schema: str) -> DataFrame:
-    """``count`` of every block of rows with every set of anchors."""
-    n_blocks, sets = 1 + n_rows // BLOCK, 1 + n_anchors // ANCHORS
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("at"), F.lit(n)).cast("int")
-    left = rows.withColumn("block", dealt(n_blocks)).withColumn("anchor_set", all_of(sets))
-    right = anchors.withColumn("anchor_set", dealt(sets)).withColumn("block", all_of(n_blocks))
-    ship(rows.sparkSession)
-    return left.groupBy("block", "anchor_set").cogroup(
-        right.groupBy("block", "anchor_set")).applyInArrow(count, schema)
-
-
 def _first(score: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Places of the n highest scores; equal ones by id, then by place in the table."""
     own = np.arange(len(score))
@@ -243,14 +230,14 @@ def hard_negatives(vectors: DataFrame, every: int = 50) -> DataFrame:
     anchors = rows.where(F.col("id") % every == 0)
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("a"))
     n_rows, n_anchors = sizes.first()
-    near = blocks_met(rows, anchors, n_rows, n_anchors, _positives,
+    near = blocks_met(rows, anchors, 1 + n_rows // BLOCK, 1 + n_anchors // ANCHORS, _positives,
                       "anchor long,id long,place long,score long")
     positives = cut_lineage(_selected(near, POSITIVES, "anchor"), "positives")
     lists = positives.groupBy("anchor").agg(
         F.collect_list(F.struct("rank", "score")).alias("positives"))
     asked = cut_lineage(anchors.join(lists, anchors["at"] == lists["anchor"]).drop("anchor"),
                         "asked")
-    found = blocks_met(rows, asked, n_rows, n_anchors, _negatives,
+    found = blocks_met(rows, asked, 1 + n_rows // BLOCK, 1 + n_anchors // ANCHORS, _negatives,
                        "anchor long,positive long,id long,place long,score long")
     chosen = _selected(found, NEGATIVES, "anchor", "positive").select(
         "anchor", "positive", "rank", F.col("id").alias("negative_id"),

@@ -7,6 +7,7 @@ from feefloor.llm.decontaminate import op9_decontaminate
 from feefloor.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from feefloor.llm.html_wrappers import op6_html_text
 from feefloor.llm.jaccard_join import op8_jaccard_join
+from feefloor.llm.permutation_index import op12_permutation_index
 from feefloor.llm.quality_rules import OP1_SQL, op1_quality_rules
 from feefloor.llm.secret_scan import op4_secret_scan
 from feefloor.llm.source_divergence import OP11_SQL, op11_source_divergence
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_toxicity": op10_toxicity,
     "op11_source_divergence": op11_source_divergence,
+    "op12_permutation_index": op12_permutation_index,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
