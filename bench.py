@@ -26,7 +26,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 def main() -> None:
     work = tempfile.mkdtemp(prefix="feefloor-bench-")
     spark = build_session("bench", f"local[{CPUS}]", **{
-        "spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "16g",
+        "spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "10g",
         "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         # Stage files sized for the test data, so that writes use every core.
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",

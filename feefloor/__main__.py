@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from feefloor.plans import jobs, pipeline
+from feefloor.operators.attribution import pool_list_counts
+from feefloor.policy import Policy, headline_label, labels
 from feefloor.session import build_session
 from feefloor.sources.accelerations import list_months, months_to_load
 from feefloor.sinks.report import headline_table
@@ -78,7 +80,9 @@ def missing_months(spark, args):
 
 
 def refresh_pools(spark, args):
-    show_all(jobs.refresh_pools(spark, args.pool_list, args.pools, args.print_only))
+    diff = jobs.refresh_pools(spark, args.pool_list, args.pools, args.print_only)
+    show_all(pool_list_counts(diff))
+    show_all(diff.where("change <> 'same'").select("pool_name", "change"))
 
 
 def sanity_check(spark, args):
@@ -115,7 +119,7 @@ COMMANDS = {
     "validate": (validate, ("run", "audits"), (
         ("--sample", {"type": int, "default": 100}),
         ("--by-block", {"action": "store_true"}),
-        ("--sensitivity", {"choices": ("30", "50", "70"), "default": "50"}))),
+        ("--sensitivity", {"choices": labels(Policy()), "default": headline_label(Policy())}))),
 }
 
 

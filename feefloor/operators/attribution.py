@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from feefloor.functions.measures import block_date, block_month, coinbase_text
 
 
+#: Characters of a tag that it is filed under.
+PIECE = 4
+
+
 def tag_lookup(pools: DataFrame) -> DataFrame:
     """Lower-cased tag -> pool; the first pool by name keeps a shared tag."""
     return (pools.select("pool_name", F.explode("tags").alias("t"))
@@ -25,6 +29,9 @@ def address_lookup(pools: DataFrame) -> DataFrame:
 
 
 def pool_id_lookup(pools: DataFrame) -> DataFrame:
+    """Id -> pool of the pool table. Pools are stored by name, so of those that share
+    an id the last by name has it; ``sources.pools.parse_pool_ids`` reads a list as it
+    is published, where the last in the list has it."""
     return (pools.where("pool_id IS NOT NULL")
             .groupBy("pool_id").agg(F.max("pool_name").alias("pool_name")))
 
@@ -49,24 +56,22 @@ def coinbase_of_block(base: DataFrame) -> DataFrame:
 def tag_matches(blocks: DataFrame, tags: DataFrame) -> DataFrame:
     """(block_number, pool_name, tag) for every tag inside the coinbase text.
 
-    A substring test would pair every block with every tag. Instead each text
-    is cut into its pieces of the lengths tags have, and a piece equal to a tag
-    is a match: an equi-join that yields matches only. The driver learns the
-    distinct tag lengths, a few small numbers.
+    A substring test would pair every block with every tag. Instead each text is
+    cut into its pieces of 1 to ``PIECE`` characters, the same for any list of tags.
+    A tag is filed under its first ``PIECE`` characters, or all of a shorter one,
+    and met by an equi-join on these; the rest of it is looked for in the text.
     """
-    tags = tags.where("tag <> ''").select("pool_name", "tag")
-    lengths = sorted(r[0] for r in tags.select(F.length("tag")).distinct().collect())
-    text = F.lower("coinbase_text")
-
-    def pieces(n: int):
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(
-            starts, lambda p: F.substring(text, p, F.lit(n))))
-
-    none = F.array().cast("array<string>")
-    cut = F.flatten(F.array(none, *[F.coalesce(pieces(n), none) for n in lengths]))
-    return (blocks.select("block_number", F.explode(F.array_distinct(cut)).alias("tag"))
-            .join(tags, "tag").select("block_number", "pool_name", "tag"))
+    filed = tags.where("tag <> ''").select(
+        "pool_name", "tag", F.substring("tag", 1, PIECE).alias("piece"))
+    starts = F.sequence(F.lit(1), F.length("text"))
+    cut = F.flatten(F.transform(starts, lambda p: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("text") - p + 1)),
+        lambda n: F.substring(F.col("text"), p, n))))
+    texts = (blocks.select("block_number", F.lower("coinbase_text").alias("text"))
+             .where("text <> ''"))
+    return (texts.select("block_number", "text", F.explode(F.array_distinct(cut)).alias("piece"))
+            .join(filed, "piece").where(F.contains("text", "tag"))
+            .select("block_number", "pool_name", "tag"))
 
 
 def attribute_by_tag(blocks: DataFrame, tags: DataFrame) -> DataFrame:
@@ -104,8 +109,35 @@ def attribute_pools(headers: DataFrame, base: DataFrame, pools: DataFrame) -> Da
 
 
 def pool_list_diff(current: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Pools only in the fresh list ('new') or only in use ('not upstream')."""
-    a, b = current.select("pool_name").distinct(), fresh.select("pool_name").distinct()
-    return (b.join(a, "pool_name", "left_anti").withColumn("change", F.lit("new"))
-            .unionByName(a.join(b, "pool_name", "left_anti")
-                         .withColumn("change", F.lit("not upstream"))))
+    """(pool_name, change, has_id): what becomes of every pool of either list.
+
+    'new' and 'not upstream' are in one list only; of pools in both, 'tags', 'addresses'
+    or 'tags and addresses' says what differs, whatever the order, and 'same' nothing.
+    ``has_id`` tells whether the fresh list gives an id.
+    """
+    def side(pools: DataFrame, name: str) -> DataFrame:
+        return pools.groupBy("pool_name").agg(F.max(F.struct(
+            F.array_sort(F.array_distinct("tags")).alias("tags"),
+            F.array_sort(F.array_distinct("addresses")).alias("addresses"),
+            F.col("pool_id").isNotNull().alias("has_id"))).alias(name))
+
+    both = side(current, "old").join(side(fresh, "new"), "pool_name", "full_outer")
+    tags = ~F.col("old.tags").eqNullSafe(F.col("new.tags"))
+    addresses = ~F.col("old.addresses").eqNullSafe(F.col("new.addresses"))
+    change = (F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "not upstream")
+              .when(tags & addresses, "tags and addresses").when(tags, "tags")
+              .when(addresses, "addresses").otherwise("same"))
+    return both.select("pool_name", change.alias("change"),
+                       F.coalesce("new.has_id", F.lit(False)).alias("has_id"))
+
+
+def pool_list_counts(diff: DataFrame) -> DataFrame:
+    """One row: pools upstream, in use and with an id, and how many changed how."""
+    change = F.col("change")
+    return diff.agg(
+        F.count_if(change != "not upstream").alias("upstream"),
+        F.count_if(change != "new").alias("in_use"), F.count_if("has_id").alias("with_id"),
+        F.count_if(change == "new").alias("new"),
+        F.count_if(change == "not upstream").alias("not_upstream"),
+        F.count_if(change.contains("tags")).alias("tags_changed"),
+        F.count_if(change.contains("addresses")).alias("addresses_changed"))

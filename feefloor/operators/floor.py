@@ -7,37 +7,22 @@ from pyspark.sql import functions as F
 
 from feefloor.operators.updates import apply_update
 from feefloor.policy import Policy
-from feefloor.session import split_by_group_size
 
-# Priced transactions of one block that a plain percentile may hold in one task.
-MAX_BLOCK_ROWS = 200_000
 
-
-def block_percentiles(txs: DataFrame, policy: Policy = Policy(),
-                      max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+def block_percentiles(txs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Exact interpolated percentiles of the effective rate per block."""
     priced = (txs.where(~F.col("is_coinbase") & F.col("effective_fee_rate").isNotNull())
               .select("block_number", F.col("effective_fee_rate").alias("rate"),
                       (~F.col("is_nonrelayable")).alias("relayable")))
-    normal, oversized = split_by_group_size(priced, "block_number", max_block_rows)
-    relayable = F.when(F.col("relayable"), F.col("rate"))
-    low = policy.floor_percentile
-    plain = normal.groupBy("block_number").agg(
-        F.percentile(relayable, [low, 0.5]).alias("r"),
-        F.percentile("rate", low).alias("p05_all"),
-        F.count("*").alias("priced_tx_count")).select(
-        "block_number", F.get("r", F.lit(0)).alias("p05_fee_rate"), "p05_all",
-        F.get("r", F.lit(1)).alias("median_fee_rate"), "priced_tx_count")
-    if oversized is None:
-        return plain
-    return plain.unionByName(percentiles_by_rank(oversized, low))
+    return percentiles_by_rank(priced, policy.floor_percentile)
 
 
 def percentiles_by_rank(priced: DataFrame, low: float) -> DataFrame:
-    """The same percentiles for blocks too large to sort in one task.
+    """Percentiles without sorting a block, alike for small and huge ones.
 
-    Equal rates are counted first. A histogram on a logarithmic scale tells
-    which few buckets hold the wanted ranks; only those are ranked exactly.
+    Equal rates are counted first: one table, whose counts add up in every task
+    before they move. A histogram on a logarithmic scale tells which few buckets hold
+    the wanted ranks; only those are ranked exactly.
     """
     counted = priced.groupBy("block_number", "rate").agg(
         F.count("*").alias("n"), F.count_if("relayable").alias("n_rel"))

@@ -1,8 +1,10 @@
 """Space sold below the going rate in full blocks, and what it was worth.
 
-Facts meet blocks by an unhinted equi-join on the block number. Read from
-their stage table, blocks have a known size, so the planner broadcasts them
-when small and otherwise shuffles and splits skewed blocks at run time.
+Facts meet blocks once, in ``apply_low_fee``, by an unhinted equi-join on the
+block number: small block tables are broadcast by the planner, large ones
+shuffled, with skewed blocks split at run time. From then on every transaction
+carries its block's columns, which equal values in a row make almost free to
+store, and nothing that follows joins or shuffles facts again.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feefloor.functions.measures import lower_band_sats, upper_band_sats
-from feefloor.policy import Policy, sensitivity_label
+from feefloor.policy import Policy, headline_label, labels, sensitivity_label
 
 BLOCK_COLUMNS = ("pool_name", "pool_source", "floor_fee_rate", "median_fee_rate",
                  "weight", "is_full")
+#: Block column -> its name among the columns of a transaction.
+CARRIED = {c: "block_weight" if c == "weight" else c for c in BLOCK_COLUMNS}
 
 
 def tx_with_block(txs: DataFrame, blocks: DataFrame, how: str = "inner",
@@ -32,14 +36,16 @@ def low_fee_tests(policy: Policy = Policy()) -> dict[str, Column]:
 
 
 def apply_low_fee(txs: DataFrame, blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Set the flags; they stay NULL for a transaction without a block row."""
-    marked = blocks.select("block_number", "is_full", "floor_fee_rate",
-                           F.lit(True).alias("_block"))
-    flags = low_fee_tests(policy)
-    return (txs.join(marked, "block_number", "left")
+    """Set the flags and carry the block's columns.
+
+    Both stay NULL for a transaction without a block row.
+    """
+    carried = blocks.select("block_number", F.lit(True).alias("_block"),
+                            *[F.col(c).alias(name) for c, name in CARRIED.items()])
+    return (txs.drop(*CARRIED.values()).join(carried, "block_number", "left")
             .withColumns({name: F.when(F.col("_block"), test)
-                          for name, test in flags.items()})
-            .drop("is_full", "floor_fee_rate", "_block"))
+                          for name, test in low_fee_tests(policy).items()})
+            .drop("_block"))
 
 
 def bands() -> dict[str, Column]:
@@ -51,19 +57,18 @@ def bands() -> dict[str, Column]:
     }
 
 
-def low_fee_txs(txs: DataFrame, blocks: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def low_fee_txs(txs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Low-fee transactions at the widest threshold, with block and bands."""
-    labels = [sensitivity_label(s) for s in policy.sensitivities]
-    flagged = txs.where(F.col(f"low_fee_{labels[-1]}"))
-    return (tx_with_block(flagged, blocks).withColumns(bands()).select(
+    names = labels(policy)
+    return (txs.where(F.col(f"low_fee_{names[-1]}")).withColumns(bands()).select(
         "tx_hash", "block_number", "block_timestamp", "block_month", "pool_name",
         "pool_source", "fee", "virtual_size", "raw_fee_rate", "effective_fee_rate",
         "package_id", "package_tx_count", "floor_fee_rate", "median_fee_rate",
-        F.col("weight").alias("block_weight"), *[f"low_fee_{s}" for s in labels],
+        "block_weight", *[f"low_fee_{s}" for s in names],
         "lower_band_sats", "upper_band_sats"))
 
 
-def top_low_fee(low_fee: DataFrame, k: int = 5_000) -> DataFrame:
-    """The k most valuable low-fee transactions at 0.5; ties by hash."""
-    return (low_fee.where("low_fee_50")
+def top_low_fee(low_fee: DataFrame, k: int = 5_000, policy: Policy = Policy()) -> DataFrame:
+    """The k most valuable low-fee transactions at the headline threshold; ties by hash."""
+    return (low_fee.where(F.col(f"low_fee_{headline_label(policy)}"))
             .orderBy(F.desc("upper_band_sats"), "tx_hash").limit(k))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feefloor.functions.measures import any_of, coinbase_text, printable_prefix, ratio
 from feefloor.operators.relay import REASONS
+from feefloor.policy import Policy, labels
 
 SAMPLE_SEED = "feefloor"
 
@@ -88,7 +89,8 @@ def audit_overlap(flagged: DataFrame, audits: DataFrame) -> DataFrame:
         .withColumn("accelerated_share", ratio(F.col("in_accelerated"), F.col("low_fee"))))
 
 
-def invariants(txs: DataFrame, blocks: DataFrame, percentiles: DataFrame) -> DataFrame:
+def invariants(txs: DataFrame, blocks: DataFrame, percentiles: DataFrame,
+               policy: Policy = Policy()) -> DataFrame:
     """(check, violations): six counts that must be zero.
 
     Four come from one pass over the transactions; package agreement compares
@@ -98,7 +100,7 @@ def invariants(txs: DataFrame, blocks: DataFrame, percentiles: DataFrame) -> Dat
     reasons = any_of([c(r) for r in REASONS])
     one_pass = txs.agg(
         F.count_if(~c("is_coinbase") & c("effective_fee_rate").isNull()).alias("a"),
-        F.count_if(c("low_fee_70") & c("is_nonrelayable")).alias("b"),
+        F.count_if(c(f"low_fee_{labels(policy)[-1]}") & c("is_nonrelayable")).alias("b"),
         F.count_if(c("is_nonrelayable") != reasons).alias("c"),
         F.count_if(c("is_coinbase") & c("is_nonrelayable")).alias("d"))
     names = ("missing_rate", "low_fee_nonrelayable", "verdict_mismatch",

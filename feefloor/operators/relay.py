@@ -72,15 +72,20 @@ TX_COLUMNS = (
     "virtual_size", "serialized_size", "version", "raw_fee_rate", "min_relay_rate",
     "bare_multisig_max_n", "op_return_count", "op_return_max_bytes",
     "op_return_total_bytes", "nonstandard_outputs", "dust_outputs", "max_scriptsig_bytes",
-    "parent_hashes", "child_count", "has_paying_child", "has_in_block_parent")
+    "coinbase_addresses", "parent_hashes", "child_count", "has_paying_child",
+    "has_in_block_parent")
 
 
 def relay_reasons(base: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The transaction table: facts, links, reasons, and single-transaction
-    packages priced at their own rate."""
+    packages priced at their own rate.
+
+    ``base`` may be a projection of the raw table: links read a few of its columns
+    again, and only the facts its outputs and scripts.
+    """
     rated = with_rates(base, policy)
     links = relatives(in_block_edges(rated, policy.truc_version))
-    linked = with_relatives(rated.drop("input_hashes", "coinbase_addresses"), links)
+    linked = with_relatives(rated.drop("input_hashes"), links)
     judged = linked.withColumns(reason_columns(policy))
     alone = ~F.col("in_package") & ~F.col("is_coinbase")
     return judged.select(

@@ -12,11 +12,13 @@ from feefloor.operators.quality import (audit_overlap, audit_overlap_by_block, f
                                         sampled_txs, unattributed_texts)
 from feefloor.operators.summary import attribution_quality, monthly_pool_shares
 from feefloor.plans.pipeline import Stages
+from feefloor.policy import Policy, headline_label
 from feefloor.session import cut_lineage
+from feefloor.sinks.published import Published
 from feefloor.sinks.report import write_summary
-from feefloor.sinks.results import (fees_by_month_json, merge_onchain_fees, onchain_fee_payload,
-                                    onchain_fee_rows, write_result_json)
-from feefloor.sinks.tables import MONTH, months_covered, top_by_month, top_rows, write_months
+from feefloor.sinks.results import (fees_by_month_json, onchain_fee_document, onchain_fee_rows,
+                                    write_result_json)
+from feefloor.sinks.tables import MONTH, months_covered, top_by_month, top_rows
 from feefloor.sources.accelerations import list_months, read_accelerations
 from feefloor.sources.pools import parse_pool_ids, read_pools
 
@@ -45,76 +47,59 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def _replace(df: DataFrame, path: str) -> DataFrame:
-    """Overwrite a table that ``df`` may itself read from."""
-    settled = cut_lineage(df, "merge")
-    settled.write.mode("overwrite").parquet(path)
-    return settled
+def export_results(tables: Stages, out: str, replace: bool = False,
+                   policy: Policy = Policy()) -> bool:
+    """Merge a run's months into the published results; JSON and report follow.
 
-
-def _publish_months(fresh: DataFrame, months: DataFrame, path: str, replace: bool) -> DataFrame:
-    """Store months in folders of their own; the stored table, all months.
-
-    A month without a row gets one of NULLs, so that its older rows go too; it is
-    left out when the table is read. ``replace`` drops all other months, after the
-    new ones are made.
-    """
-    spark = fresh.sparkSession
-    if not replace:
-        _existing(spark, path)  # a broken folder stops the export before it writes
-    bare = months.join(fresh.select(MONTH).distinct(), MONTH, "left_anti")
-    settled = cut_lineage(fresh.unionByName(bare, allowMissingColumns=True), "merge")
-    if replace:
-        settled.write.mode("overwrite").partitionBy(MONTH).parquet(path)
-    else:
-        write_months(settled, path)
-    key = next(c for c in fresh.columns if c != MONTH)
-    return (spark.read.schema(settled.schema).parquet(path).select(*fresh.columns)
-            .where(F.col(key).isNotNull()))
-
-
-def export_results(tables: Stages, out: str, replace: bool = False) -> bool:
-    """Merge a run's months into the result folder; JSON and report follow.
-
-    Returns False, and changes nothing, when the run holds no month. A failed
-    export leaves every stored month in place.
+    Returns False, and changes nothing, when the run holds no month. ``replace``
+    drops all other months. All tables and documents change at once, when the new
+    version is committed; an export that ends before that has changed nothing.
     """
     fresh = {name: tables[name] for name in RESULTS}
     months = months_covered(fresh["monthly_summary"])
     if months.isEmpty():
         return False
-    merged = {name: _publish_months(df, months, f"{out}/tables/{name}", replace)
-              for name, df in fresh.items()}
+    draft = Published(tables.spark, out).draft()
+    merged = {name: draft.put(name, df, months, MONTH, replace) for name, df in fresh.items()}
     name = "low_fee_txs_sample"
-    sample = top_by_month(tables["low_fee_txs"].where("low_fee_50"), SAMPLE_SIZE)
-    merged[name] = top_rows(_publish_months(sample, months, f"{out}/tables/{name}", replace),
-                            SAMPLE_SIZE)
+    head = f"low_fee_{headline_label(policy)}"
+    sample = top_by_month(tables["low_fee_txs"].where(head), SAMPLE_SIZE)
+    merged[name] = top_rows(draft.put(name, sample, months, MONTH, replace), SAMPLE_SIZE)
     for name, df in merged.items():
         order = RESULTS.get(name) or [F.desc("upper_band_sats"), "tx_hash"]
-        write_result_json(df, f"{out}/{name}.json", order)
-    write_summary(tables.spark, out, merged["monthly_summary"], merged["low_fee_sensitivity"],
-                  merged["pool_summary"])
+        write_result_json(df, draft.path(f"{name}.json"), order)
+    write_summary(tables.spark, draft.path("").rstrip("/"), merged["monthly_summary"],
+                  merged["low_fee_sensitivity"], merged["pool_summary"], policy)
+    draft.commit()
     return True
 
 
 def export_onchain_fee(tables: Stages, out: str) -> bool:
-    """Publish the monthly on-chain fee, earlier months kept."""
+    """Publish the monthly on-chain fee as one document, earlier months kept.
+
+    Returns False when the run holds no month. A run that changes no stored month
+    leaves the published version as it is.
+    """
     fresh = tables["onchain_monthly_fee"]
     if fresh.isEmpty():
         return False
-    stored = _existing(tables.spark, f"{out}/tables/onchain_fee")
-    months = _replace(merge_onchain_fees(stored, onchain_fee_rows(fresh)),
-                      f"{out}/tables/onchain_fee")
-    write_result_json(months, f"{out}/onchain_monthly_fee.json", ["month"])
-    write_result_json(onchain_fee_payload(fresh, months),
-                      f"{out}/onchain_monthly_fee_totals.json")
+    rows = cut_lineage(onchain_fee_rows(fresh), "onchain-fee")
+    published = Published(tables.spark, f"{out}/onchain")
+    stored = published.table("onchain_fee", rows.schema, "month")
+    if rows.exceptAll(stored.select(*rows.columns)).isEmpty():
+        return True
+    draft = published.draft()
+    months = draft.put("onchain_fee", rows, rows.select("month"), "month")
+    write_result_json(onchain_fee_document(months), draft.path("onchain_monthly_fee.json"))
+    draft.commit()
     return True
 
 
-def run_accelerations(spark: SparkSession, folder: str, pool_list: str, out: str) -> DataFrame:
+def run_accelerations(spark: SparkSession, folder: str, pool_list: str, out: str,
+                      multi_line: bool = True) -> DataFrame:
     """Off-chain payments by month and pool from the monthly files."""
     ids = parse_pool_ids(spark.read.text(pool_list, wholetext=True))
-    fees = pool_fees_by_month(read_accelerations(spark, folder), ids,
+    fees = pool_fees_by_month(read_accelerations(spark, folder, multi_line), ids,
                               list_months(spark, folder))
     nested = fees_by_month_nested(fees)
     (fees_by_month_json(nested).repartition(1).sortWithinPartitions("month")
@@ -124,9 +109,9 @@ def run_accelerations(spark: SparkSession, folder: str, pool_list: str, out: str
 
 def refresh_pools(spark: SparkSession, fresh_list: str, table: str,
                   print_only: bool = False) -> DataFrame:
-    """Replace the pool table by a downloaded list, and say what changed.
+    """Replace the pool table by a downloaded list, and say what became of each pool.
 
-    A list without a usable pool is refused and the table kept.
+    ``pool_list_counts`` sums the answer up. A list without a usable pool is refused and the table kept.
     """
     fresh = cut_lineage(read_pools(spark, fresh_list), "pools")
     if fresh.isEmpty():
@@ -147,7 +132,8 @@ def sanity_check(headers: DataFrame, tables: Stages, months: int = 12, top: int
             "unattributed_texts": unattributed_texts(headers, blocks)}
 
 
-def validate(tables: Stages, audits: DataFrame, sample: int, sensitivity: str = "50",
+def validate(tables: Stages, audits: DataFrame, sample: int,
+             sensitivity: str = headline_label(Policy()),
              min_height: int = MIN_AUDITED_HEIGHT, by_block: bool = False) -> DataFrame:
     """Compare a fixed sample of flagged blocks with public audits.
 

@@ -20,7 +20,8 @@ from feefloor.operators.lowfee import apply_low_fee, low_fee_txs
 from feefloor.operators.packages import packages
 from feefloor.operators.quality import invariants
 from feefloor.operators.relay import in_package_set, relay_reasons
-from feefloor.operators.summary import low_fee_sensitivity, monthly_summary, pool_summary
+from feefloor.operators.summary import (block_partials, low_fee_sensitivity, monthly_summary,
+                                        pool_summary)
 from feefloor.operators.updates import price_packages
 from feefloor.policy import Policy
 from feefloor.sinks.tables import read_stage, write_stage
@@ -68,31 +69,43 @@ class Layout:
     rebalance: bool = True
 
 
-# The extract keeps the month split its source has, without a shuffle, and the
-# final transaction table is brought back to it once. The tables in between are
-# read whole by the next step, so nothing is spent on their layout; one row per
-# block or fewer needs none.
-LAYOUTS = {"tx_base": Layout(rebalance=False), "txs": Layout()}
+# Two tables hold a row for every transaction: what is read off it and its relatives,
+# and the finished one, which is brought back to the month split of its source. What
+# packages change is stored beside the first and merged when read; one row per block
+# or fewer needs no layout.
+LAYOUTS = {"txs": Layout()}
 
 Step = Callable[[Source, Stages, Policy], DataFrame]
 
+
+def priced(t: Stages, policy: Policy) -> DataFrame:
+    """Transactions with package prices and the ancestor rule.
+
+    Merged when read: the linked transactions, and beside them the few columns that
+    packages change. The percentiles read three of its columns, so no copy is stored.
+    """
+    return price_packages(t["txs_linked"], t["tx_packages"], policy)
+
+
 # name of the table written -> how it is built, in running order
 STEPS: dict[str, Step] = {
-    "tx_base": lambda src, t, p: tx_base(src.transactions, p),
-    "onchain_monthly_fee": lambda src, t, p: onchain_monthly_fee(t["tx_base"]),
-    "blocks_attributed": lambda src, t, p: attribute_pools(src.blocks, t["tx_base"], src.pools),
-    "txs_linked": lambda src, t, p: relay_reasons(t["tx_base"], p),
+    "txs_linked": lambda src, t, p: relay_reasons(tx_base(src.transactions, p), p),
+    "onchain_monthly_fee": lambda src, t, p: onchain_monthly_fee(t["txs_linked"]),
+    "blocks_attributed": lambda src, t, p: attribute_pools(
+        src.blocks, t["txs_linked"], src.pools),
     "tx_in_package": lambda src, t, p: in_package_set(t["txs_linked"]),
     "tx_packages": lambda src, t, p: packages(t["tx_in_package"]),
-    "txs_priced": lambda src, t, p: price_packages(t["txs_linked"], t["tx_packages"], p),
-    "block_percentiles": lambda src, t, p: block_percentiles(t["txs_priced"], p),
+    "block_percentiles": lambda src, t, p: block_percentiles(priced(t, p), p),
     "blocks": lambda src, t, p: apply_block_fullness(
         apply_block_floor(t["blocks_attributed"], t["block_percentiles"], p), p),
-    "txs": lambda src, t, p: apply_low_fee(t["txs_priced"], t["blocks"], p),
-    "low_fee_txs": lambda src, t, p: low_fee_txs(t["txs"], t["blocks"], p),
-    "monthly_summary": lambda src, t, p: monthly_summary(t["txs"], t["blocks"], p),
-    "pool_summary": lambda src, t, p: pool_summary(t["txs"], t["blocks"], p),
-    "low_fee_sensitivity": lambda src, t, p: low_fee_sensitivity(t["txs"], t["blocks"], p),
+    "txs": lambda src, t, p: apply_low_fee(
+        priced(t, p).drop("coinbase_addresses"), t["blocks"], p),
+    "low_fee_txs": lambda src, t, p: low_fee_txs(t["txs"], p),
+    "block_partials": lambda src, t, p: block_partials(t["txs"], p),
+    "monthly_summary": lambda src, t, p: monthly_summary(t["block_partials"], p),
+    "pool_summary": lambda src, t, p: pool_summary(t["block_partials"], p),
+    "low_fee_sensitivity": lambda src, t, p: low_fee_sensitivity(
+        t["block_partials"], t["blocks"], p),
 }
 
 

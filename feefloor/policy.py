@@ -58,9 +58,20 @@ class Policy:
     full_weight: int = 3_900_000
     full_neighbours_required: int = 4
     sensitivities: tuple[float, ...] = (0.3, 0.5, 0.7)
+    # The one of them that pools, samples and validation go by.
+    headline_sensitivity: float = 0.5
     fullness_grid: tuple[int, ...] = (3_850_000, 3_900_000, 3_950_000)
 
 
+def labels(policy: Policy) -> list[str]:
+    """Suffixes of the policy's sensitivities, the strictest first."""
+    return [sensitivity_label(s) for s in sorted(policy.sensitivities)]
+
+
+def headline_label(policy: Policy) -> str:
+    return sensitivity_label(policy.headline_sensitivity)
+
+
 def sensitivity_label(sensitivity: float) -> str:
     """0.3 -> '30': the suffix result columns carry."""
     return f"{round(sensitivity * 100):02d}"

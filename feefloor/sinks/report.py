@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feefloor.operators.summary import headline, sensitivity_totals, top_pools
+from feefloor.policy import Policy, headline_label, labels
 
 #: Column of a table -> heading and how its values are shown.
 Columns = dict[str, tuple[str, Callable[[object], str]]]
 
 
-def headline_table(monthly: DataFrame) -> DataFrame:
-    """Three rows: the headline at 0.3, 0.5 and 0.7."""
-    low, mid, high = (headline(monthly, s) for s in ("30", "50", "70"))
-    return low.unionByName(mid).unionByName(high)
+def headline_table(monthly: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """The headline at each sensitivity, a row for each."""
+    first, *others = (headline(monthly, s) for s in labels(policy))
+    for other in others:
+        first = first.unionByName(other)
+    return first
 
 
 def number(digits: int = 0, unit: float = 1) -> Callable[[object], str]:
@@ -47,11 +50,15 @@ GRID: Columns = {
     "lower_band_sats": ("BTC, at least", number(2, 1e8)),
     "upper_band_sats": ("BTC, at most", number(2, 1e8)),
 }
-POOLS: Columns = {
-    "pool_name": ("pool", str),
-    "low_fee_vbytes_50": ("GvB at 0.5", number(2, 1e9)),
-    "share_of_own_space": ("of its own space", share(3)),
-}
+
+
+def pool_columns(policy: Policy) -> Columns:
+    return {
+        "pool_name": ("pool", str),
+        f"low_fee_vbytes_{headline_label(policy)}": (
+            f"GvB at {policy.headline_sensitivity}", number(2, 1e9)),
+        "share_of_own_space": ("of its own space", share(3)),
+    }
 
 
 def section(title: str, columns: Columns, rows: list) -> list[str]:
@@ -63,9 +70,10 @@ def section(title: str, columns: Columns, rows: list) -> list[str]:
     return ["", f"## {title}", "", *(f"| {' | '.join(line)} |" for line in cells)]
 
 
-def summary_report(monthly: DataFrame, grid: DataFrame, pools: DataFrame) -> tuple[str, dict]:
+def summary_report(monthly: DataFrame, grid: DataFrame, pools: DataFrame,
+                   policy: Policy = Policy()) -> tuple[str, dict]:
     """(markdown, headline per sensitivity)."""
-    heads = headline_table(monthly).orderBy("sensitivity").collect()
+    heads = headline_table(monthly, policy).orderBy("sensitivity").collect()
     first = heads[0]
     lines = [f"# Block space sold under its floor: {first['window_start']} - "
              f"{first['window_end']}", "",
@@ -74,16 +82,17 @@ def summary_report(monthly: DataFrame, grid: DataFrame, pools: DataFrame) -> tup
     lines += section("Sales under the floor", HEADLINE, heads)
     lines += section("If blocks counted as full earlier or later", GRID,
                      sensitivity_totals(grid).orderBy("full_weight", "sensitivity").collect())
-    lines += section("Pools with most of it", POOLS, top_pools(pools).collect())
+    lines += section("Pools with most of it", pool_columns(policy),
+                     top_pools(pools, policy=policy).collect())
     lines += ["", "At least: what is missing to the floor. At most: the space at the block's "
               "median price. Pools are named after coinbase texts and payout addresses."]
     return "\n".join(lines) + "\n", {h["sensitivity"][2:]: h.asDict() for h in heads}
 
 
 def write_summary(spark: SparkSession, folder: str, monthly: DataFrame, grid: DataFrame,
-                  pools: DataFrame) -> None:
+                  pools: DataFrame, policy: Policy = Policy()) -> None:
     """``summary`` (markdown) and ``headline`` (JSON) text folders."""
-    text, heads = summary_report(monthly, grid, pools)
+    text, heads = summary_report(monthly, grid, pools, policy)
     for name, body in (("summary", text.rstrip("\n")),
                        ("headline", json.dumps(heads, default=str, indent=1))):
         one = spark.range(1).select(F.lit(body).alias("value"))

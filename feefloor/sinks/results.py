@@ -61,6 +61,15 @@ def onchain_fee_payload(monthly_fee: DataFrame, existing: DataFrame | None = Non
                       sats_to_btc(F.sum("fee_sats")).alias("total_fee_btc"))
 
 
+def onchain_fee_document(months: DataFrame) -> DataFrame:
+    """One row: all months in order, with the first, the last and the total."""
+    fields = [c for c in months.columns if c != "month"]
+    return months.agg(
+        F.array_sort(F.collect_list(F.struct("month", *fields))).alias("months"),
+        F.min("month").alias("first_month"), F.max("month").alias("last_month"),
+        sats_to_btc(F.sum("fee_sats")).alias("total_fee_btc"))
+
+
 def fees_by_month_json(nested: DataFrame) -> DataFrame:
     """month -> {"pools": {name: fee}, "sum": n} with pools by falling fee."""
     pools = F.map_from_entries(F.transform(

@@ -36,15 +36,9 @@ def read_accelerations(spark: SparkSession, folder: str, multi_line: bool = True
 
 
 def list_months(spark: SparkSession, folder: str) -> DataFrame:
-    """Every month that has a file, empty files included.
-
-    Scans skip files without bytes, so names come from the file listing: one
-    short string per month, and no contents.
-    """
-    files = (spark.read.format("text").option("pathGlobFilter", "*.json").load(folder)
-             .inputFiles())
-    names = spark.createDataFrame([(f,) for f in files], "path string")
-    return names.select(file_stem(F.col("path")).alias("month")).distinct()
+    """Every month that has a file, empty files included; no file is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    return files.select(file_stem(F.col("path")).alias("month")).distinct()
 
 
 def months_to_load(loaded: DataFrame, as_of: dt.date) -> DataFrame:

@@ -15,7 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feefloor.plans.pipeline import STEPS, Layout, Source, Stages
+from feefloor.operators.extract import tx_base
+from feefloor.plans.pipeline import STEPS, Layout, Source, Stages, priced
 from feefloor.policy import Policy
 from feefloor.session import shared_dir
 
@@ -242,19 +243,24 @@ class ChainTables:
 
     def __getitem__(self, name: str) -> DataFrame:
         needs = {
-            "onchain_monthly_fee": ["tx_base"], "blocks_attributed": ["tx_base"],
-            "txs_linked": ["tx_base"], "tx_in_package": ["txs_linked"],
+            "onchain_monthly_fee": ["txs_linked"], "blocks_attributed": ["txs_linked"],
+            "tx_in_package": ["txs_linked"],
             "tx_packages": ["tx_in_package"], "txs_priced": ["txs_linked", "tx_packages"],
-            "block_percentiles": ["txs_priced"],
+            "block_percentiles": ["txs_linked", "tx_packages"],
             "blocks": ["blocks_attributed", "block_percentiles"],
-            "txs": ["txs_priced", "blocks"], "low_fee_txs": ["txs", "blocks"],
-            "monthly_summary": ["txs", "blocks"], "pool_summary": ["txs", "blocks"],
-            "low_fee_sensitivity": ["txs", "blocks"]}
+            "txs": ["txs_linked", "tx_packages", "blocks"], "low_fee_txs": ["txs"],
+            "block_partials": ["txs"], "monthly_summary": ["block_partials"],
+            "pool_summary": ["block_partials"],
+            "low_fee_sensitivity": ["block_partials", "blocks"]}
         if name in self._built:
             return self.stages[name]
         source = self.source
+        if name == "tx_base":  # a projection of the raw table
+            return tx_base(source.transactions, Policy())
         for need in needs.get(name, []):
             self[need]
+        if name == "txs_priced":  # merged when read
+            return priced(self.stages, Policy())
         return self._stage(name, lambda: STEPS[name](source, self.stages, Policy()))
 
 

@@ -21,7 +21,9 @@ from feefloor.operators import extract, floor, linkage, lowfee, packages, qualit
 from feefloor.operators import summary, updates
 from feefloor.plans import jobs, pipeline
 from feefloor.policy import Policy, policy_as_of
+from feefloor.plans.pipeline import Stages
 from feefloor.sinks import report, results, tables
+from feefloor.sinks.published import Published
 from feefloor.sources import accelerations as src_acc
 from feefloor.sources import chain, pools as src_pools
 from testbed.chain_view import ChainTables, accelerations
@@ -82,32 +84,152 @@ def pool_docs(t: ChainTables) -> DataFrame:
 
 
 def refreshed(t: ChainTables) -> DataFrame:
-    """A fresh list of all pools against a table that holds the tagged ones."""
+    """A fresh list of all pools against a table that holds the tagged ones, some of
+    them with other tags or addresses, and one that is gone."""
     entry = F.struct(F.col("pool_id").alias("id"), F.col("pool_name").alias("name"),
                      "tags", "addresses")
     listing, table = roundtrip(t, "list"), roundtrip(t, "pools")
     # One document of at most 25 entries, as the list is published.
     t.source.pools.agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(listing)
-    t.source.pools.where("size(tags) > 0").write.parquet(table)
+    number = F.regexp_extract("pool_name", "([0-9]+)$", 1).cast("long")
+    old = t.source.pools.where("size(tags) > 0").withColumns({
+        "tags": F.when(number % 4 == 0, F.array_append("tags", F.lit("old"))).otherwise(
+            F.reverse("tags")),
+        "addresses": F.when(number % 6 == 0, F.array(F.lit("moved"))).otherwise(
+            F.col("addresses")),
+        "pool_name": F.when(number == 3, "Pool gone").otherwise(F.col("pool_name"))})
+    old.write.parquet(table)
     return jobs.refresh_pools(t.spark, listing, table)
 
 
-def exported(t: ChainTables) -> DataFrame:
-    """Result tables merged, written as JSON, and read back."""
-    for name in (*jobs.RESULTS, "low_fee_txs"):
-        t[name]
+REFRESHED_SQL = """(SELECT coalesce(n.pool_name, o.pool_name) AS pool_name,
+  CASE WHEN o.pool_name IS NULL THEN 'new' WHEN n.pool_name IS NULL THEN 'not upstream'
+    WHEN o.num % 4 = 0 AND o.num % 6 = 0 THEN 'tags and addresses' WHEN o.num % 4 = 0 THEN 'tags'
+    WHEN o.num % 6 = 0 THEN 'addresses' ELSE 'same' END AS change,
+  coalesce(n.pool_id IS NOT NULL, FALSE) AS has_id
+  FROM (SELECT DISTINCT pool_name, pool_id FROM pool_ids WHERE pool_name IN (SELECT pool_name
+      FROM pool_tags UNION SELECT pool_name FROM pool_addresses)) n
+  FULL JOIN (SELECT DISTINCT CAST(substr(pool_name, 6) AS BIGINT) AS num,
+      CASE WHEN pool_name = 'Pool 3' THEN 'Pool gone' ELSE pool_name END AS pool_name
+    FROM pool_tags) o ON n.pool_name = o.pool_name)"""
+
+
+def exported(t: ChainTables, replace: bool = False) -> Published:
+    """A run's results published; with ``replace`` once more, for the later months alone."""
+    names = (*jobs.RESULTS, "low_fee_txs")
     out = roundtrip(t, "export")
-    jobs.export_results(t.stages, out)
-    schema = results.json_safe(t["low_fee_sensitivity"]).schema
-    return t.spark.read.schema(schema).json(f"{out}/low_fee_sensitivity.json")
+    jobs.export_results(_with(t, *names), out)
+    if replace:
+        later = Stages(t.spark, roundtrip(t, "later"))
+        for name in names:
+            later.write(name, t[name].where(F.col("block_month") >= RERUN))
+        jobs.export_results(later, out, replace=True)
+    return Published(t.spark, out)
+
+
+def exported_json(t: ChainTables, name: str, replace: bool = False) -> DataFrame:
+    schema = results.json_safe(t[name.removesuffix("_sample")]).schema
+    return t.spark.read.schema(schema).json(exported(t, replace).path(f"{name}.json"))
+
+
+def report_heads(t: ChainTables) -> DataFrame:
+    """The report written, and its headline document read back."""
+    out = roundtrip(t, "report")
+    report.write_summary(t.spark, out, t["monthly_summary"], t["low_fee_sensitivity"],
+                         t["pool_summary"])
+    fields = results.json_safe(report.headline_table(t["monthly_summary"])).schema
+    text = t.spark.read.text(f"{out}/headline", wholetext=True)
+    heads = F.from_json("value", f"map<string,struct<{','.join(
+        f'{f.name}:{f.dataType.simpleString()}' for f in fields)}>>")
+    return text.select(F.explode(F.map_values(heads)).alias("h")).select("h.*")
 
 
 def exported_onchain(t: ChainTables) -> DataFrame:
-    t["onchain_monthly_fee"]
+    """Months published twice, the second time only some; the document read back."""
     out = roundtrip(t, "onchain")
-    jobs.export_onchain_fee(t.stages, out)
-    return t.spark.read.schema("month string, txs long, blocks long, fee_sats long").json(
-        f"{out}/onchain_monthly_fee.json")
+    early = Stages(t.spark, roundtrip(t, "early"))
+    df = onchain(t)
+    early.write("onchain_monthly_fee", df.withColumn("fee_sats", F.col("fee_sats") + F.when(
+        F.col("block_month") >= RERUN, 1).otherwise(0)))
+    jobs.export_onchain_fee(early, out)
+    late = Stages(t.spark, roundtrip(t, "late"))
+    late.write("onchain_monthly_fee", df.where(F.col("block_month") >= RERUN))
+    jobs.export_onchain_fee(late, out)
+    path = Published(t.spark, f"{out}/onchain").path("onchain_monthly_fee.json")
+    month = "struct<month:string,txs:bigint,blocks:bigint,fee_sats:bigint,fee_btc:double," \
+            "vbytes:bigint,fee_rate_sat_vb:double>"
+    return (t.spark.read.schema(f"months array<{month}>, first_month string, last_month string, "
+                                "total_fee_btc double").json(path)
+            .select(F.inline("months"), "first_month", "last_month", "total_fee_btc"))
+
+
+def acceleration_files(t: ChainTables) -> str:
+    """Records as monthly files of JSON lines, and an empty file of an earlier month."""
+    parts, folder = roundtrip(t, "acc-parts"), roundtrip(t, "acc")
+    (accelerations(t.spark, t.sf_dir).repartition("month").write.partitionBy("month").json(parts))
+    jvm = t.spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(parts).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for month in fs.globStatus(path(f"{parts}/month=*")):
+        name = month.getPath().getName().removeprefix("month=")
+        file, = fs.globStatus(path(f"{parts}/month={name}/part-*"))
+        fs.rename(file.getPath(), path(f"{folder}/{name}.json"))
+    fs.create(path(f"{folder}/2023-12.json")).close()
+    return folder
+
+
+def ran_accelerations(t: ChainTables) -> DataFrame:
+    """The job over monthly files; what it wrote, as pool:fee lists."""
+    listing, out = roundtrip(t, "list"), roundtrip(t, "acc-out")
+    entry = F.struct(F.col("pool_id").alias("id"), F.col("pool_name").alias("name"))
+    t.source.pools.agg(F.to_json(F.collect_list(entry)).alias("value")).write.text(listing)
+    jobs.run_accelerations(t.spark, acceleration_files(t), listing, out, multi_line=False)
+    rows = t.spark.read.schema("month string, value string").json(
+        f"{out}/accelerations_by_month.json")
+    parsed = F.from_json("value", "pools map<string,bigint>, sum bigint")
+    return rows.select("month", parsed.alias("v")).select("month", F.array_join(F.array_sort(
+        F.transform(F.map_entries("v.pools"), lambda e: F.concat_ws(
+            ":", e["key"], e["value"].cast("string")))), ",").alias("pools"), "v.sum")
+
+
+def ran_pipeline(t: ChainTables) -> Stages:
+    """All steps by the job itself, in a folder of its own."""
+    return pipeline.run_pipeline(t.spark, t.source, roundtrip(t, "run"))
+
+
+def ran_late_steps(t: ChainTables) -> DataFrame:
+    """Steps from a named one on, over tables stored before."""
+    copy = Stages(t.spark, roundtrip(t, "late-run"))
+    for name in ("txs", "blocks"):
+        copy.write(name, t[name])
+    return pipeline.run_pipeline(t.spark, t.source, copy.folder, from_step="low_fee_txs")[
+        "pool_summary"]
+
+
+def sanity(t: ChainTables) -> DataFrame:
+    parts = jobs.sanity_check(t.source.blocks, _with(t, "blocks"))
+    month = F.date_format("block_month", "yyyy-MM-dd")
+    none = F.lit(None)
+    return (parts["monthly_pool_shares"].select(
+        F.concat_ws(" ", month, "pool_name").alias("what"), "blocks", "share")
+        .unionByName(parts["attribution_quality"].select(
+            F.col("pool_source").alias("what"), "blocks", "share"))
+        .unionByName(parts["unattributed_texts"].select(
+            F.concat(F.lit("text "), "coinbase_text").alias("what"), "blocks",
+            none.cast("double").alias("share"))))
+
+
+def damaged(t: ChainTables) -> DataFrame:
+    """The invariants over rows with every kind of damage, each in a part of the rows."""
+    k = F.conv(F.substring("tx_hash", 64, 1), 16, 10).cast("int")
+    txs = t["txs"].withColumns({
+        "effective_fee_rate": F.when(k == 1, None).when(k == 2, F.col("block_number") + 0.5)
+        .otherwise(F.col("effective_fee_rate")),
+        "low_fee_70": F.col("low_fee_70") | (k == 3),
+        "is_nonrelayable": F.col("is_nonrelayable") != (k == 4)})
+    lacking = t["block_percentiles"].where("block_number % 3 <> 0")
+    return quality.invariants(txs, t["blocks"], lacking)
 
 
 def audits(t: ChainTables) -> DataFrame:
@@ -175,12 +297,9 @@ def io_json(t: ChainTables) -> DataFrame:
 
 
 def io_accelerations(t: ChainTables) -> DataFrame:
-    """Records written as JSON and read back with the record schema."""
-    df = accelerations(t.spark, t.sf_dir)
-    path = roundtrip(t, "acc")
-    df.drop("month").write.json(path)
-    return src_acc.read_accelerations(t.spark, path, multi_line=False).select(
-        "txid", "status", "feeDelta", "minedByPoolUniqueId")
+    """Records read back from monthly files, with the month of their file."""
+    return src_acc.read_accelerations(t.spark, acceleration_files(t), multi_line=False).select(
+        "txid", "status", "feeDelta", "minedByPoolUniqueId", "month")
 
 
 def pool_update(t: ChainTables) -> DataFrame:
@@ -213,7 +332,7 @@ def merged_months(t: ChainTables) -> DataFrame:
 
 
 def merged_sample(t: ChainTables) -> DataFrame:
-    low = lowfee.low_fee_txs(t["txs"], t["blocks"]).select(
+    low = lowfee.low_fee_txs(t["txs"]).select(
         "tx_hash", "block_month", F.round("upper_band_sats", 5).alias("upper_band_sats"))
     fresh = low.where(F.col("block_month") >= RERUN)
     old = low.withColumn("upper_band_sats", F.col("upper_band_sats") + 1)
@@ -310,7 +429,7 @@ def build() -> dict[str, tuple]:
         " a USING (pool_name) WHERE t.l IS NOT NULL OR a.l IS NOT NULL")
     q["read_accelerations"] = (
         io_accelerations,
-        'SELECT txid, status, fee_delta AS "feeDelta", pool_id AS "minedByPoolUniqueId" '
+        'SELECT txid, status, fee_delta AS "feeDelta", pool_id AS "minedByPoolUniqueId", month '
         "FROM acc")
     q["months_to_load"] = (
         lambda t: src_acc.months_to_load(
@@ -318,7 +437,8 @@ def build() -> dict[str, tuple]:
         "SELECT strftime(m, '%Y-%m') AS month FROM (SELECT unnest(generate_series("
         "(SELECT max(CAST(month || '-01' AS DATE)) FROM acc) + INTERVAL 1 MONTH, "
         "DATE '2025-03-01', INTERVAL 1 MONTH)) AS m)")
-    q["list_months"] = (acc_months, "SELECT month FROM acc_months")
+    q["list_months"] = (lambda t: src_acc.list_months(t.spark, acceleration_files(t)),
+                        "SELECT month FROM acc_months")
     q["read_in_package"] = (
         lambda t: relay.read_in_package(
             t["tx_in_package"], *relay.block_range(t["tx_in_package"])).select(
@@ -412,8 +532,7 @@ def build() -> dict[str, tuple]:
         "SELECT number, CAST(ts AS DATE) AS block_date, CAST(date_trunc('month', ts) AS DATE) "
         "AS block_month, strftime(ts, '%Y-%m') AS label FROM heads")
     q["bands"] = both(
-        lambda t: lowfee.tx_with_block(t["txs_priced"], t["blocks"])
-        .withColumns(lowfee.bands()).select("tx_hash", "lower_band_sats", "upper_band_sats"),
+        lambda t: t["txs"].withColumns(lowfee.bands()).select("tx_hash", "lower_band_sats", "upper_band_sats"),
         "SELECT tx_hash, lower_band_sats, upper_band_sats FROM flagged",
         {"lower_band_sats": 5, "upper_band_sats": 5})
     q["tag_lookup"] = (lambda t: att.tag_lookup(t.source.pools), "SELECT * FROM tag_of")
@@ -427,7 +546,7 @@ def build() -> dict[str, tuple]:
         lambda t: summary.full_priced_blocks(t["blocks"]).select("block_number"),
         "SELECT block_number FROM blocks WHERE is_full AND floor_fee_rate IS NOT NULL")
     q["low_fee_denominator"] = (
-        lambda t: lowfee.tx_with_block(t["txs"], t["blocks"]).where(
+        lambda t: t["txs"].where(
             M.low_fee_denominator(F.col("is_full"), F.col("floor_fee_rate"),
                                   F.col("is_nonrelayable"))).select("tx_hash"),
         "SELECT tx_hash FROM flagged WHERE is_full AND floor_fee_rate IS NOT NULL "
@@ -515,16 +634,16 @@ def build() -> dict[str, tuple]:
                                  att.pool_id_lookup(t.source.pools)).select(
             "txid", "pool_name"),
         "SELECT txid, pool_name FROM acc JOIN pool_ids USING (pool_id)")
-    q["pool_list_diff"] = (
-        lambda t: att.pool_list_diff(
-            src_pools.parse_pools(pool_docs(t)),
-            t["blocks"].select("pool_name").where("pool_name <> 'Pool 3'")),
-        "SELECT pool_name, 'new' AS change FROM (SELECT DISTINCT pool_name FROM attributed "
-        "WHERE pool_name <> 'Pool 3' EXCEPT (SELECT pool_name FROM pool_tags UNION "
-        "SELECT pool_name FROM pool_addresses)) UNION ALL "
-        "SELECT pool_name, 'not upstream' FROM ((SELECT pool_name FROM pool_tags UNION "
-        "SELECT pool_name FROM pool_addresses) EXCEPT SELECT pool_name FROM attributed "
-        "WHERE pool_name <> 'Pool 3')")
+    q["pool_list_diff"] = (refreshed, f"SELECT * FROM {REFRESHED_SQL}")
+    q["pool_list_counts"] = (
+        lambda t: att.pool_list_counts(refreshed(t)),
+        "SELECT count(*) FILTER (WHERE change <> 'not upstream') AS upstream, "
+        "count(*) FILTER (WHERE change <> 'new') AS in_use, "
+        "count(*) FILTER (WHERE has_id) AS with_id, "
+        "count(*) FILTER (WHERE change = 'new') AS \"new\", "
+        "count(*) FILTER (WHERE change = 'not upstream') AS not_upstream, "
+        "count(*) FILTER (WHERE change LIKE '%tags%') AS tags_changed, "
+        f"count(*) FILTER (WHERE change LIKE '%addresses%') AS addresses_changed FROM {REFRESHED_SQL}")
     q["audit_overlap"] = (
         lambda t: quality.audit_overlap(flagged(t), audits(t)), audit_sql(""))
     q["audit_overlap_by_block"] = (
@@ -593,15 +712,15 @@ def build() -> dict[str, tuple]:
         f"SELECT {BASE_COLUMNS} FROM base")
     q["onchain_monthly_fee"] = (onchain, "SELECT * FROM onchain")
     q["monthly_summary"] = both(
-        lambda t: summary.monthly_summary(t["txs"], t["blocks"]),
+        lambda t: summary.monthly_summary(t["block_partials"]),
         "SELECT * FROM monthly", BAND)
     q["pool_summary"] = both(
-        lambda t: summary.pool_summary(t["txs"], t["blocks"]),
+        lambda t: summary.pool_summary(t["block_partials"]),
         "SELECT *, CAST(low_fee_vbytes_50 AS DOUBLE) / NULLIF(full_block_vbytes, 0) "
         "AS low_fee_share_of_full_50 FROM pools",
         {"lower_band_sats_50": 2, "upper_band_sats_50": 2})
     q["low_fee_sensitivity"] = both(
-        lambda t: summary.low_fee_sensitivity(t["txs"], t["blocks"]),
+        lambda t: summary.low_fee_sensitivity(t["block_partials"], t["blocks"]),
         "SELECT * FROM sensitivity", {"lower_band_sats": 2, "upper_band_sats": 2})
     digits = {"p05_fee_rate": 9, "p05_all": 9, "median_fee_rate": 9}
     q["block_percentiles"] = both(pct, "SELECT * FROM percentiles", digits)
@@ -628,11 +747,9 @@ def build() -> dict[str, tuple]:
             "CAST(sum(nonrelayable_txs) AS BIGINT) AS nonrelayable_txs, "
             "CAST(sum(nonrelayable_vbytes) AS BIGINT) AS nonrelayable_vbytes FROM monthly")
     q["summary_report"] = (
-        lambda t: report.headline_table(t["monthly_summary"]).select(
-            "sensitivity", "low_fee_txs", "low_fee_vbytes"),
-        " UNION ALL ".join(
-            f"SELECT '0.{s}' AS sensitivity, CAST(sum(low_fee_txs_{s}) AS BIGINT) AS low_fee_txs,"
-            f" CAST(sum(low_fee_vbytes_{s}) AS BIGINT) AS low_fee_vbytes FROM monthly"
+        report_heads, " UNION ALL ".join(
+            f"SELECT * REPLACE (CAST(window_start AS VARCHAR) AS window_start, "
+            f"CAST(window_end AS VARCHAR) AS window_end) FROM ({q[f'headline_{s}'][1]})"
             for s, _ in SENS))
     q["sensitivity_totals"] = both(
         lambda t: summary.sensitivity_totals(t["low_fee_sensitivity"]),
@@ -688,10 +805,28 @@ def build() -> dict[str, tuple]:
         "block_number HAVING count(DISTINCT effective_fee_rate) > 1)) "
         "UNION ALL SELECT 'floor_without_percentiles', (SELECT count(*) FROM "
         "blocks ANTI JOIN percentiles USING (block_number) WHERE floor_fee_rate IS NOT NULL)")
+    reasons = " OR ".join(f"nonrelay_{r}" for r in (*REASONS, "ancestor_limit"))
+    broken = (
+        "(SELECT block_number, package_id, is_coinbase, CASE WHEN h = 1 THEN NULL WHEN h = 2 "
+        "THEN block_number + 0.5 ELSE effective_fee_rate END AS rate, low_fee_70 OR h = 3 AS low, "
+        f"is_nonrelayable <> (h = 4) AS bad, coalesce({reasons}, FALSE) AS reason FROM (SELECT *, "
+        "instr('0123456789abcdef', substr(tx_hash, 64, 1)) - 1 AS h FROM flagged))")
+    counted = {"missing_rate": "NOT is_coinbase AND rate IS NULL",
+               "low_fee_nonrelayable": "low AND bad", "verdict_mismatch": "bad <> reason",
+               "nonrelayable_coinbase": "is_coinbase AND bad"}
+    q["invariants_of_damaged_rows"] = (
+        damaged, " UNION ALL ".join(
+            f"SELECT '{name}' AS \"check\", count(*) FILTER (WHERE {test}) AS violations "
+            f"FROM {broken}" for name, test in counted.items())
+        + " UNION ALL SELECT 'package_price_mismatch', count(*) FROM (SELECT 1 FROM "
+        f"{broken} WHERE package_id IS NOT NULL GROUP BY package_id, block_number "
+        "HAVING count(DISTINCT rate) > 1) UNION ALL SELECT 'floor_without_percentiles', count(*) "
+        "FROM blocks WHERE floor_fee_rate IS NOT NULL AND block_number NOT IN (SELECT block_number "
+        "FROM percentiles WHERE block_number % 3 <> 0)")
 
     # sort, top-k, sampling
     q["top_low_fee"] = both(
-        lambda t: lowfee.top_low_fee(lowfee.low_fee_txs(t["txs"], t["blocks"])).select(
+        lambda t: lowfee.top_low_fee(lowfee.low_fee_txs(t["txs"])).select(
             "tx_hash", "block_month", "pool_name", "upper_band_sats"),
         "SELECT tx_hash, block_month, pool_name, upper_band_sats FROM low WHERE low_fee_50 "
         "ORDER BY upper_band_sats DESC, tx_hash LIMIT 5000", {"upper_band_sats": 5})
@@ -701,7 +836,7 @@ def build() -> dict[str, tuple]:
         "SELECT block_number, count(*) AS low_fee_txs FROM low GROUP BY block_number, "
         "block_hash ORDER BY sha256(concat('feefloor', block_hash)) LIMIT 10")
     q["low_fee_txs"] = both(
-        lambda t: lowfee.low_fee_txs(t["txs"], t["blocks"]),
+        lambda t: lowfee.low_fee_txs(t["txs"]),
         "SELECT tx_hash, block_number, block_timestamp, block_month, pool_name, pool_source, "
         "fee, virtual_size, raw_fee_rate, effective_fee_rate, package_id, package_tx_count, "
         f"floor_fee_rate, median_fee_rate, block_weight, {LOW_FLAGS}, lower_band_sats, "
@@ -745,20 +880,59 @@ def build() -> dict[str, tuple]:
         "fee_sats DESC, pool_name) FILTER (WHERE pool_name IS NOT NULL), '') AS pools, "
         'max(month_sum) AS "sum" FROM acc_spine GROUP BY month')
     q["refresh_pools"] = (
-        refreshed,
-        "SELECT pool_name, 'new' AS change FROM (SELECT pool_name FROM pool_addresses "
-        "EXCEPT SELECT pool_name FROM pool_tags)")
-    q["export_results"] = both(
-        exported, "SELECT * REPLACE (CAST(block_month AS VARCHAR) AS block_month) "
-        "FROM sensitivity", {"lower_band_sats": 2, "upper_band_sats": 2})
-    q["export_onchain_fee"] = (
+        lambda t: refreshed(t).where("change = 'new' OR change = 'not upstream'"),
+        f"SELECT * FROM {REFRESHED_SQL} WHERE change IN ('new', 'not upstream')")
+    month_text = "CAST(block_month AS VARCHAR) AS block_month"
+    for name, relation, digits in (
+            ("low_fee_sensitivity", "sensitivity",
+             {"lower_band_sats": 2, "upper_band_sats": 2}),
+            ("monthly_summary", "monthly", BAND),
+            ("pool_summary", "(SELECT *, CAST(low_fee_vbytes_50 AS DOUBLE) "
+             "/ NULLIF(full_block_vbytes, 0) AS low_fee_share_of_full_50 FROM pools)",
+             {"lower_band_sats_50": 2, "upper_band_sats_50": 2})):
+        q["export_results" if name == "low_fee_sensitivity" else f"export_{name}"] = both(
+            lambda t, n=name: exported_json(t, n),
+            f"SELECT * REPLACE ({month_text}) FROM {relation}", digits)
+    q["export_sample"] = both(
+        lambda t: exported_json(t, "low_fee_txs_sample").select(
+            "tx_hash", "block_month", "pool_name", "upper_band_sats"),
+        f"SELECT tx_hash, {month_text}, pool_name, upper_band_sats FROM low WHERE low_fee_50 "
+        "ORDER BY low.upper_band_sats DESC, tx_hash LIMIT 5000", {"upper_band_sats": 5})
+    q["replace_export"] = both(
+        lambda t: exported_json(t, "pool_summary", replace=True).drop("low_fee_share_of_full_50"),
+        f"SELECT * REPLACE ({month_text}) FROM pools WHERE block_month >= DATE '{RERUN}' OR "
+        f"NOT EXISTS (SELECT 1 FROM pools WHERE block_month >= DATE '{RERUN}')",
+        {"lower_band_sats_50": 2, "upper_band_sats_50": 2})
+    q["export_onchain_fee"] = both(
         exported_onchain,
-        "SELECT strftime(block_month, '%Y-%m') AS month, txs, blocks, fee_sats FROM onchain")
+        "SELECT strftime(block_month, '%Y-%m') AS month, txs, blocks, fee_sats, "
+        "round(fee_sats / 1e8, 8) AS fee_btc, vbytes, fee_rate_sat_vb, "
+        "strftime(min(block_month) OVER (), '%Y-%m') AS first_month, "
+        "strftime(max(block_month) OVER (), '%Y-%m') AS last_month, "
+        "round(CAST(sum(fee_sats) OVER () AS DOUBLE) / 1e8, 8) AS total_fee_btc FROM onchain",
+        {"fee_rate_sat_vb": 2})
+    q["run_accelerations"] = (
+        ran_accelerations,
+        "SELECT month, coalesce(string_agg(pool_name || ':' || fee_sats, ',' ORDER BY "
+        "pool_name || ':' || fee_sats) FILTER (WHERE pool_name IS NOT NULL), '') AS pools, "
+        'max(month_sum) AS "sum" FROM acc_spine GROUP BY month')
     q["run_pipeline"] = (
-        lambda t: t["txs"].select("tx_hash", "block_number", "is_nonrelayable",
-                                  "effective_fee_rate", *[f"low_fee_{s}" for s, _ in SENS]),
+        lambda t: ran_pipeline(t)["txs"].select(
+            "tx_hash", "block_number", "is_nonrelayable", "effective_fee_rate",
+            *[f"low_fee_{s}" for s, _ in SENS]),
         f"SELECT tx_hash, block_number, is_nonrelayable, effective_fee_rate, {LOW_FLAGS} "
         "FROM flagged")
+    q["select_steps"] = both(
+        ran_late_steps,
+        "SELECT *, CAST(low_fee_vbytes_50 AS DOUBLE) / NULLIF(full_block_vbytes, 0) "
+        "AS low_fee_share_of_full_50 FROM pools",
+        {"lower_band_sats_50": 2, "upper_band_sats_50": 2})
+    q["sanity_check"] = (
+        sanity,
+        f"SELECT CAST(block_month AS VARCHAR) || ' ' || pool_name AS what, blocks, share "
+        f"FROM ({q['monthly_pool_shares'][1]}) UNION ALL SELECT pool_source, blocks, share FROM "
+        f"({q['attribution_quality'][1]}) UNION ALL SELECT 'text ' || coinbase_text, blocks, NULL "
+        f"FROM ({q['unattributed_texts'][1]})")
     q["check"] = (
         lambda t: pipeline.check(_with(t, "txs", "blocks", "block_percentiles"))
         .where("violations > 0"),

@@ -31,11 +31,10 @@ def rates():
     return rows
 
 
-@pytest.mark.parametrize("limit", [10**6, 100, 1])
-def test_percentiles(spark, rates, limit):
+def test_percentiles(spark, rates):
     df = spark.createDataFrame(rates, TXS)
     got = {r["block_number"]: r for r in
-           floor.block_percentiles(df, max_block_rows=limit).collect()}
+           floor.block_percentiles(df).collect()}
     want = {}
     for b in {r[0] for r in rates}:
         priced = [(r[2], r[3]) for r in rates if r[0] == b and not r[1] and r[2] is not None]

@@ -41,6 +41,11 @@ def tables(spark):
     return t.cache(), b.cache()
 
 
+@pytest.fixture(scope="module")
+def partials(tables):
+    return summary.block_partials(tables[0])
+
+
 def test_flags_are_strict_and_nested(tables):
     got = {r["tx_hash"]: (r["low_fee_30"], r["low_fee_50"], r["low_fee_70"])
            for r in tables[0].collect()}
@@ -55,10 +60,10 @@ def test_flags_are_strict_and_nested(tables):
 
 def test_low_fee_rows_and_bands(tables):
     got = {r["tx_hash"]: (round(r["lower_band_sats"], 6), r["upper_band_sats"])
-           for r in lowfee.low_fee_txs(*tables).collect()}
+           for r in lowfee.low_fee_txs(tables[0]).collect()}
     assert got == {"under30": (700.1, 1200.0), "tie30": (700.0, 1200.0),
                    "tie50": (500.0, 1200.0), "under70": (310.0, 1200.0)}
-    top = [r["tx_hash"] for r in lowfee.top_low_fee(lowfee.low_fee_txs(*tables), 1).collect()]
+    top = [r["tx_hash"] for r in lowfee.top_low_fee(lowfee.low_fee_txs(tables[0]), 1).collect()]
     assert top == ["tie30"]  # equal values: by hash
 
 
@@ -70,8 +75,8 @@ def test_band_is_null_without_a_floor(spark):
     assert got == [None, None, 0.0]
 
 
-def test_monthly_summary(tables):
-    got = {r["block_month"]: r for r in summary.monthly_summary(*tables).collect()}
+def test_monthly_summary(partials):
+    got = {r["block_month"]: r for r in summary.monthly_summary(partials).collect()}
     jan, feb, mar = got[M1], got[M2], got[dt.date(2024, 3, 1)]
     assert (jan["all_txs"], jan["all_vbytes"], jan["full_block_vbytes"]) == (10, 1000, 600)
     assert (jan["low_fee_txs_30"], jan["low_fee_txs_50"], jan["low_fee_txs_70"]) == (1, 2, 4)
@@ -84,8 +89,8 @@ def test_monthly_summary(tables):
     assert mar["full_block_vbytes"] == 0 and mar["private_vbytes_share_30"] is None
 
 
-def test_pool_summary_counts_only_rows_with_a_block(tables):
-    got = {(r["pool_name"], r["block_month"]): r for r in summary.pool_summary(*tables).collect()}
+def test_pool_summary_counts_only_rows_with_a_block(partials):
+    got = {(r["pool_name"], r["block_month"]): r for r in summary.pool_summary(partials).collect()}
     a = got[("A", M1)]
     assert (a["blocks"], a["vbytes"], a["full_block_vbytes"], a["low_fee_txs_50"]) == (
         2, 800, 600, 2)
@@ -100,7 +105,8 @@ def test_sensitivity_grid_and_totals(spark):
     txs = spark.createDataFrame(
         [tx("low", 4, 4.0), tx("ok", 4, 9.0), tx("bad", 4, 1.0, bad=True), tx("feb", 4, 1.0, M2),
          tx("edge", 1, 1.0)], TX)
-    grid = summary.low_fee_sensitivity(txs, blocks)
+    partials = summary.block_partials(lowfee.apply_low_fee(txs, blocks))
+    grid = summary.low_fee_sensitivity(partials, blocks)
     got = {(r["block_month"], r["sensitivity"], r["full_weight"]):
            (r["low_fee_txs"], r["low_fee_vbytes"], r["full_block_vbytes"]) for r in grid.collect()}
     assert set(k[2] for k in got) == {3_850_000, 3_900_000}  # no row where none is full

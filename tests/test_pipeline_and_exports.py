@@ -11,6 +11,7 @@ from feefloor.functions.scripts import int_div
 from feefloor.plans import jobs
 from feefloor.plans.pipeline import STEPS, Source, Stages, check, run_pipeline, select_steps
 from feefloor.sinks import report, results, tables
+from feefloor.sinks.published import Draft, Published
 from feefloor.sources.chain import month_window, read_blocks, read_transactions
 
 TX = """hash string, block_number long, block_timestamp timestamp, block_timestamp_month date,
@@ -112,6 +113,7 @@ def test_late_steps_run_from_stored_tables(spark, source, march, tmp_path):
         copy.write(name, march[name])
     again = run_pipeline(spark, source, str(tmp_path), from_step="low_fee_txs")
     assert again["pool_summary"].collect() == march["pool_summary"].collect()
+    assert again["block_partials"].count() == march["block_partials"].count()
     assert again["low_fee_txs"].count() == march["low_fee_txs"].count()
 
 
@@ -149,16 +151,18 @@ def test_months_merge_and_rerun_replaces(spark, march, tmp_path):
     for factor in (2, 3):  # the second run of April replaces the first
         run = with_month(spark, march, str(tmp_path / f"run{factor}"), april, factor)
         assert jobs.export_results(run, out)
-    rows = read_json(spark, f"{out}/monthly_summary.json")
+    now = Published(spark, out)
+    assert now.version == 3
+    rows = read_json(spark, now.path("monthly_summary.json"))
     assert [(r["block_month"], r["low_fee_vbytes_50"]) for r in rows] == [
         ("2024-03-01", 1400), ("2024-04-01", 4200)]
     assert rows[0]["private_vbytes_share_50"] == pytest.approx(0.1)
-    assert len(read_json(spark, f"{out}/low_fee_sensitivity.json")) == 18
-    sample = read_json(spark, f"{out}/low_fee_txs_sample.json")
+    assert len(read_json(spark, now.path("low_fee_sensitivity.json"))) == 18
+    sample = read_json(spark, now.path("low_fee_txs_sample.json"))
     assert len(sample) == 28 and not any("x2" in r["tx_hash"] for r in sample)
-    text = "\n".join(r[0] for r in spark.read.text(f"{out}/summary").collect())
+    text = "\n".join(r[0] for r in spark.read.text(now.path("summary")).collect())
     assert "2024-03-01 - 2024-04-01" in text and "| Ant |" in text
-    heads = json.loads("\n".join(r[0] for r in spark.read.text(f"{out}/headline", wholetext=True)
+    heads = json.loads("\n".join(r[0] for r in spark.read.text(now.path("headline"), wholetext=True)
                                  .collect()))
     assert heads["50"]["low_fee_vbytes"] == 5600 and heads["50"]["months"] == 2
 
@@ -166,11 +170,12 @@ def test_months_merge_and_rerun_replaces(spark, march, tmp_path):
     for name in (*jobs.RESULTS, "low_fee_txs"):
         empty.write(name, march[name].limit(0))
     assert not jobs.export_results(empty, out)
-    assert len(read_json(spark, f"{out}/monthly_summary.json")) == 2
+    assert Published(spark, out).version == 3
 
     may = with_month(spark, march, str(tmp_path / "may"), dt.date(2024, 5, 1))
     assert jobs.export_results(may, out, replace=True)
-    assert [r["block_month"] for r in read_json(spark, f"{out}/monthly_summary.json")] == [
+    now = Published(spark, out)
+    assert [r["block_month"] for r in read_json(spark, now.path("monthly_summary.json"))] == [
         "2024-05-01"]
 
 
@@ -179,13 +184,43 @@ def test_onchain_fee_export(spark, march, tmp_path):
     assert jobs.export_onchain_fee(march, out)
     run = with_month(spark, march, str(tmp_path / "run"), dt.date(2024, 2, 1), 2)
     assert jobs.export_onchain_fee(run, out)
-    rows = read_json(spark, f"{out}/onchain_monthly_fee.json")
+    now = Published(spark, f"{out}/onchain")
+    document, = read_json(spark, now.path("onchain_monthly_fee.json"))
     fee = march["onchain_monthly_fee"].first()["fee_sats"]
-    assert [(r["month"], r["fee_sats"]) for r in rows] == [("2024-02", 2 * fee), ("2024-03", fee)]
-    total = read_json(spark, f"{out}/onchain_monthly_fee_totals.json")[0]
-    assert (total["first_month"], total["last_month"], total["months"]) == (
-        "2024-02", "2024-03", 2)
-    assert total["total_fee_btc"] == pytest.approx(3 * fee / 1e8)
+    assert [(r["month"], r["fee_sats"]) for r in document["months"]] == [
+        ("2024-02", 2 * fee), ("2024-03", fee)]
+    assert (document["first_month"], document["last_month"]) == ("2024-02", "2024-03")
+    assert document["total_fee_btc"] == pytest.approx(3 * fee / 1e8)
+    assert set(document["months"][0]) == {"month", "txs", "blocks", "fee_sats", "fee_btc", "vbytes",
+                                          "fee_rate_sat_vb"}
+    # the same months again: nothing is written
+    assert jobs.export_onchain_fee(march, out) and jobs.export_onchain_fee(run, out)
+    assert Published(spark, f"{out}/onchain").version == now.version == 2
+
+
+@pytest.mark.parametrize("stop", ["write_result_json", "write_summary", "commit"])
+def test_an_export_that_stops_loses_no_month(spark, march, tmp_path, monkeypatch, stop):
+    """Ended while documents are written, or just before the new version is in place."""
+    out = str(tmp_path / "out")
+    assert jobs.export_results(march, out)
+    before = read_json(spark, Published(spark, out).path("monthly_summary.json"))
+
+    def killed(*_args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(*((Draft, stop) if stop == "commit" else (jobs, stop)), killed)
+        for month in (dt.date(2024, 3, 1), dt.date(2024, 4, 1)):
+            run = with_month(spark, march, str(tmp_path / f"{month}"), month, 5)
+            with pytest.raises(KeyboardInterrupt):
+                jobs.export_results(run, out, replace=month.month == 4)
+    now = Published(spark, out)
+    assert now.version == 1
+    assert read_json(spark, now.path("monthly_summary.json")) == before
+    assert jobs.export_results(run, out)  # and the next one goes on from there
+    now = Published(spark, out)
+    assert [r["block_month"] for r in read_json(spark, now.path("monthly_summary.json"))] == [
+        "2024-03-01", "2024-04-01"]
 
 
 def test_merge_is_idempotent(spark):
@@ -219,16 +254,21 @@ def test_a_replaced_month_brings_rows_back(spark):
     assert [r[0] for r in tables.top_rows(again, 3).collect()] == ["x", "y", "z"]
 
 
-def test_a_broken_folder_stops_the_export(spark, march, tmp_path):
+def test_a_broken_part_or_manifest_stops_the_export(spark, march, tmp_path):
     out = tmp_path / "out"
     assert jobs.export_results(march, str(out))
-    broken = out / "tables" / "pool_summary"
-    kept = sorted(p.name for p in (out / "tables" / "monthly_summary").iterdir())
-    for part in broken.rglob("*.parquet"):
+    april = with_month(spark, march, str(tmp_path / "april"), dt.date(2024, 4, 1))
+    for part in out.glob("part-*/pool_summary/*/*.parquet"):
         part.write_bytes(b"no table")
     with pytest.raises(Exception):
-        jobs.export_results(march, str(out))
-    assert sorted(p.name for p in (out / "tables" / "monthly_summary").iterdir()) == kept
+        jobs.export_results(april, str(out))
+    assert Published(spark, str(out)).version == 1
+    for file in out.glob("manifest/*.json"):
+        file.write_text("{broken")
+    with pytest.raises(Exception):
+        jobs.export_results(april, str(out))
+    with pytest.raises(FileNotFoundError):
+        Published(spark, str(tmp_path / "nowhere")).path("summary")
 
 
 def test_json_values(spark, tmp_path):

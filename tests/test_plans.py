@@ -7,11 +7,12 @@ from feefloor.__main__ import main, parse
 from feefloor.operators import lowfee, summary
 from feefloor.operators.linkage import in_block_edges, relatives
 from feefloor.operators.relay import relay_reasons, with_rates
+from feefloor.policy import Policy
 from tests.test_oracles import QUERIES, SF
 from tests.test_relay_rules import SCHEMA, tx
 
 # Decided per block or per pool source: three rows, so one task is no limit.
-ONE_TASK_WINDOWS = {"attribution_quality"}
+ONE_TASK_WINDOWS = {"attribution_quality", "sanity_check"}
 
 
 def plan(df):
@@ -51,21 +52,33 @@ def test_links_shuffle_on_block_and_hash(spark, no_broadcast):
     assert all(line.split("hashpartitioning(")[1].count("#") == 2 for line in exchanges)
 
 
-def test_summaries_shuffle_only_partial_sums(spark, no_broadcast):
-    """With blocks shuffled too, facts move once, by block; months move as sums."""
-    t = QUERIES["month_spine"](spark, SF)  # builds the tables
-    assert t.count() > 0
+def test_facts_are_joined_once(spark, no_broadcast):
+    """After the low-fee flags nothing joins or moves facts: the partial sums move as
+    sums, and the summaries read those alone."""
     from testbed.chain_view import chain_tables
     tables = chain_tables(spark, SF)
-    text = plan(summary.monthly_summary(tables["txs"], tables["blocks"]))
-    assert text.count("Exchange hashpartitioning(block_number") == 2
-    assert text.count("Exchange hashpartitioning(block_month") == 1
+    assert tables["low_fee_sensitivity"].count() > 0  # builds the tables
+    text = plan(summary.block_partials(tables["txs"]))
+    assert "Join" not in text and text.count("Exchange hashpartitioning(") == 1
+    before = text.split("Exchange hashpartitioning(")[1]
+    assert "partial_sum(virtual_size" in before or "partial_count" in before
+    assert "Join" not in plan(lowfee.low_fee_txs(tables["txs"]))
+    assert "Exchange" not in plan(lowfee.low_fee_txs(tables["txs"]))
+    partials = tables["block_partials"]
+    for result in (summary.monthly_summary(partials), summary.pool_summary(partials)):
+        assert "Join" not in plan(result)
+    grid = plan(summary.low_fee_sensitivity(partials, tables["blocks"]))
+    wide = Policy(sensitivities=tuple(n / 10 for n in range(1, 10)),
+                  fullness_grid=tuple(range(3_800_000, 3_980_000, 20_000)))
+    nine = plan(summary.low_fee_sensitivity(partials, tables["blocks"], wide))
+    for part in ("Exchange hashpartitioning", "Scan", "FileScan"):
+        assert grid.count(part) == nine.count(part)
 
 
 def test_small_block_tables_are_broadcast(spark):
     from testbed.chain_view import chain_tables
     tables = chain_tables(spark, SF)
-    text = plan(lowfee.apply_low_fee(tables["txs_priced"], tables["blocks"]))
+    text = plan(lowfee.apply_low_fee(tables["txs"], tables["blocks"]))
     assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
 
 

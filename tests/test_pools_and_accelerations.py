@@ -206,7 +206,7 @@ def test_refresh_pools(spark, tmp_path):
         return {(r["pool_name"], r["change"]) for r in diff.collect()}
 
     assert refreshed(ROWS[:2]) == {("Juniper", "new"), ("Hazel & Sons", "new")}
-    change = {("Juniper", "not upstream"), ("Willow", "new")}
+    change = {("Juniper", "not upstream"), ("Willow", "new"), ("Hazel & Sons", "same")}
     assert refreshed(ROWS[1:], print_only=True) == change
     assert {r["pool_name"] for r in spark.read.parquet(table).collect()} == {
         "Juniper", "Hazel & Sons"}
@@ -224,3 +224,35 @@ def test_a_folder_without_a_table_is_no_empty_table(spark, tmp_path):
     (table / "_SUCCESS").touch()
     with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
         jobs.refresh_pools(spark, str(listing), str(table))
+
+
+def test_what_becomes_of_each_pool(spark):
+    schema = "pool_name string, pool_id long, tags array<string>, addresses array<string>"
+    old = spark.createDataFrame([
+        ("same", 1, ["x", "y"], ["a"]), ("tag", 2, ["x"], ["a"]), ("moved", None, [], ["a", "b"]),
+        ("both", 4, ["x"], []), ("gone", 5, ["x"], [])], schema)
+    new = spark.createDataFrame([
+        ("same", 1, ["y", "x", "x"], ["a"]), ("tag", 2, ["x", "z"], ["a"]),
+        ("moved", None, [], ["a", "c"]), ("both", 4, ["y"], ["n"]), ("born", 7, ["q"], [])], schema)
+    diff = att.pool_list_diff(old, new)
+    assert {r["pool_name"]: r["change"] for r in diff.collect()} == {
+        "same": "same", "tag": "tags", "moved": "addresses", "both": "tags and addresses",
+        "gone": "not upstream", "born": "new"}
+    counts = att.pool_list_counts(diff).first().asDict()
+    assert counts == {"upstream": 5, "in_use": 5, "with_id": 4, "new": 1, "not_upstream": 1,
+                      "tags_changed": 2, "addresses_changed": 2}
+
+
+def test_tags_of_every_length(spark):
+    """Shorter than a piece, as long, and longer; at the start, the end and twice."""
+    texts = ["", "a", "xab", "/abcd/", "abcde fgh abcde", "abcdX", "ABCDE", "日本語テスト", None, "%_"]
+    tags = ["a", "ab", "abcd", "abcde", "bcde f", "日本", "語テスト", "%", "_", "zz"]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "block_number long, coinbase_text string")
+    pools = spark.createDataFrame([("P", t) for t in tags] + [("Q", "")],
+                                  "pool_name string, tag string")
+    found = att.tag_matches(blocks, pools)
+    got = [(r["block_number"], r["tag"]) for r in found.collect()]
+    assert sorted(got) == sorted((i, t) for i, x in enumerate(texts) for t in tags
+                                 if t in (x or "").lower())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -9,6 +9,7 @@ from feefloor.operators.relay import DIRECT_REASONS, relay_reasons
 from feefloor.operators.updates import price_packages
 from feefloor.operators.packages import packages
 from feefloor.operators.relay import in_package_set
+from feefloor.policy import Policy
 
 SCHEMA = """tx_hash string, block_number long, block_timestamp timestamp, block_month date,
  is_coinbase boolean, fee long, virtual_size long, serialized_size long, version long,
@@ -41,69 +42,96 @@ def carrier(count, largest, total):
                 op_return_total_bytes=total)
 
 
+P = Policy()
+WEEK = dt.timedelta(days=7)
+
+
+def at(day, weeks=0):
+    return (dt.date.fromisoformat(day) + weeks * WEEK).isoformat()
+
+
+#: Rules whose answer changes with a release: (rule, its day, the transaction, broken
+#: before that day, broken from it on). Tried the day before, on the day, and a week on.
+DATED = [
+    ("sub_minrelay", P.min_relay_change, dict(fee=int(700 * P.min_relay_before) // 2,
+                                              virtual_size=700), True, False),
+    ("sub_minrelay", P.min_relay_change, dict(fee=int(800 * P.min_relay_after) - 1,
+                                              virtual_size=800), True, True),
+    ("op_return", P.datacarrier_change, carrier(1, P.datacarrier_limit_before + 7,
+                                                P.datacarrier_limit_before + 7), True, False),
+    ("op_return", P.datacarrier_change, carrier(
+        2, P.datacarrier_limit_before, P.datacarrier_limit_after + 1), False, True),
+    ("multi_op_return", P.datacarrier_change, carrier(5, 11, 55), True, False),
+    ("version", P.truc_change, dict(version=P.version_max_after), True, False),
+    ("version", P.truc_change, dict(version=P.version_max_after + 3), True, True),
+    ("version", P.truc_change, dict(version=P.version_min - 1), True, True),
+    ("truc", P.truc_change, dict(version=P.truc_version, virtual_size=P.truc_max_vsize + 600),
+     False, True),
+    ("truc", P.truc_change, dict(version=2, virtual_size=3 * P.truc_max_vsize), False, False),
+    ("dust", P.dust_change, dust(P.max_dust_before + 1), True, True),
+    ("dust", P.dust_change, dict(dust_outputs=4, dust_outputs_excl_multisig=0), False, True),
+    ("dust", P.dust_change, dust(P.max_dust_after + 2, fee=0), True, True),
+]
+#: Rules with one limit on every day: (rule, column, the last value allowed, one beyond).
+LIMITS = [
+    ("oversized", "virtual_size", P.max_standard_vsize, P.max_standard_vsize + 1),
+    ("bare_multisig", "bare_multisig_max_n", P.multisig_max_n, P.multisig_max_n + 1),
+    ("scriptsig_size", "max_scriptsig_bytes", P.max_scriptsig_size, P.max_scriptsig_size + 1),
+    ("nonstandard_script", "nonstandard_outputs", 0, 2),
+    ("scriptsig_nonpush", "opens_with_nonpush_opcode", False, True),
+]
+DAYS = ("2023-02-14", "2025-07-20", "2026-06-30")
+
+
+def bare(size):
+    """A transaction without witness: both its sizes are the same."""
+    return dict(virtual_size=size, serialized_size=size)
+
+
+def with_child(rule, want, day, parent, child):
+    return (rule, want, tx("p", day, **parent), [tx("c", day, input_hashes=["p"], **child)])
+
+
 # (rule, expected, transaction under test, others of its block)
-CASES = {
-    "min relay before": ("sub_minrelay", True, tx("a", "2025-09-03", fee=500), []),
-    "min relay after": ("sub_minrelay", False, tx("a", "2025-09-05", fee=500), []),
-    "min relay on the day": ("sub_minrelay", False, tx("a", "2025-09-04", fee=500), []),
-    "still under": ("sub_minrelay", True, tx("a", "2025-09-05", fee=50), []),
-    "null fee": ("sub_minrelay", False, tx("a", "2024-01-01", fee=None), []),
-    "carrier before": ("op_return", True, tx("a", "2025-10-07", **carrier(1, 84, 84)), []),
-    "carrier after": ("op_return", False, tx("a", "2025-10-09", **carrier(1, 84, 84)), []),
-    "carrier sum": ("op_return", True, tx("a", "2025-10-09", **carrier(3, 60_000, 120_000)), []),
-    "two carriers before": ("multi_op_return", True,
-                            tx("a", "2025-10-07", **carrier(2, 20, 40)), []),
-    "two carriers after": ("multi_op_return", False,
-                           tx("a", "2025-10-09", **carrier(2, 20, 40)), []),
-    "v3 before": ("version", True, tx("a", "2024-10-03", version=3), []),
-    "v3 after": ("version", False, tx("a", "2024-10-05", version=3), []),
-    "v4 after": ("version", True, tx("a", "2024-10-05", version=4), []),
-    "v0 after": ("version", True, tx("a", "2024-10-05", version=0), []),
-    "dust before": ("dust", True, tx("a", "2025-04-14", **dust(1)), []),
-    "dust paying": ("dust", True, tx("a", "2025-04-16", **dust(1)), []),
-    "dust twice": ("dust", True, tx("a", "2025-04-16", **dust(2, fee=0)), []),
-    "multisig dust before": ("dust", False, tx("a", "2025-04-14", dust_outputs=1), []),
-    "ephemeral": ("dust", False, tx("a", "2025-06-01", **dust(1, fee=0)),
-                  [tx("b", "2025-06-01", fee=5_000, input_hashes=["a"])]),
-    "ephemeral null fee": ("dust", False, tx("a", "2025-06-01", **dust(1, fee=None)),
-                           [tx("b", "2025-06-01", fee=5_000, input_hashes=["a"])]),
-    "lonely": ("dust", True, tx("a", "2025-06-01", **dust(1, fee=0)), []),
-    "tiny": ("undersized", True,
-             tx("a", "2024-01-01", virtual_size=64, serialized_size=64), []),
-    "small": ("undersized", False,
-              tx("a", "2024-01-01", virtual_size=65, serialized_size=65), []),
-    "witness": ("undersized", False,
-                tx("a", "2024-01-01", virtual_size=100, serialized_size=200), []),
-    "null size": ("undersized", False, tx("a", "2024-01-01", serialized_size=None), []),
-    "big": ("oversized", True, tx("a", "2024-01-01", virtual_size=100_001), []),
-    "scriptsig big": ("scriptsig_size", True,
-                      tx("a", "2023-05-01", max_scriptsig_bytes=1651), []),
-    "scriptsig ok": ("scriptsig_size", False,
-                     tx("a", "2023-05-01", max_scriptsig_bytes=1650), []),
-    "nonpush": ("scriptsig_nonpush", True,
-                tx("a", "2026-05-01", opens_with_nonpush_opcode=True), []),
-    "multisig 4": ("bare_multisig", True, tx("a", "2024-01-01", bare_multisig_max_n=4), []),
-    "multisig 3": ("bare_multisig", False, tx("a", "2024-01-01", bare_multisig_max_n=3), []),
-    "truc big": ("truc", True, tx("a", "2024-10-05", version=3, virtual_size=10_001), []),
-    "truc ok": ("truc", False, tx("a", "2024-10-05", version=3, virtual_size=10_000), []),
-    "v2 big": ("truc", False, tx("a", "2024-10-05", virtual_size=20_000), []),
-    "truc child": ("truc", True, tx("a", "2025-01-01", version=3, virtual_size=1_001,
-                                    input_hashes=["b"]),
-                   [tx("b", "2025-01-01", version=3, virtual_size=500)]),
-    "truc mixed": ("truc", True, tx("a", "2025-01-01", version=3, input_hashes=["b"]),
-                   [tx("b", "2025-01-01", virtual_size=500)]),
-    "truc mixed before": ("truc", False, tx("a", "2024-10-03", version=3, input_hashes=["b"]),
-                          [tx("b", "2024-10-03", virtual_size=500)]),
-    "truc parent": ("truc", False, tx("a", "2025-01-01", version=3, virtual_size=500),
-                    [tx("b", "2025-01-01", version=3, virtual_size=1_001,
-                        input_hashes=["a"])]),
-    "paying child": ("sub_minrelay", False, tx("a", "2024-01-01", fee=0),
-                     [tx("b", "2024-01-01", input_hashes=["a"])]),
-    "poor child": ("sub_minrelay", True, tx("a", "2024-01-01", fee=0),
-                   [tx("b", "2024-01-01", fee=10, input_hashes=["a"])]),
-    "child in another block": ("sub_minrelay", True, tx("a", "2024-01-01", fee=0),
-                               [tx("b", "2024-01-01", input_hashes=["a"], block_number=1)]),
-    "script": ("nonstandard_script", True, tx("a", "2024-01-01", nonstandard_outputs=1), []),
+CASES = {}
+for rule, day, values, before_it, from_it in DATED:
+    eve = (dt.date.fromisoformat(day) - dt.timedelta(days=1)).isoformat()
+    for when, want in ((eve, before_it), (day, from_it), (at(day, 1), from_it)):
+        CASES[f"{rule} {when} {len(CASES)}"] = (rule, want, tx("p", when, **values), [])
+for rule, column, allowed, beyond in LIMITS:
+    for day in DAYS:
+        for value in (allowed, beyond):
+            CASES[f"{rule} {value} {day}"] = (rule, value == beyond,
+                                              tx("p", day, **{column: value}), [])
+LATE = at(P.dust_change, 9)
+TRUC = dict(version=P.truc_version)
+CASES |= {
+    "smallest": ("undersized", False, tx("p", DAYS[0], **bare(P.min_nonwitness_size)), []),
+    "too small": ("undersized", True, tx("p", DAYS[0], **bare(P.min_nonwitness_size - 1)), []),
+    "small but for its witness": ("undersized", False, tx(
+        "p", DAYS[1], virtual_size=160, serialized_size=430), []),
+    "size unknown": ("undersized", False, tx("p", DAYS[1], serialized_size=None), []),
+    "fee unknown": ("sub_minrelay", False, tx("p", DAYS[0], fee=None), []),
+    "dust spent at once": with_child("dust", False, LATE, dust(1, fee=0), dict(fee=7_300)),
+    "dust of unknown fee spent": with_child("dust", False, LATE, dust(1, fee=None),
+                                            dict(fee=7_300)),
+    "dust left behind": ("dust", True, tx("p", LATE, **dust(1, fee=0)), []),
+    "free with a generous child": with_child("sub_minrelay", False, DAYS[0], dict(fee=0),
+                                             dict(fee=4_400)),
+    "free with a mean child": with_child("sub_minrelay", True, DAYS[0], dict(fee=0),
+                                         dict(fee=13)),
+    "free, its child a block on": with_child("sub_minrelay", True, DAYS[0], dict(fee=0),
+                                             dict(fee=4_400, block_number=3)),
+    "child of its kind too large": ("truc", True, tx(
+        "c", LATE, input_hashes=["p"], virtual_size=P.truc_child_max_vsize + 90, **TRUC),
+        [tx("p", LATE, **TRUC)]),
+    "parent of its kind may be": with_child("truc", False, LATE, TRUC, dict(
+        virtual_size=P.truc_child_max_vsize + 90, **TRUC)),
+    "child of another kind": ("truc", True, tx("c", LATE, input_hashes=["p"], **TRUC),
+                              [tx("p", LATE, version=1)]),
+    "the same before it was a kind": ("truc", False, tx(
+        "c", at(P.truc_change, -1), input_hashes=["p"], **TRUC),
+        [tx("p", at(P.truc_change, -1), version=1)]),
 }
 
 
@@ -140,7 +168,7 @@ def test_single_transaction_packages(verdicts):
     assert verdicts["plain"]["effective_fee_rate"] == 10.0
     assert verdicts["plain"]["package_id"] == "plain"
     assert verdicts["cb"]["effective_fee_rate"] is None
-    child = verdicts[f"{list(CASES).index('paying child')}b"]
+    child = verdicts[f"{list(CASES).index('free with a generous child')}c"]
     assert child["in_package"] and child["effective_fee_rate"] is None
 
 
