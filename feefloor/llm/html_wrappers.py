@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -60,8 +60,11 @@ share sharing social newsletter subscribe subscription signup login related reco
 pagination pager widget widgets form search skip toc""".split())
 MAIN = {"article", "main"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-                    r"|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+                    r"|<[!?][^>]*+>|[^<]++|<", re.DOTALL)
+#: For what follows a tag that never ends: no tag reaches over the next one's start.
+_BROKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?][^<>]*+>|[^<]++|<",
+                     re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _NAME = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#\s]+)")
@@ -76,7 +79,7 @@ class Node:
     parent: "Node | None"
     kids: list["Node"] = field(default_factory=list)
     slot: int = -1
-    shape: str = ""
+    shape: int = 0
 
 
 def label_of(tag: str, attributes: str) -> str:
@@ -86,10 +89,25 @@ def label_of(tag: str, attributes: str) -> str:
     return ".".join([tag, *sorted(set(names))])
 
 
+def scan(html: str):
+    """Tags, comments and stretches of text in order, in time linear in the page.
+
+    A tag that never ends is text; from there on quotes are not trusted.
+    """
+    pattern, at = _TOKEN, 0
+    while at < len(html):
+        m = pattern.match(html, at)
+        if m[0] == "<" and html[at + 1:at + 2] not in ("", " ", "\n", "\t"):
+            pattern = _BROKEN
+        yield m
+        at = m.end()
+
+
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements and the text blocks in page order."""
     root = Node("page", "page", None)
     at, blocks, text = root, [], []
+    open_: Counter[str] = Counter()  # of the elements that are open, by tag
 
     def flush():
         line = " ".join(entities.unescape("".join(text)).split())
@@ -97,8 +115,15 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             blocks.append((at, line))
         text.clear()
 
+    def leave(node):
+        """Close what is open up to and with ``node``."""
+        nonlocal at
+        while at is not node.parent:
+            open_[at.tag] -= 1
+            at = at.parent
+
     skip = None
-    for m in _TOKEN.finditer(html):
+    for m in scan(html):
         tag = m[2]
         if tag is None:
             if skip is None and (m[0][0] != "<" or m[0] == "<"):
@@ -110,13 +135,12 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 skip = None
             continue
         if m[1]:
-            if tag in BLOCKS:
+            if tag in BLOCKS and open_[tag]:
                 target = at
-                while target is not root and target.tag != tag:
+                while target.tag != tag:
                     target = target.parent
-                if target is not root:
-                    flush()
-                    at = target.parent
+                flush()
+                leave(target)
             continue
         if tag == "br" or tag == "hr":
             text.append(" ")
@@ -127,17 +151,18 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         flush()
         if tag in ENDS_P and at.tag == "p":
-            at = at.parent
-        if tag in ENDS_ITSELF:
+            leave(at)
+        if tag in ENDS_ITSELF and any(open_[t] for t in ENDS_ITSELF[tag]):
             target = at
             while target is not root and target.tag not in SCOPES:
                 if target.tag in ENDS_ITSELF[tag]:
-                    at = target.parent
+                    leave(target)
                     if tag != "tr":
                         break
                 target = target.parent
         node = Node(label_of(tag, m[3]), tag, at)
         at.kids.append(node)
+        open_[tag] += 1
         at = node
     flush()
     return root, blocks
@@ -146,7 +171,8 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
 def fold(root: Node) -> tuple[str, int]:
     """Give every node its slot; the folded tree as text, and the number of slots.
 
-    A node's shape is its label with its kids' shapes, equal neighbours once.
+    A node's shape is a hash of its label and its kids' shapes, equal neighbours once,
+    so a page's text of a tree is as long as its tree and no node holds another's.
     """
     order, stack = [], [root]
     while stack:
@@ -154,10 +180,24 @@ def fold(root: Node) -> tuple[str, int]:
         order.append(node)
         stack.extend(reversed(node.kids))
     for node in reversed(order):
-        shapes = [k.shape for i, k in enumerate(node.kids)
-                  if i == 0 or k.shape != node.kids[i - 1].shape]
-        node.shape = node.label + ("(" + ",".join(shapes) + ")" if shapes else "")
-    return root.shape, _number(root)
+        node.shape = _hash(f"{node.label}({','.join(str(k.shape) for k in _runs(node))})")
+    text, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            text.append(node)
+            continue
+        text.append(node.label)
+        kids = _runs(node)
+        if kids:
+            parts = [x for kid in kids for x in (",", kid)]
+            todo += [")", *reversed(parts[1:]), "("]
+    return "".join(text), _number(root)
+
+
+def _runs(node: Node) -> list[Node]:
+    """The first of each run of neighbouring kids of equal shape."""
+    return [k for i, k in enumerate(node.kids) if i == 0 or k.shape != node.kids[i - 1].shape]
 
 
 def _number(root: Node) -> int:
@@ -223,6 +263,13 @@ def match(a: Tree, b: Tree) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching: nodes matched, and the pairs of slots (of a, of b)."""
     if a.label != b.label:
         return 0, []
+    if a is b:
+        slots, todo = [], [a]
+        while todo:
+            node = todo.pop()
+            slots.append((node.slot, node.slot))
+            todo.extend(node.kids)
+        return len(slots), slots
     size: dict[tuple[int, int], int] = {}
     chosen: dict[tuple[int, int], list[tuple[Tree, Tree]]] = {}
     todo = [(a, b, False)]
@@ -359,7 +406,8 @@ def wrappers(seen: DataFrame) -> DataFrame:
             template = r["template_shape"]
             if template not in templates:
                 templates[template] = read_tree(template)
-            pairs = dict(match(read_tree(r["shape"]), templates[template])[1])
+            own = templates[template] if r["shape"] == template else read_tree(r["shape"])
+            pairs = dict(match(own, templates[template])[1])
             matched.append([{"own": a, "slot": b} for a, b in pairs.items()])
             parts.append([{"slot": pairs[s["slot"]], "low": s["low"], "high": s["high"],
                            "n": s["n"]} for s in r["slots"] if s["slot"] in pairs])

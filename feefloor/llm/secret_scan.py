@@ -8,16 +8,18 @@ stretch of text around an access identifier:
 
 * ``pair``: a mixed string within a scope, so beside an access identifier;
 * ``endpoint``: a service address in a scope that also holds a secret (an
-  assignment, a hexadecimal string or a ``pair``).
+  assignment, a hexadecimal string or a ``pair``) no farther away than a scope is wide.
 
 Scopes of one document that overlap are merged, so a part lies in one scope at
 most and the interval join yields at most one row per part, whatever the number
-of identifiers. The join is on the document and the block of text, so a long
+of identifiers. How long a merged scope gets does not matter, since the distance to
+the nearest secret decides. The join is on the document and the block of text, so a long
 document full of parts is spread over many keys.
 
 Spans are code points, end exclusive, written ``kind:start:end``. A null text is
 an empty one and has no spans. Rows that share a doc_id and a text share their
-spans, and each gets a row.
+spans, and each gets a row; so do rows without an id. Inside, rows go by 64-bit hashes
+of their id and of their text.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ MIN_PAIR_BITS = 3.5
 SCOPE = 300
 #: Blocks that the interval join meets on.
 BLOCK = 1024
+KEY = ["row_key", "text_key"]
 
 def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
@@ -74,7 +77,7 @@ def _mixed(text: str) -> bool:
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, kind, start, end) of each part of each document.
+    """(row_key, text_key, kind, start, end) of each part of each document.
 
     Weak parts can only count beside an access identifier, so texts without one
     are not searched for them.
@@ -82,7 +85,7 @@ def parts(docs: DataFrame) -> DataFrame:
 
     def run(batch):
         ids, kinds, starts, ends, keys = [], [], [], [], []
-        for doc, key, text in zip(batch.column("doc_id").to_pylist(),
+        for doc, key, text in zip(batch.column("row_key").to_pylist(),
                                   batch.column("text_key").to_pylist(),
                                   batch.column("text").to_pylist()):
             for kind, start, end in parts_of(text or ""):
@@ -91,18 +94,17 @@ def parts(docs: DataFrame) -> DataFrame:
                 kinds.append(kind)
                 starts.append(start)
                 ends.append(end)
-        yield {"doc_id": pa.array(ids, batch.schema.field("doc_id").type),
+        yield {"row_key": pa.array(ids, pa.int64()),
                "text_key": pa.array(keys, pa.int64()), "kind": pa.array(kinds, pa.string()),
                "start": pa.array(starts, pa.int64()), "end": pa.array(ends, pa.int64())}
 
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return over_batches(docs, run, f"doc_id {doc_type},text_key long,kind string,start long,"
-                                   "end long")
+    return over_batches(docs.select(*KEY, "text"), run,
+                        "row_key long,text_key long,kind string,start long,end long")
 
 
 def scopes(found: DataFrame, width: int = SCOPE) -> DataFrame:
-    """(doc_id, text_key, scope, low, high): merged stretches around identifiers."""
-    key = ["doc_id", "text_key"]
+    """(row_key, text_key, scope, low, high): merged stretches around identifiers."""
+    key = KEY
     order = W.partitionBy(*key).orderBy("low", "high")
     around = (found.where("kind = 'access'")
               .select(*key, (F.col("start") - width).alias("low"),
@@ -116,7 +118,7 @@ def scopes(found: DataFrame, width: int = SCOPE) -> DataFrame:
 
 def linked(found: DataFrame, width: int = SCOPE, block: int = BLOCK) -> DataFrame:
     """The weak parts of ``found`` that complementary parts support."""
-    key = ["doc_id", "text_key"]
+    key = KEY
     areas = scopes(found, width).withColumns({
         "b0": F.floor(F.greatest(F.col("low"), F.lit(0)) / block),
         "b1": F.floor(F.col("high") / block)})
@@ -125,12 +127,18 @@ def linked(found: DataFrame, width: int = SCOPE, block: int = BLOCK) -> DataFram
               .withColumn("block", F.floor(F.col("start") / block))
               .join(areas, [*key, "block"])
               .where("start >= low AND end <= high"))
-    held = inside.groupBy(*key, "scope").agg(
-        F.max(F.col("kind") != "endpoint").alias("has_secret"))
-    pairs = inside.where("kind = 'pair'").select(*found.columns)
-    endpoints = (inside.where("kind = 'endpoint'").join(held, [*key, "scope"])
-                 .where("has_secret").select(*found.columns))
-    return pairs.unionByName(endpoints)
+    # The last secret before each part and the first after it, within its scope.
+    secret = F.col("kind") != "endpoint"
+    scope = W.partitionBy(*key, "scope").orderBy("start", "end", "kind")
+    before = F.max(F.when(secret, F.col("end"))).over(
+        scope.rowsBetween(W.unboundedPreceding, 0))
+    after = F.min(F.when(secret, F.col("start"))).over(
+        scope.rowsBetween(0, W.unboundedFollowing))
+    near = inside.withColumns({"before": before, "after": after}).where(
+        (F.col("kind") == "pair") | ((F.col("kind") == "endpoint") & F.coalesce(
+            F.least(F.col("start") - F.col("before"), F.col("after") - F.col("end"))
+            <= 2 * width, F.lit(False))))
+    return near.select(*found.columns)
 
 
 def _joined(spans: Column) -> Column:
@@ -148,18 +156,15 @@ def secret_scan(docs: DataFrame, width: int = SCOPE) -> DataFrame:
     ``span_list`` holds all spans as (start, rank of kind, end, kind) in order;
     ``base_sha256`` covers the base kinds only.
     """
-    key = ["doc_id", "text_key"]
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    docs = docs.select("doc_id", F.xxhash64("doc_id").alias("row_key"), "text",
+                       F.xxhash64("text").alias("text_key"))
     found = cut_lineage(parts(docs).distinct(), "secret-parts")
     spans = found.where(F.col("kind").isin(*BASE_KINDS)).unionByName(linked(found, width))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    listed = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+    listed = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(
         "start", rank.alias("rank"), "end", "kind"))).alias("span_list"))
-    listed = listed.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "span_list")
     none = F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint,kind:string>>")
-    out = (docs.select(*key)
-           .join(listed, F.col("doc_id").eqNullSafe(F.col("d"))
-                 & (F.col("text_key") == F.col("k")), "left")
+    out = (docs.select("doc_id", *KEY).join(listed, KEY, "left")
            .withColumn("span_list", F.coalesce("span_list", none)))
     base = F.filter("span_list", lambda s: s["rank"] <= len(BASE_KINDS))
     counts = [_count(kind).alias(f"n_{kind}") for kind in BASE_KINDS]

@@ -25,7 +25,8 @@ position) and later ones go; without it every copy goes.
 
 Texts are UTF-8 bytes, null is the empty text, and matches never cross texts.
 Rows that share doc_id and text are copies of each other; with ``keep_first`` they
-count as one and stay or go together. Texts
+count as one and stay or go together. A null id comes before all others; inside, the
+least 64-bit number stands for it, which so is no id of its own. Texts
 shorter than ``SPAN`` bytes are kept whole. Windows are compared byte by byte inside
 a task and by 128-bit hashes where counted one by one; surroundings by 64-bit hashes.
 """
@@ -49,7 +50,12 @@ GRAM = 64
 REACH = SPAN - GRAM
 #: Anchors per bucket aimed at; surroundings of one gram that a task sorts at most.
 BUCKET_ENTRIES = 200_000
+NO_ID = -2**63
 WIDE = 4000
+#: Entries of a gram that no batch calls frequent, and rows that a batch has at least,
+#: a few at the ends of files apart.
+UNSEEN = 4_000_000
+BATCH_ROWS = 1000
 #: Bytes of surroundings sorted together.
 SORT_BYTES = 1 << 20
 
@@ -105,11 +111,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 _POSTED = "bucket int,entries binary,finished binary,grams binary"
 
 
-def entries(docs: DataFrame, buckets: int, keep_first: bool, most: int = WIDE) -> DataFrame:
+def entries(docs: DataFrame, buckets: int, keep_first: bool, few: int) -> DataFrame:
     """(bucket, entries), and for each batch its finished stretches and frequent grams.
 
-    Finished stretches have their begin in at and their end in gram. Of a gram that
-    no batch calls frequent, a bucket takes at most ``most`` / 256 entries a batch.
+    Finished stretches have their begin in at and their end in gram. ``few``: of a gram
+    that no batch calls frequent, a bucket takes at most so many entries a batch.
     """
 
     def run(batch):
@@ -136,7 +142,7 @@ def entries(docs: DataFrame, buckets: int, keep_first: bool, most: int = WIDE) -
                                     & (_later(entry, first[group]) | (not keep_first))])
         entry = entry[first]
         grams, n = np.unique(entry["gram"], return_counts=True)
-        common = np.stack([grams[n > most // 256].view(np.int64), n[n > most // 256]], axis=1)
+        common = np.stack([grams[n > few].view(np.int64), n[n > few]], axis=1)
         to = (entry["gram"] >> np.uint64(20)).astype(np.int64) % buckets
         entry, to = entry[np.argsort(to, kind="stable")], np.sort(to)
         found, begins = np.unique(to, return_index=True)
@@ -503,11 +509,14 @@ def suffix_dedup(docs: DataFrame, keep_first: bool = True, with_text: bool = Tru
     ``kept`` are the remaining bytes; cuts may fall inside a character. ``most`` is the
     number of surroundings of one gram that a task sorts.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.hash("text").alias("key"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+                       F.coalesce("text", F.lit("")).alias("text"), F.hash("text").alias("key"))
+    size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = size or 0
     buckets = 1 + int(size * 2 / (SPAN - GRAM + 1)) // BUCKET_ENTRIES
-    posted = cut_lineage(entries(docs, buckets, keep_first, most), "entries")
+    # The more batches, the fewer entries of a gram each may keep to itself.
+    few = min(most // 256, max(1, UNSEEN // (1 + rows // BATCH_ROWS)))
+    posted = cut_lineage(entries(docs, buckets, keep_first, few), "entries")
     found = cut_lineage(meet(posted, buckets, keep_first, most), "repeats")
 
     stretch = F.struct("begin", "end")
@@ -534,7 +543,8 @@ def suffix_dedup(docs: DataFrame, keep_first: bool = True, with_text: bool = Tru
 
     names = [f.split()[0] for f in _RESULT.split(",")]
     result = staged.where("kind = 0").select(*names).unionByName(
-        over_batches(waiting, finish, _RESULT))
+        over_batches(waiting, finish, _RESULT)).withColumn(
+        "doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
     return result if with_text else result.drop("kept")
 
 

@@ -46,9 +46,11 @@ def encode_misses(docs: DataFrame, known: DataFrame, path: str) -> DataFrame:
     """(content, n_tokens) of each digest in ``docs`` that ``known`` lacks."""
     missing = (docs.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
                .join(known.select("content"), "content", "left_anti"))
-    one = missing.select(F.col("content").alias("c"), F.col("doc_id").alias("d"))
-    texts = (docs.join(one, (F.col("content") == F.col("c"))
-                       & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    # Texts go by content and id together, so the copies of one text go many ways.
+    row = F.xxhash64("content", "doc_id").alias("row")
+    one = missing.select(row, F.col("content").alias("c"), F.col("doc_id").alias("d"))
+    texts = (docs.select("*", row).join(one, "row")
+             .where((F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d")))
              .select("content", "text"))
 
     def run(batch):

@@ -4,14 +4,20 @@ Each word scores the log-odds of toxic against clean text under a Dirichlet
 prior shaped like all labelled text, less a small drift, so that neutral text
 scores below zero. A word's beginnings are tokens too: of the word and its
 beginnings, the one with the surest log-odds speaks for it, which covers forms
-of a word that were never labelled. A word said again in the same text scores
-as neutral, so that a line repeated hundreds of times weighs no more than once. A linear scan finds every maximal segment of a text. Chance
-alone makes longer texts reach higher scores: the best score of a clean text of
+of a word that were never labelled. A linear scan over all tokens finds every maximal
+segment of a text, its passages. Chance alone makes longer texts reach higher scores: the best score of a clean text of
 n words follows an extreme-value law with parameters lambda (from the scores'
 distribution in clean text) and K (from clean texts' best segments). A segment's
-expected number of rivals E = K n exp(-lambda S) says how significant it is, and a
-document's evidence, the sum of its segments' -log E, is turned into a
-probability by a logistic curve over the same labelled texts.
+expected number of rivals E = K n exp(-lambda S) says how significant it is. For
+passages the drift is ``PASSAGE_DRIFT`` a token, so that two of them stay two with a few
+neutral words between.
+
+A document's evidence discounts what it says again: a second scan takes a word that
+an earlier word of the text equals as neutral, so that a line repeated hundreds of
+times weighs no more than once, and lets tokens drift by ``DRIFT`` only, since words
+of one mind add up over a text. The sum of its segments' -log E is turned into a
+probability by a logistic curve over the same labelled texts. Both scans have their
+own lambda and K.
 
 The classifier is fitted on at most ``LABELLED`` labelled rows, chosen by a hash of
 the id; every document is scored over its whole text. Words are runs of letters
@@ -48,6 +54,7 @@ MIN_ODDS = 2.0
 #: make up for by its log-odds.
 PRIOR = 0.01
 DRIFT = 0.02
+PASSAGE_DRIFT = 0.5
 #: A passage is significant if chance makes so few of its score in such a text.
 MAX_E = 0.05
 THRESHOLD = 0.7
@@ -64,6 +71,8 @@ class Model:
     sureness: np.ndarray = field(default_factory=lambda: np.empty(0))
     lam: float = 1.0
     k: float = 1.0
+    passage_lam: float = 1.0
+    passage_k: float = 1.0
     slope: float = 0.0
     intercept: float = -math.inf
 
@@ -86,6 +95,11 @@ class Model:
         """-log E of a segment in a text of n_words words."""
         return self.lam * score - np.log(self.k * np.maximum(n_words, 1))
 
+    def significant(self, score, n_words) -> bool:
+        """Whether a passage of a text of n_words words is one."""
+        return (self.passage_lam * score - math.log(self.passage_k * max(n_words, 1))
+                >= -math.log(MAX_E))
+
     def probability(self, evidence):
         return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * evidence, -50, 50)))
 
@@ -132,24 +146,34 @@ def maximal_segments(before: np.ndarray, after: np.ndarray) -> list[tuple[int, i
 
 
 def passages(texts: pa.Array, model: Model):
-    """For each text: its number of words and its segments as (start, end, score) bytes."""
+    """For each text: its number of words, its passages as (start, end, score) bytes,
+    and the scores of its segments with words said again as neutral."""
     for begin, end in steps(texts):
         data, offsets = raw(texts[begin:end])
         starts, ends, first = word_spans(data, offsets, _LETTERS)
         scores = model.of(data, starts, ends)
+        every = scores - (PASSAGE_DRIFT - DRIFT)
         scores[repeats(data, starts, ends, first, scores > 0)] = -DRIFT
-        total = np.cumsum(scores)
-        hits = np.flatnonzero(scores > 0)
-        bounds = np.searchsorted(hits, first)
+        found = [list(_segments(x, first)) for x in (every, scores)]
         for i in range(end - begin):
-            own = hits[bounds[i]:bounds[i + 1]]
-            found = []
-            if len(own):
-                after = total[own] - total[own[0]]
-                segments = maximal_segments(after - scores[own], after)
-                found = [(int(starts[own[a]] - offsets[i]), int(ends[own[b]] - offsets[i]), s)
-                         for a, b, s in segments]
-            yield int(first[i + 1] - first[i]), found
+            yield (int(first[i + 1] - first[i]),
+                   [(int(starts[a] - offsets[i]), int(ends[b] - offsets[i]), s)
+                    for a, b, s in found[0][i]], [s for *_, s in found[1][i]])
+
+
+def _segments(scores: np.ndarray, first: np.ndarray):
+    """The maximal segments of each text, as (first token, last token, score)."""
+    total = np.cumsum(scores)
+    hits = np.flatnonzero(scores > 0)
+    bounds = np.searchsorted(hits, first)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        own = hits[a:b]
+        if not len(own):
+            yield []
+            continue
+        after = total[own] - total[own[0]]
+        yield [(int(own[i]), int(own[j]), s)
+               for i, j, s in maximal_segments(after - scores[own], after)]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -278,15 +302,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED) -> Model:
                   np.array([r["z"] for r in kept], float)[order])
     null = score_counts(texts.where("toxic = 0"), model).collect()
     n = np.array([r["n"] for r in null], float)
-    lam = karlin_lambda(np.array([r["score"] for r in null], float), n / max(n.sum(), 1))
-    model = replace(model, lam=lam)
+    clean = np.array([r["score"] for r in null], float)
+    lam, passage_lam = (karlin_lambda(clean - d, n / max(n.sum(), 1))
+                        for d in (0, PASSAGE_DRIFT - DRIFT))
+    model = replace(model, lam=lam, passage_lam=passage_lam)
     rows_ = best_segments(texts, model).collect()  # at most ``rows`` rows of numbers
     toxic = np.array([r["toxic"] for r in rows_], float)
     n_words = np.array([r["n_words"] for r in rows_], float)
-    best = np.array([r["best"] for r in rows_], float)
     null = (toxic == 0) & (n_words > 0)
-    k = max(null.sum() / max(float((n_words * np.exp(-lam * best))[null].sum()), 1e-300), 1e-12)
-    model = replace(model, k=k)
+    k, passage_k = (max(null.sum() / max(float((n_words * np.exp(-x * np.array(
+        [r[best] for r in rows_], float)))[null].sum()), 1e-300), 1e-12)
+        for x, best in ((lam, "best"), (passage_lam, "best_passage")))
+    model = replace(model, k=k, passage_k=passage_k)
     x = np.array([document_evidence(model, r["n_words"], r["scores"]) for r in rows_])
     slope, intercept = logistic(x, toxic)
     return replace(model, slope=max(slope, 0.0), intercept=intercept)
@@ -305,13 +332,14 @@ def best_segments(texts: DataFrame, model: Model) -> DataFrame:
     def run(batch):
         found = list(passages(batch.column("text"), model))
         yield {"toxic": batch.column("toxic"),
-               "n_words": pa.array([n for n, _ in found], pa.int64()),
-               "best": pa.array([max((s for *_, s in f), default=0.0) for _, f in found],
-                                pa.float64()),
-               "scores": pa.array([[s for *_, s in f] for _, f in found],
-                                   pa.list_(pa.float64()))}
+               "n_words": pa.array([n for n, *_ in found], pa.int64()),
+               "best": pa.array([max(s, default=0.0) for *_, s in found], pa.float64()),
+               "best_passage": pa.array([max((x for *_, x in p), default=0.0)
+                                         for _, p, _ in found], pa.float64()),
+               "scores": pa.array([s for *_, s in found], pa.list_(pa.float64()))}
 
-    return over_batches(texts, run, "toxic int,n_words long,best double,scores array<double>")
+    return over_batches(texts, run, "toxic int,n_words long,best double,best_passage double,"
+                                    "scores array<double>")
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -325,9 +353,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batch):
         texts = batch.column("text")
         points, spans = [], []
-        for i, (n_words, found) in enumerate(passages(texts, model)):
-            points.append(document_evidence(model, n_words, [s for *_, s in found]))
-            sure = [x for x in found if model.evidence(x[2], n_words) >= -math.log(MAX_E)]
+        for i, (n_words, found, scores) in enumerate(passages(texts, model)):
+            points.append(document_evidence(model, n_words, scores))
+            sure = [x for x in found if model.significant(x[2], n_words)]
             if sure:
                 data = texts[i].as_py().encode()
                 sure = [{"start": len(data[:a].decode()), "end": len(data[:b].decode()),

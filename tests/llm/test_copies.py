@@ -110,6 +110,22 @@ def test_repeats(docs, rows, keep_first, most):
         assert r["kept_sha256"] == hashlib.sha256(left).hexdigest()
 
 
+@pytest.mark.parametrize("keep_first,most", [(False, 4000), (True, 4000), (False, 2)])
+def test_repeats_of_rows_without_id_and_with_huge_ids(spark, keep_first, most):
+    """A null id beside ids that a float cannot hold: no row is taken for another."""
+    text = " ".join(f"part{i}" for i in range(60))
+    size = len(text)
+    rows = [(None, "short"), (2**53 + 1, text), (2**53 + 2, "x " + text), (None, text),
+            (None, text), (2**63 - 1, "y" + text), (None, "z" * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in
+                  suffix_dedup.suffix_dedup(df, keep_first, most=most).collect()), key=repr)
+    kept = 0 if keep_first else size  # rows without id come first and count as one
+    assert got == sorted([(None, 5, 0), (None, 150, 0), (None, size, kept), (None, size, kept),
+                          (2**53 + 1, size, size), (2**53 + 2, size + 2, size),
+                          (2**63 - 1, size + 1, size)], key=repr)
+
+
 def test_repeats_of_equal_rows_and_of_nothing(spark, docs):
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
     text = " ".join(f"word{i}" for i in range(60))

@@ -181,3 +181,27 @@ def test_a_host_of_many_trees_is_judged_as_a_whole(spark):
     for k in range(2500):
         assert got[k] == f"part {k} of the text\nstory {k} of the text"
     assert {got[9000 + i] for i in range(3)} == {"story same of the text"}
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 700_000, "<a \"" * 500_000, "<!" * 1_000_000, "<div " * 400_000 + ">",
+    "<div>" * 200_000 + "words" + "</p>" * 200_000, "<div>" * 150_000 + "<li>x" * 150_000,
+    "<li>" + "<div>" * 200_000 + "</div>" * 200_000, "<p class='" + "x" * 2_000_000])
+def test_broken_pages_take_time_in_proportion(html):
+    import time
+
+    started = time.process_time()
+    root, _ = hw.parse(html)
+    shape, count = hw.fold(root)
+    tree = hw.read_tree(shape)
+    assert hw.match(tree, tree)[0] == count
+    assert time.process_time() - started < 30
+
+
+def test_a_tag_that_never_ends_is_text():
+    def texts(html):
+        return [t for _, t in hw.parse(html)[1]]
+
+    assert texts("1 < 2 <b>and</b> 3 <p>more") == ["1 < 2 and 3", "more"]
+    assert texts("<p>one <i title='no end>two</i><p>three") == ["one <i title='no end>two", "three"]
+    assert texts("<p>one <i") == ["one <i"]

@@ -89,15 +89,67 @@ def test_maximal_segments(seed):
     assert [s for *_, s in got] == [s for s, *_ in want]
 
 
-def test_a_word_counts_once_in_a_text():
-    model = tox.Model()
+def known_words(*words, lam=1.0, k=1.0):
+    """A model in which each of ``words`` scores 5."""
+    hashes = np.sort(next(h for _, h in tox.tokens(*_words([" ".join(words)]))))
+    return tox.Model(hashes, np.full(len(hashes), 5.0), np.full(len(hashes), 9.0), lam=lam,
+                     passage_lam=lam, k=k, passage_k=k)
+
+
+def test_a_word_counts_once_as_evidence():
     texts = pa.array(["bad bad bad", None, "bad"])
-    hashes = [h for _, h in tox.tokens(*_words(["bad"]))][0]
-    model = tox.Model(hashes, np.array([5.0]), np.array([9.0]))
-    found = list(tox.passages(texts, model))
-    assert [n for n, _ in found] == [3, 0, 1]
-    assert found[0][1] == [(0, 3, pytest.approx(5 - tox.DRIFT))] == found[2][1]
-    assert not found[1][1]
+    found = list(tox.passages(texts, known_words("bad")))
+    assert [n for n, *_ in found] == [3, 0, 1]
+    assert found[0][2] == [pytest.approx(5 - tox.DRIFT)] == found[2][2]
+    # but every time as a passage
+    assert found[0][1] == [(0, 11, pytest.approx(3 * (5 - tox.PASSAGE_DRIFT)))]
+    assert not found[1][1] and not found[1][2]
+
+
+def plain_passages(text, bad, model):
+    """(start, end) of the significant passages of an ASCII text, by trying all stretches."""
+    words = text.split(" ")
+    scores = [(5 if w in bad else 0) - tox.PASSAGE_DRIFT for w in words]
+    starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])
+
+    def split(low, high):
+        best = None
+        for i in range(low, high):
+            total = 0
+            for j in range(i, high):
+                total += scores[j]
+                if total > 0 and (best is None or total > best[0] + 1e-9):
+                    best = (total, i, j)
+        if best is None:
+            return []
+        return split(low, best[1]) + [best] + split(best[2] + 1, high)
+
+    return [(int(starts[i]), int(starts[j]) + len(words[j])) for s, i, j in split(0, len(words))
+            if model.passage_k * len(words) * np.exp(-model.passage_lam * s) <= tox.MAX_E]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_significant_passage(spark, seed):
+    """Also one whose words the text has used up before, alone or in another passage."""
+    rng = random.Random(seed)
+    bad = ["vile", "rotter", "grim"]
+    plain = [f"n{i}" for i in range(50)]
+
+    def other(n):
+        return " ".join(rng.choices(plain, k=n))
+
+    twice = f"{' '.join(bad)} {other(400)} {' '.join(bad)} {other(400)} {' '.join(bad)}"
+    late = f"vile {other(60)} rotter {other(60)} grim {other(60)} {' '.join(bad)}"
+    mixed = " ".join(rng.choices(plain + bad * rng.choice([1, 4, 9]), k=150))
+    model = known_words(*bad, lam=0.9)
+    texts = [twice, late, mixed, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_passages"], [(p["start"], p["end"]) for p in r["passages"]])
+           for r in tox.score(df, model).collect()}
+    for i, text in enumerate(texts):
+        want = plain_passages(text, bad, model) if text else []
+        assert got[i] == (len(want), want)
+    assert got[0][0] == 3 and got[1][0] == 1
 
 
 def _words(texts):
