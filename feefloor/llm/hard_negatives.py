@@ -257,11 +257,11 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = """
 WITH r AS (SELECT vec_id AS id,
     CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
-    CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), z -> z[1] * z[2])), 0) AS BIGINT)
+    CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])), 0) AS BIGINT)
       AS score
   FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 50 = 0),
 p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same

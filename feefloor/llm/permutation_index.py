@@ -41,7 +41,7 @@ PIVOTS = 256
 #: Pivots in a vector's order, of these the files it is posted in, and files a query visits.
 PREFIX = 64
 POSTED = 2
-VISITED = 120
+VISITED = 144
 #: Part of the rows found that is ranked by exact distance, and how many at least.
 SHARE = 0.35
 LEAST = 64

@@ -22,7 +22,8 @@ its language. A null text, language or source is ''. A text without terms, howev
 many rows repeat it, still makes its group occur. A language without kept terms has
 pairs of value 0 and no terms. An empty table has no rows. A very long text is cut
 between words and folded piece by piece; columns other than text, lang and source
-are not read. The driver learns the totals of each source, as many rows as the
+are not read. A task holds a table of a language's sources by its sources, as the result
+does, and the driver learns the totals of each source, as many rows as the
 sources that the result pairs with each other.
 """
 

@@ -49,6 +49,34 @@ def test_components(docs, rows, short):
     assert got == brute.components(rows)
 
 
+def test_components_over_unmerged_partitions(spark, monkeypatch):
+    """A chain of near copies, each linked with the next alone, dealt over many tasks and
+    joined in slices of a few links."""
+    from feefloor.operators import components
+
+    monkeypatch.setattr(components.component_roots, "__defaults__", (5, 20))
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 14):
+        words[3 * i % 40] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(rng.choices("abcdefgh", k=9))) for i in range(12)]
+    rng.shuffle(rows)
+    keys = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "false")
+    spark.conf.set(keys[1], "8")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+               for r in jaccard_join.components(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.components(rows)
+
+
 def test_joins_of_nothing_and_of_repeated_rows(spark, docs):
     assert jaccard_join.components(docs.limit(0)).count() == 0
     twice = spark.createDataFrame(
