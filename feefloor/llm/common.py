@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -54,7 +55,22 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this library at hand on the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def mapped(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(mapped, schema)
+
+
+def release() -> None:
+    """Give freed memory back: a worker stays for later tasks, which need not add theirs
+    to the most that earlier ones held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
 
 
 def over_batches(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[dict]],
