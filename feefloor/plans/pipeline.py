@@ -52,10 +52,10 @@ class Stages:
 
     def write(self, name: str, df: DataFrame, layout: Layout | None = None) -> DataFrame:
         path = f"{self.folder}/{name}"
-        layout = layout or LAYOUTS.get(name)
-        if layout:
+        layout = layout or LAYOUTS.get(name, WHOLE)
+        if layout.month:
             self._open[name] = write_stage(df, path, layout.month, "block_number",
-                                           layout.rebalance)
+                                           layout.ordered)
         else:
             self._open[name] = write_stage(df, path)
         return self._open[name]
@@ -63,12 +63,15 @@ class Stages:
 
 @dataclass(frozen=True)
 class Layout:
-    """Split by a month column; rows come by month already unless rebalanced."""
+    """Split by a month column, if any; rows that come in its order already are not moved."""
 
-    month: str = "block_month"
-    rebalance: bool = True
+    month: str | None = "block_month"
+    ordered: bool = False
 
 
+#: No split.
+WHOLE = Layout(None)
+
 # Two tables hold a row for every transaction: what is read off it and its relatives,
 # and the finished one, which is brought back to the month split of its source. What
 # packages change is stored beside the first and merged when read; one row per block

@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feefloor.functions.hashes import packed, unpacked
+
 MONTH = "block_month"
+COMPRESSION = "zstd"
 
 
 def write_stage(df: DataFrame, path: str, partition: str | None = None,
-                cluster: str | None = None, rebalance: bool = True) -> DataFrame:
+                cluster: str | None = None, ordered: bool = False) -> DataFrame:
     """Replace a stage table and read it back.
 
     The rebalance hint brings the rows of a partition value together, lets the
-    engine pick file sizes and split a hot value over several tasks. Rows that
-    already arrive by partition value need no such shuffle. Either way rows
-    are sorted by the cluster column inside each file, so its min/max
-    statistics stay tight.
+    engine pick file sizes and split a hot value over several tasks. Rows are
+    sorted by the cluster column inside each file, so its min/max statistics stay
+    tight. ``ordered`` rows arrive by partition value and sorted: they are neither
+    moved nor sorted again. Hashes are spelled in hex, half of which is air to zstd.
     """
     if partition:
         keys = [k for k in (partition, cluster) if k]
-        rows = df.hint("rebalance", partition) if rebalance else df
-        rows.sortWithinPartitions(*keys).write.mode(
-            "overwrite").partitionBy(partition).parquet(path)
+        rows = df if ordered else unpacked(
+            packed(df).hint("rebalance", partition).sortWithinPartitions(*keys))
+        rows.write.mode("overwrite").option("compression", COMPRESSION).partitionBy(
+            partition).parquet(path)
     else:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", COMPRESSION).parquet(path)
     return read_stage(df.sparkSession, path, df)
 
 
@@ -80,5 +84,6 @@ def write_months(df: DataFrame, path: str, column: str = MONTH) -> None:
     Folders are exchanged when all their files are written, so a failed job
     leaves what was there.
     """
-    (df.hint("rebalance", column).write.mode("overwrite")
+    (unpacked(packed(df).hint("rebalance", column)).write.mode("overwrite")
+     .option("compression", COMPRESSION)
      .option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))
