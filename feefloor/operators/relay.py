@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feefloor.functions.measures import any_of, max_nonwitness_size, raw_fee_rate
-from feefloor.operators.linkage import in_block_edges, relatives, with_relatives
+from feefloor.operators.linkage import linked
 from feefloor.policy import Policy, before, policy_as_of
 
 # Rules one transaction and its direct relatives decide. The ancestor rule is
@@ -83,10 +83,8 @@ def relay_reasons(base: DataFrame, policy: Policy = Policy()) -> DataFrame:
     ``base`` may be a projection of the raw table: links read a few of its columns
     again, and only the facts its outputs and scripts.
     """
-    rated = with_rates(base, policy)
-    links = relatives(in_block_edges(rated, policy.truc_version))
-    linked = with_relatives(rated.drop("input_hashes"), links)
-    judged = linked.withColumns(reason_columns(policy))
+    judged = linked(with_rates(base, policy), policy.truc_version).withColumns(
+        reason_columns(policy))
     alone = ~F.col("in_package") & ~F.col("is_coinbase")
     return judged.select(
         *TX_COLUMNS, *DIRECT_REASONS,
