@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feefloor.functions.hashes import packed, unpacked
 from feefloor.functions.measures import ratio
 from feefloor.operators.components import SLICE_LINKS, least_members, one_array, roots_in
 from feefloor.session import WorkTables, split_by_group_size
@@ -56,7 +57,7 @@ def packages(working_set: DataFrame, max_block_rows: int = MAX_BLOCK_ROWS) -> Da
 
 def _by_unit(rows: DataFrame) -> DataFrame:
     """Rows of a ``unit`` come together: a block, or a package of a large block."""
-    return (rows.repartition("unit").sortWithinPartitions("unit", "tx_hash")
+    return (unpacked(packed(rows).repartition("unit")).sortWithinPartitions("unit", "tx_hash")
             .select("unit", "tx_hash", "block_number", "fee", "virtual_size", "parent_hashes")
             .mapInArrow(_whole_blocks, PACKAGE_SCHEMA))
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feefloor.functions.hashes import packed, unpacked
 from feefloor.functions.measures import any_of
 from feefloor.operators.linkage import KEY
 from feefloor.operators.relay import ANCESTOR_REASON
 from feefloor.policy import Policy, before
 
 
+def _apply_packed(target: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
+    """``apply_update`` by transaction, with hashes packed while they are moved."""
+    return unpacked(apply_update(packed(target), packed(source), KEY, columns))
+
+
 def apply_update(target: DataFrame, source: DataFrame, keys: list[str],
                  columns: list[str]) -> DataFrame:
     """Take ``columns`` from ``source`` where its key matches, NULLs included;
@@ -39,8 +45,8 @@ def ancestor_limit(policy: Policy = Policy()):
 
 
 def apply_package_rates(txs: DataFrame, packages: DataFrame) -> DataFrame:
-    return apply_update(txs, packages, KEY,
-                        ["effective_fee_rate", "package_id", "package_tx_count"])
+    return _apply_packed(txs, packages,
+                         ["effective_fee_rate", "package_id", "package_tx_count"])
 
 
 def apply_ancestor_limit(txs: DataFrame, packages: DataFrame,
@@ -50,7 +56,7 @@ def apply_ancestor_limit(txs: DataFrame, packages: DataFrame,
     source = packages.join(facts, KEY).select(
         *KEY, ancestor_limit(policy).alias(ANCESTOR_REASON),
         (F.col("is_nonrelayable") | ancestor_limit(policy)).alias("is_nonrelayable"))
-    return apply_update(txs, source, KEY, [ANCESTOR_REASON, "is_nonrelayable"])
+    return _apply_packed(txs, source, [ANCESTOR_REASON, "is_nonrelayable"])
 
 
 def price_packages(txs: DataFrame, packages: DataFrame,
@@ -58,15 +64,15 @@ def price_packages(txs: DataFrame, packages: DataFrame,
     """Both updates above in one join.
 
     Only rows with an in-block relative can have a package row, so the rest is
-    passed through without a shuffle.
+    passed through without a shuffle. The others meet with packed hashes.
     """
     member = F.col("in_package") & ~F.col("is_coinbase")
     rest = txs.where(~member)
-    source = packages.select(
+    source = packed(packages).select(
         *KEY, "ancestor_count", "ancestor_vsize",
         *[F.col(c).alias(f"_new_{c}") for c in
           ("effective_fee_rate", "package_id", "package_tx_count")])
-    joined = txs.where(member).join(source, KEY, "left")
+    joined = packed(txs.where(member)).join(source, KEY, "left")
     hit = F.col("ancestor_count").isNotNull()
     over = ancestor_limit(policy)
     priced = joined.withColumns({
@@ -75,4 +81,4 @@ def price_packages(txs: DataFrame, packages: DataFrame,
         ANCESTOR_REASON: F.when(hit, over).otherwise(F.col(ANCESTOR_REASON)),
         "is_nonrelayable": F.col("is_nonrelayable") | F.when(hit, over).otherwise(False),
     }).select(*txs.columns)
-    return rest.unionByName(priced)
+    return rest.unionByName(unpacked(priced))
