@@ -28,7 +28,10 @@ def percentiles_by_rank(priced: DataFrame, low: float) -> DataFrame:
         F.count("*").alias("n"), F.count_if("relayable").alias("n_rel"))
     # Monotone in the rate; all rates at or below zero share the first bucket.
     bucket = F.when(F.col("rate") > 0, F.floor(F.ln("rate") * 1024)).otherwise(-(1 << 40))
-    counted = counted.withColumn("bucket", bucket)
+    # The join below drops what has no block or bucket. Dropped here, both its sides
+    # read one and the same table, which is moved once.
+    counted = counted.withColumn("bucket", bucket).where(
+        "block_number IS NOT NULL AND bucket IS NOT NULL")
     per_bucket = counted.groupBy("block_number", "bucket").agg(
         F.sum("n").alias("bn"), F.sum("n_rel").alias("bn_rel"))
     block = Window.partitionBy("block_number")

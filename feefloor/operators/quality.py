@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feefloor.functions.hashes import packed
 from feefloor.functions.measures import any_of, coinbase_text, printable_prefix, ratio
 from feefloor.operators.relay import REASONS
 from feefloor.policy import Policy, labels
@@ -55,16 +56,16 @@ def audit_overlap_by_block(flagged: DataFrame, audits: DataFrame) -> DataFrame:
     an audit is ever held as one list.
     """
     key = ["block_hash", "tx_hash"]
-    ours = flagged.select("block_number", "pool_name", *key).distinct()
-    listed = [audits.select("block_hash", F.explode(name).alias("tx_hash"),
-                            F.lit(name).alias("list")) for name in ("added", "accelerated")]
+    ours = packed(flagged.select("block_number", "pool_name", *key)).distinct()
+    listed = [packed(audits.select("block_hash", F.explode(name).alias("tx_hash"),
+                                   F.lit(name).alias("list"))) for name in ("added", "accelerated")]
     seen = listed[0].unionByName(listed[1]).groupBy(*key).agg(
         F.count_if(F.col("list") == "added").alias("a"),
         F.count_if(F.col("list") == "accelerated").alias("c"))
     counts = ours.join(seen, key, "left").groupBy("block_number", "block_hash", "pool_name").agg(
         F.count("*").alias("low_fee"), F.count_if(F.col("a") > 0).alias("in_added"),
         F.count_if(F.col("c") > 0).alias("in_accelerated"))
-    audited = audits.select("block_hash", F.lit(True).alias("audited")).distinct()
+    audited = packed(audits.select("block_hash")).select("block_hash", F.lit(True).alias("audited")).distinct()
     with_audit = counts.join(audited, "block_hash", "left")
     return with_audit.select(
         "block_number", "pool_name", F.coalesce("audited", F.lit(False)).alias("audited"),
@@ -108,7 +109,8 @@ def invariants(txs: DataFrame, blocks: DataFrame, percentiles: DataFrame,
     simple = one_pass.select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("check"), c(k).alias("violations"))
         for n, k in zip(names, "abcd")])))
-    packages = (txs.where("package_id IS NOT NULL AND effective_fee_rate IS NOT NULL")
+    packages = (packed(txs.where("package_id IS NOT NULL AND effective_fee_rate IS NOT NULL")
+                       .select("package_id", "block_number", "effective_fee_rate"))
                 .groupBy("package_id", "block_number")
                 .agg(F.min("effective_fee_rate").alias("lo"),
                      F.max("effective_fee_rate").alias("hi"))
