@@ -16,7 +16,8 @@ against every other, so suffixes are first brought together by content:
    and next smaller positions in suffix order give each suffix its longest earlier
    match (and, with the order of positions reversed, its longest later one).
    A window is a repeat if that reaches ``SPAN``. Grams with very many different
-   surroundings are not gathered in a task: their windows are counted one by one.
+   surroundings are not gathered in a task: their windows are counted one by one,
+   those of a batch beforehand, so that copies of a window send one entry a batch.
    Grams that a batch holds with several surroundings are added up beforehand, so
    that those of a common gram are met by gram and surroundings and not by gram.
 
@@ -454,32 +455,103 @@ def _unoverlapped(rows: list[dict]) -> list[dict]:
     return out
 
 
-def counted_windows(wide: DataFrame, keep_first: bool) -> DataFrame:
-    """Repeats among surroundings of grams too common to be sorted in one task."""
+#: Windows that a bucket of ``counted_windows`` gets at most, if spread evenly.
+BUCKET_WINDOWS = 500_000
+#: Surroundings whose windows are counted together where they are read.
+COUNTED_ROWS = 4000
+_WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("key", "<i4"),
+                    ("begin", "<i4"), ("many", "u1")])
+_HIT = np.dtype([("doc", "<i8"), ("key", "<i4"), ("begin", "<i4"), ("end", "<i4")])
+
+
+def windows_of(rows: list[dict]) -> np.ndarray:
+    """All windows of surroundings, by document and place; no place comes twice."""
+    rows = _unoverlapped(rows)
+    counts = np.array([max(len(r["bytes"]) - SPAN + 1, 0) for r in rows], np.int64)
+    starts = np.concatenate([[0], np.cumsum([len(r["bytes"]) for r in rows])])[:-1]
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(starts, counts).astype(np.int64) + within
+    sums = prefix_hash(np.frombuffer(b"".join([r["bytes"] for r in rows]), np.uint8))
+    one, half = span_hash(sums, at, at + SPAN), span_hash(sums, at, at + SPAN // 2)
+    out = np.zeros(len(at), _WINDOW)
+    out["w1"], out["w2"] = mix(one), mix(half * _K1 ^ one)
+    for name, column in (("doc", "doc_id"), ("key", "key"), ("begin", "begin")):
+        out[name] = np.repeat(np.array([r[column] for r in rows], _WINDOW[name]), counts)
+    out["begin"] += within.astype(np.int32)
+    return out
+
+
+def _alike(windows: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, where equal windows begin in it, repeats as places in it).
+
+    Equal windows follow each other by place. One that is at one place only, however
+    often, is no repeat unless it is marked as many.
+    """
+    order = np.lexsort((windows["begin"], windows["key"], windows["doc"], windows["w2"],
+                        windows["w1"]))
+    sorted_ = windows[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ((sorted_["w1"][1:] != sorted_["w1"][:-1])
+               | (sorted_["w2"][1:] != sorted_["w2"][:-1]))
+    first = np.flatnonzero(new)
+    own = np.cumsum(new) - 1
+    place = sorted_[["doc", "key", "begin"]]
+    elsewhere = place != place[first][own]
+    many = np.bincount(own, weights=elsewhere | (sorted_["many"] > 0),
+                       minlength=len(first)) > 0
+    return order, first, np.flatnonzero(many[own] & (elsewhere | (not keep_first)))
+
+
+def _runs(windows: np.ndarray) -> np.ndarray:
+    """Windows as stretches of their texts, those that touch joined."""
+    windows = windows[np.lexsort((windows["begin"], windows["key"], windows["doc"]))]
+    new = np.ones(len(windows), bool)
+    new[1:] = ((windows["doc"][1:] != windows["doc"][:-1])
+               | (windows["key"][1:] != windows["key"][:-1])
+               | (windows["begin"][1:] - windows["begin"][:-1] > SPAN))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(windows) - 1) if len(windows) else []
+    out = np.zeros(int(new.sum()), _HIT)
+    for name in ("doc", "key", "begin"):
+        out[name] = windows[name][new]
+    out["end"] = windows["begin"][last] + SPAN if len(windows) else 0
+    return out
+
+
+def counted_windows(wide: DataFrame, keep_first: bool, buckets: int) -> DataFrame:
+    """Repeats among surroundings of grams too common to be sorted in one task.
+
+    Windows are counted where they are read: one entry is sent of those that are equal,
+    with the first place and whether there are others, whose fate is decided by then.
+    """
 
     def run(batch):
-        ids, keys, begins = (batch.column(c) for c in ("doc_id", "key", "begin"))
-        for i, data in enumerate(batch.column("bytes").to_pylist()):
-            sums = prefix_hash(np.frombuffer(data, np.uint8))
-            at = np.arange(max(len(data) - SPAN + 1, 0))
-            one = span_hash(sums, at, at + SPAN)
-            half = span_hash(sums, at, at + SPAN // 2)
-            n = len(at)
-            yield {"w1": pa.array(mix(one).view(np.int64)),
-                   "w2": pa.array(mix(half * _K1 ^ one).view(np.int64)),
-                   "doc_id": pa.array([ids[i].as_py()] * n, pa.int64()),
-                   "key": pa.array([keys[i].as_py()] * n, pa.int32()),
-                   "begin": pa.array((at + begins[i].as_py()).astype(np.int32))}
-
-    windows = over_batches(wide.select("doc_id", "key", "begin", "bytes"), run,
-                           "w1 long,w2 long,doc_id long,key int,begin int").distinct()
-    place = F.struct("doc_id", "key", "begin")
-    shared = (windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(place).alias("f"))
-              .where("n > 1"))
-    hit = windows.join(shared, ["w1", "w2"])
-    if keep_first:
-        hit = hit.where(place != F.col("f"))
-    return hit.select("doc_id", "key", "begin", (F.col("begin") + SPAN).alias("end"))
+        for begin in range(0, batch.num_rows, COUNTED_ROWS):
+            windows = windows_of(batch.slice(begin, COUNTED_ROWS).to_pylist())
+            if not len(windows):
+                continue
+            order, first, repeats = _alike(windows, keep_first)
+            sent = windows[order[first]]
+            sent["many"] = np.diff(np.append(first, len(order))) > 1
+            to = (sent["w1"] >> np.uint64(20)).astype(np.int64) % buckets
+            sent, to = sent[np.argsort(to, kind="stable")], np.sort(to)
+            found, begins = np.unique(to, return_index=True)
+            blobs = [sent[a:b].tobytes() for a, b in zip(begins, np.append(begins[1:], len(to)))]
+            # What is decided meets nothing; it goes with any of the rows.
+            hits = [_runs(windows[order[repeats]]).tobytes()] + [None] * (len(blobs) - 1)
+            yield {"bucket": pa.array(found, pa.int32()), "windows": pa.array(blobs, pa.binary()),
+                   "hits": pa.array(hits, pa.binary())}
+
+    def bucket(rows: pa.Table) -> pa.Table:
+        windows = np.frombuffer(b"".join(rows.column("windows").to_pylist()), _WINDOW)
+        order, _, repeats = _alike(windows, keep_first)
+        hits = np.concatenate([_runs(windows[order[repeats]]), *[
+            np.frombuffer(h, _HIT) for h in rows.column("hits").to_pylist() if h]])
+        return pa.table({"doc_id": pa.array(hits["doc"]), "key": pa.array(hits["key"]),
+                         "begin": pa.array(hits["begin"]), "end": pa.array(hits["end"])})
+
+    posted = over_batches(wide.select("doc_id", "key", "begin", "bytes"), run,
+                          "bucket int,windows binary,hits binary")
+    return posted.groupBy("bucket").applyInArrow(bucket, _STRETCH)
 
 
 # --- all together -----------------------------------------------------------------------
@@ -530,8 +602,12 @@ def suffix_dedup(docs: DataFrame, keep_first: bool = True, with_text: bool = Tru
     around = staged.where("kind = 2").select("doc_id", "key", "begin", "gram", "wide", "bytes")
     narrow = (around.where("NOT wide").repartition("gram")
               .sortWithinPartitions("gram", "doc_id", "key", "begin"))
-    more = map_arrow(narrow, _sorted_groups(keep_first), _STRETCH).unionByName(
-        counted_windows(around.where("wide"), keep_first))
+    more = map_arrow(narrow, _sorted_groups(keep_first), _STRETCH)
+    wide = around.where("wide")
+    windows = wide.count() * (REACH + 1)
+    if windows:
+        more = more.unionByName(
+            counted_windows(wide, keep_first, 1 + windows // BUCKET_WINDOWS))
     late = more.groupBy("doc_id", "key").agg(F.collect_list(stretch).alias("late"))
     waiting = (staged.where("kind = 1").select("doc_id", "key", "bytes", "done")
                .join(late, ["doc_id", "key"], "left"))

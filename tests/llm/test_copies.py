@@ -268,3 +268,36 @@ def test_no_group_takes_all_stretches_or_a_common_gram(spark):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"])
            for r in suffix_dedup.suffix_dedup(df, False, most=100).collect()}
     assert got == brute.repeats(list(enumerate(texts)), keep_first=False)
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_windows_of_common_grams_are_counted_where_they_are_read(spark, keep_first):
+    """Equal windows of a batch send one entry; results are those of each counted alone."""
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefgh", k=330)).encode()
+    rows = []
+    for doc in range(400):
+        data = bytearray(base)
+        if doc % 4 == 1:
+            data[rng.randrange(330)] = 122
+        rows.append((doc, 7, 100 + doc, bytes(data)))
+        if doc % 5 == 0:  # two surroundings of a text share windows
+            rows.append((doc, 7, 110 + doc, bytes(data[10:])))
+    wide = spark.createDataFrame(rows, "doc_id long, key int, begin int, bytes binary")
+    held = suffix_dedup.windows_of([r.asDict() for r in wide.collect()])
+    assert len(held) == 400 * 131 and len(np.unique(held[["doc", "key", "begin"]])) == len(held)
+    order, first, _ = suffix_dedup._alike(held, keep_first)
+    assert len(first) < len(held) / 4
+    places = {}
+    for doc, _, begin, data in rows:
+        for at in range(len(data) - 199):
+            places.setdefault(data[at:at + 200], set()).add((doc, begin + at))
+    want = set()
+    for at in places.values():
+        if len(at) > 1:
+            for doc, begin in at - ({min(at)} if keep_first else set()):
+                want |= {(doc, begin + k) for k in range(200)}
+    for parts in (1, 6):
+        got = suffix_dedup.counted_windows(wide.repartition(parts), keep_first, 5).collect()
+        assert {(r["doc_id"], k) for r in got for k in range(r["begin"], r["end"])} == want
+        assert len(got) < len(rows) * 2 * parts  # not a row for each window
