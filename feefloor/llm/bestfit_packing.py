@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feefloor.llm.common import over_batches, table
-from feefloor.llm.encoding import encoder
+from feefloor.llm.encoding import KEPT, encoder
 from feefloor.session import cut_lineage
 
 CAPACITY = 4096
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                "length": pa.array(out["length"], pa.int64()),
                "ids_crc32": pa.array(out["crc"], pa.int64())}
 
-    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
+    return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES, KEPT)
 
 
 # --- the search over lengths ----------------------------------------------

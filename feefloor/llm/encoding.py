@@ -15,6 +15,8 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+from feefloor.llm.common import kept
+
 #: Most pieces a worker remembers. When they are reached the later half is dropped:
 #: frequent pieces are met early, so what stays is what is asked for most.
 REMEMBERED = 1_000_000
@@ -89,7 +91,9 @@ class Encoder:
             yield found
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+#: Name under which workers keep their encoders, for ``map_arrow``.
+KEPT = "encoders"
+_encoders: dict[tuple[str, str], Encoder] = kept.setdefault(KEPT, {})
 
 
 def encoder(path: str, name: str, value: Callable[[list[int]], object]) -> Encoder:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feefloor.llm.common import over_batches, table
-from feefloor.llm.encoding import encoder, version_digest
+from feefloor.llm.encoding import KEPT, encoder, version_digest
 from feefloor.session import shared_dir
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -59,7 +59,7 @@ def encode_misses(docs: DataFrame, known: DataFrame, path: str) -> DataFrame:
             [sum(map(sum, counter.parts(t))) for t in batch.column("text").to_pylist()],
             pa.int64())}
 
-    return (over_batches(texts, run, "content binary, n_tokens long")
+    return (over_batches(texts, run, "content binary, n_tokens long", KEPT)
             .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
 
 

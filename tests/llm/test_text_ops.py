@@ -5,13 +5,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feefloor.llm import bestfit_packing as pack
-from feefloor.llm import common, quality_rules, secret_scan, token_counts
+from feefloor.llm import common, encoding, jaccard_join, quality_rules, secret_scan, token_counts
 from feefloor.llm.encoding import Encoder
 
 from tests.llm import brute
@@ -293,3 +294,38 @@ def test_a_secret_pages_away_supports_no_endpoint(spark):
     df = spark.createDataFrame([(1, far), (2, near)], "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(df).collect()}
     assert "endpoint" not in got[1] and "endpoint" in got[2]
+
+
+def test_workers_drop_what_other_tasks_remembered(spark):
+    """Encoders stay for the tasks that use them and go with the first other task."""
+    def kept_after(keeps):
+        def run(batches):
+            from feefloor.llm import common as own
+            for batch in batches:
+                n = len(own.kept.setdefault("encoders", {}))
+                own.kept["encoders"]["a"] = "much"
+                yield batch.from_pydict({"n": [n]})
+        df = spark.range(1).coalesce(1)
+        return common.map_arrow(df, run, "n long", keeps).first()["n"]
+
+    assert common.kept["encoders"] is encoding._encoders
+    common.kept["probe"] = {"a": 1}
+    assert not common.drop_kept("probe") or common.kept["probe"]
+    assert common.drop_kept(None) and not common.kept.pop("probe")
+    kept_after("encoders")
+    assert kept_after(None) == 0
+
+
+def test_linked_pairs_in_stripes(monkeypatch):
+    """The table of a block's pairs is read a few rows at a time, with the same pairs."""
+    rng = np.random.default_rng(2)
+    bags = [np.unique(rng.integers(0, 60, 120)).astype(np.uint64) for _ in range(40)]
+    size, root = np.array([len(b) for b in bags], np.int32), rng.integers(0, 9, 40)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if root[i] != root[j]
+            and 100 * len(np.intersect1d(bags[i], bags[j]))
+            >= 75 * len(np.union1d(bags[i], bags[j]))}
+    assert want
+    for stripe in (7, 256):
+        monkeypatch.setattr(jaccard_join, "STRIPE", stripe)
+        i, j = jaccard_join.linked_pairs(jaccard_join.intersections(bags), size, root)
+        assert set(zip(i.tolist(), j.tolist())) == want
