@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feefloor.llm.common import over_batches, table
+from feefloor.llm.common import over_batches, steps, table
 from feefloor.llm.encoding import KEPT, encoder
 from feefloor.session import cut_lineage
 
@@ -52,13 +52,15 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         coder = encoder(path, "ids", lambda ids: np.asarray(ids, "<u4").tobytes())
         out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "crc")}
         end, step = np.uint32(END_ID).tobytes(), 4 * capacity
-        for doc, text in zip(batch.column("doc_id").to_pylist(),
-                             batch.column("text").to_pylist()):
-            ids = b"".join([b"".join(part) for part in coder.parts(text or "")]) + end
-            for k, at in enumerate(range(0, len(ids), step)):
-                cut = ids[at:at + step]
-                for name, value in zip(out, (doc, k, at // 4, len(cut) // 4, zlib.crc32(cut))):
-                    out[name].append(value)
+        docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        for first, last in steps(texts):
+            for doc, text in zip(docs[first:last], texts[first:last].to_pylist()):
+                ids = b"".join([b"".join(part) for part in coder.parts(text or "")]) + end
+                for k, at in enumerate(range(0, len(ids), step)):
+                    cut = ids[at:at + step]
+                    row = (doc, k, at // 4, len(cut) // 4, zlib.crc32(cut))
+                    for column, value in zip(out.values(), row):
+                        column.append(value)
         yield {"doc_id": pa.array(out["doc_id"], pa.int64()),
                "piece": pa.array(out["piece"], pa.int32()),
                "start": pa.array(out["start"], pa.int64()),

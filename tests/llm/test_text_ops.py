@@ -139,6 +139,32 @@ def test_long_texts_are_cut_in_blocks(monkeypatch):
     assert sum(map(sum, coder.parts(text))) == want
 
 
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    """Any plain and odd characters side by side have the library's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, coder, rng = Tokenizer.from_file(path), Encoder(path, list), random.Random(3)
+    signs = ([chr(c) for c in range(256)] + list("aSTdmLvE  \n\n09ŒœßÀÿ") + ["'"] * 4
+             + list("İıſŸŉ’—\u0301\u0308\u200b\u2028\u3000ǅ中Σς٣½ﬁ\ufb01😀"))
+    texts = ["".join(rng.choices(signs, k=rng.choice((1, 2, 4, 30, 200)))) for _ in range(20_000)]
+    plain = [t for t in texts if not encoding._ODD.search(t)]
+    assert len(plain) > 1_000
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert sum((list(x) for part in coder.parts(text) for x in part), []) == want.ids, text
+
+
+def test_forms_of_a_word_are_encoded_once(monkeypatch):
+    """Case and signs beside a word make no new piece to encode and remember."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, text = Encoder(path, list), "Straße, straße. STRASSE (Straße)\n\"straße\" Straße's"
+    want = coder.library.encode(text, add_special_tokens=False).ids
+    assert [i for part in coder.parts(text) for x in part for i in x] == want
+    assert set(coder.known) == {"straße", "strasse", ",", ".", "(", ")", '"', "'s"}
+    monkeypatch.setattr(encoding, "WORDS_REMEMBERED", 40)
+    for n in range(100):
+        list(coder.parts(f"{chr(97 + n % 26)}{chr(97 + n // 26)}q"))
+        assert len(coder.known) <= 40
+
+
 def test_token_counts_and_their_cache(spark, docs, none, tmp_path):
     path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
     library = Tokenizer.from_file(path)
