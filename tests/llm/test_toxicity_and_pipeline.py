@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from feefloor.llm import toxicity as tox
+from feefloor.llm import common, toxicity as tox
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, score string, passages string"
@@ -214,3 +214,42 @@ def test_stages(spark, tmp_path):
     packed = stages["bestfit_packing"](spark, masked, folder)
     assert {r["doc_id"] for r in packed.collect()} == want - leaks
     assert corpus_pipeline.run(spark, folder).count() == packed.count()
+
+
+@pytest.mark.parametrize("stage", [run for _name, run in corpus_pipeline.STAGES],
+                         ids=[name for name, _run in corpus_pipeline.STAGES])
+def test_texts_reach_workers_in_small_batches(spark, tmp_path, stage):
+    """40 MB of texts in one partition are no single batch, whichever stage reads them."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    folder = str(tmp_path)
+    schema = "doc_id long, text string"
+    spark.createDataFrame([(1, "some words of one text")], schema).write.parquet(
+        f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(
+        f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "an item that no text holds")], "item_id long, text string"
+                          ).write.parquet(f"{folder}/benchmark.parquet")
+    before = {key: spark.conf.get(key) for key in corpus_pipeline.SMALL_BATCHES}
+    try:
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+        long = spark.range(400, numPartitions=1).selectExpr("repeat('word ', 20000) AS text")
+        found = long.mapInArrow(sizes, "n long, bytes long").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(row["n"] for row in found) == 400
+    assert max(row["bytes"] for row in found) < 10 << 20
+
+
+def test_a_released_worker_keeps_no_table_of_powers():
+    data = np.frombuffer(b"word " * (1 << 20), np.uint8)
+    before = common.prefix_hash(data)
+    assert sum(x.nbytes for x in common._tables.values()) > 80_000_000
+    common.release()
+    assert not common._tables
+    assert np.array_equal(common.prefix_hash(data), before)
+    common.release()
